@@ -8,8 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import bpe, simhash
-from tarmac.llm.frames import table
+from tarmac.llm import bpe, contain, lines, rules, simhash, windows
+from tarmac.llm.frames import stored, table
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.remove_lines(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_lines_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op3_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = stored(rules.measure(table(spark, sf_dir, "documents"), keep=["doc_id", "lang"]))
+    judged = rules.judge(measured, rules.calibrate(measured, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,15 +29,47 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = windows.remove_repeats(table(spark, sf_dir, "documents"), size=35, keep=["doc_id"])
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contain.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_row")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_byte_bpe": op4_byte_bpe,
-    "op9_simhash": op9_simhash,
+    f.__name__: f for f in (op1_line_dedup, op3_risk_rules, op4_byte_bpe, op6_repeated_windows, op8_decontamination, op9_simhash)
 }
 
+_WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 #: DuckDB SQL where SQL can express the query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_repeated_windows": f"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        spots AS (SELECT r, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35),
+        win AS (SELECT r, i, count(*) OVER (PARTITION BY array_to_string(w[i:i + 34], ' ')) AS n FROM spots JOIN docs USING (r)),
+        gone AS (SELECT DISTINCT r, i + k AS i FROM win, range(0, 35) t(k) WHERE n > 1),
+        word AS (SELECT r, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM docs),
+        kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS s, count(*) AS n FROM word ANTI JOIN gone USING (r, i) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+        FROM docs LEFT JOIN kept USING (r)""",
+    "op8_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        t AS (SELECT DISTINCT item_id, text, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark WHERE text IS NOT NULL),
+        q AS (SELECT item_id, text, len(w) AS n, least(5, len(w)) AS k, w FROM t WHERE len(w) > 0),
+        qs AS (SELECT DISTINCT item_id, text, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, n - k + 2)) AS i FROM q)),
+        ds AS (SELECT DISTINCT r, doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+               FROM (SELECT r, doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM q) WHERE len(w) >= k)),
+        size AS (SELECT item_id, text, count(*) AS n FROM qs GROUP BY ALL)
+        SELECT doc_id, item_id, any_value(size.n)::BIGINT AS n_shingles, count(*)::BIGINT AS n_shared, count(*) / any_value(size.n) AS containment
+        FROM ds JOIN qs USING (k, s) JOIN size USING (item_id, text) GROUP BY r, doc_id, item_id, text
+        HAVING count(*) >= 0.8 * any_value(size.n) - 1e-9""",
+}
