@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import bpe, contain, lines, rules, simhash, windows
+from tarmac.llm import bpe, contain, lines, rules, simhash, tokenbin, windows
 from tarmac.llm.frames import stored, table
 
 
@@ -43,8 +43,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = tokenbin.write(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    stored_ids = tokenbin.records(path, docs)
+    return stored_ids.select(F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op3_risk_rules, op4_byte_bpe, op6_repeated_windows, op8_decontamination, op9_simhash)
+    f.__name__: f for f in (op1_line_dedup, op3_risk_rules, op4_byte_bpe, op6_repeated_windows, op8_decontamination, op9_simhash, op10_token_shards)
 }
 
 _WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
