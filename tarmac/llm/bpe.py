@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import re
 import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -90,25 +91,26 @@ class Codec:
         self.table = "".join(self.characters[b] for b in range(256))
         self.cache: dict[str, bytes] = {}
 
-    def encode_one(self, text: str) -> bytes:
-        matches = self.pattern.findall(text)
-        mapped = [m.encode().decode("latin-1").translate(self.table) for m in matches]
-        return np.array([i for ids in self.processor.encode(mapped, num_threads=1) for i in ids], "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        cuts = _CUT.split(text)
-        cuts[1:] = [" " + c for c in cuts[1:]]
-        if len(self.cache) > _CACHE:
+    def _new(self, cuts: list[str]) -> list[bytes]:
+        """The ids of each cut; all matches go to the model in one call."""
+        matches = [self.pattern.findall(cut) for cut in cuts]
+        mapped = [m.encode().decode("latin-1").translate(self.table) for own in matches for m in own]
+        ids = iter(self.processor.encode(mapped, num_threads=1))
+        return [array("I", [i for _ in own for i in next(ids)]).tobytes() for own in matches]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = []
+        for text in texts:
+            cuts = _CUT.split(text or "")
+            cuts[1:] = [" " + c for c in cuts[1:]]
+            split.append(cuts)
+        new = list({c for cuts in split for c in cuts} - self.cache.keys())
+        if len(self.cache) + len(new) > _CACHE:
             self.cache.clear()
-        cache, out = self.cache, []
-        for cut in cuts:
-            ids = cache.get(cut)
-            if ids is None:
-                ids = self.encode_one(cut)
-                if len(cut) < 64:
-                    cache[cut] = ids
-            out.append(ids)
-        return b"".join(out)
+            new = list({c for cuts in split for c in cuts})
+        self.cache.update(zip(new, self._new(new), strict=True))
+        get = self.cache.__getitem__
+        return [b"".join(map(get, cuts)) for cuts in split]
 
     def decode(self, ids: bytes) -> bytes:
         pieces = self.pieces
@@ -126,7 +128,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", k
 
     def run(part: pa.RecordBatch) -> dict[str, pa.Array]:
         own = codec(model.value, pattern)
-        ids = [own.encode(t or "") for t in part.column("_text").to_pylist()]
+        ids = own.encode(part.column("_text").to_pylist())
         out = {"n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
         return out | ({"decoded": pa.array(map(own.decode, ids), pa.binary())} if decode else {})
 
