@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import bpe, contain, lines, rules, simhash, tokenbin, windows
+from tarmac.llm import bpe, contain, kneser, langid, lines, rules, simhash, tokenbin, windows
 from tarmac.llm.frames import stored, table
 
 
@@ -29,11 +29,22 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
 def op6_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = windows.remove_repeats(table(spark, sf_dir, "documents"), size=35, keep=["doc_id"])
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
+    filters = langid.learn(docs.where("not held_out and doc_id is not null"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), filters, keep=["doc_id", "held_out"])
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contain.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_row")
 
@@ -51,7 +62,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op3_risk_rules, op4_byte_bpe, op6_repeated_windows, op8_decontamination, op9_simhash, op10_token_shards)
+    f.__name__: f for f in (op1_line_dedup, op3_risk_rules, op4_byte_bpe, op5_kneser_ney, op6_repeated_windows, op7_language_filters, op8_decontamination, op9_simhash, op10_token_shards)
 }
 
 _WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
