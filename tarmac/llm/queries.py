@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import bpe, contain, kneser, langid, lines, rules, simhash, tokenbin, windows
+from tarmac.llm import bpe, contain, html, kneser, langid, lines, rules, simhash, tokenbin, windows
 from tarmac.llm.frames import stored, table
 
 
@@ -17,6 +17,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_lines_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op3_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = stored(rules.measure(table(spark, sf_dir, "documents"), keep=["doc_id", "lang"]))
     judged = rules.judge(measured, rules.calibrate(measured, table(spark, sf_dir, "labels")))
@@ -61,9 +65,10 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_ids.select(F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op3_risk_rules, op4_byte_bpe, op5_kneser_ney, op6_repeated_windows, op7_language_filters, op8_decontamination, op9_simhash, op10_token_shards)
-}
+_ALL = (
+    op1_line_dedup, op2_html_text, op3_risk_rules, op4_byte_bpe, op5_kneser_ney, op6_repeated_windows, op7_language_filters, op8_decontamination, op9_simhash, op10_token_shards,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
