@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -15,6 +13,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tarmac.llm.words import slices
+from tarmac.storage import shared_dir, stored
+
+__all__ = ["add_columns", "emit_rows", "quoted", "row_key", "shared_dir", "stored", "table"]
 
 
 def importable(spark: SparkSession) -> None:
@@ -83,23 +84,3 @@ def emit_rows(
             yield pa.RecordBatch.from_arrays([pa.array(new[f.name]).cast(f.type) if not isinstance(new[f.name], pa.Array) else new[f.name].cast(f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = found.get() if found.isDefined() else None
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tarmac-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: no lineage, computed once, safe from lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tarmac-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

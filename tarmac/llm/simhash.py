@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.components import connected
 from tarmac.llm.frames import add_columns, emit_rows, quoted, row_key, stored
 from tarmac.llm.words import Words
+from tarmac.operators.components import connected
 
 _GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
 
