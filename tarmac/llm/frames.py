@@ -46,7 +46,7 @@ def add_columns(
     text: str,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """``df`` with the columns that ``fn`` derives from slices of its rows (about 4 MB of text each).
+    """``df`` with the columns that ``fn`` derives from slices of its rows (about 1 MB of text each).
 
     ``keep`` names the input columns that stay (all by default); a kept column named like a new one is replaced.
     """
