@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 Adapter = Callable[[SparkSession, Mapping[str, str]], DataFrame]
 _ADAPTERS: dict[str, tuple[Adapter, tuple[str, ...]]] = {}
 
-RUNS = T.StructType.fromDDL("run string, source string, status string, started timestamp, finished timestamp, fingerprint string, rows bigint")
+_RUN_TYPES = {"run": T.StringType(), "source": T.StringType(), "status": T.StringType(), "started": T.TimestampType(), "finished": T.TimestampType(), "fingerprint": T.StringType(), "rows": T.LongType()}
+RUNS = T.StructType([T.StructField(name, kind) for name, kind in _RUN_TYPES.items()])
 
 
 def adapter(name: str, required: Sequence[str] = ()) -> Callable[[Adapter], Adapter]:
