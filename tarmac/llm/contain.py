@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.frames import emit_rows, quoted, row_key, stored
+from tarmac.llm.frames import ROW, emit_rows, quoted, row_key, stored
 from tarmac.llm.words import FIRST, Words, slices
 
 
@@ -92,7 +92,7 @@ def matches(
     sketches = stored(_sketches(items, threshold, shingle))
     shards = -(-sketches.count() // shard)
     keyed = docs.select(quoted(doc_id).alias("doc_id"), row_key(doc_id, text).alias("_row"), quoted(text).alias("_text"))
-    fields = {"doc_id": docs.schema[doc_id].dataType, "_row": T.LongType(), "text": T.StringType(), "hashes": T.ArrayType(T.LongType())}
+    fields = {"_row": T.LongType(), "text": T.StringType(), "hashes": T.ArrayType(T.LongType())}
     candidates = None
     for at in range(shards):
         index = defaultdict(list)
@@ -107,23 +107,24 @@ def matches(
                     own, first = np.unique(row, return_index=True)
                     lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(found.view(np.int64)))
                     chosen = part.take(pa.array(own))
-                    yield {"doc_id": chosen.column("doc_id"), "_row": chosen.column("_row"), "text": chosen.column("_text"), "hashes": lists}
+                    yield {"_row": chosen.column("_row"), "text": chosen.column("_text"), "hashes": lists}
 
         found = emit_rows(keyed, search, fields)
         candidates = found if candidates is None else candidates.unionByName(found)
-    out = {"doc_id": fields["doc_id"], "item_id": items.schema["item_id"].dataType, "_row": T.LongType(), "n_shingles": T.LongType(), "n_shared": T.LongType(), "containment": T.DoubleType()}
+    out = {"_row": T.LongType(), "item_id": items.schema["item_id"].dataType, "n_shingles": T.LongType(), "n_shared": T.LongType(), "containment": T.DoubleType()}
     if candidates is None:
-        return spark.createDataFrame([], T.StructType([T.StructField(k, v) for k, v in out.items()]))
-    candidates = stored(candidates.withColumn("_copy", F.monotonically_increasing_id()))
-    pairs = candidates.select("_copy", F.explode("hashes").alias("hash")).join(sketches, "hash").select("_copy", "item_row").distinct()
-    checked = pairs.join(items, "item_row").join(candidates.select("doc_id", "_row", "text", "_copy"), "_copy")
-    checked = checked.select("doc_id", "item_id", "_row", "item_text", "text")
+        found = spark.createDataFrame([], T.StructType([T.StructField(k, v) for k, v in out.items()]))
+        return keyed.select("doc_id", "_row").join(found, "_row").select("doc_id", "item_id", "_row", *list(out)[2:])
+    candidates = stored(candidates)  # rows alike, and rows met in several shards, are verified once
+    pairs = candidates.select("_row", F.explode("hashes").alias("hash")).join(sketches, "hash").select("_row", "item_row").distinct()
+    checked = pairs.join(items, "item_row").join(candidates.select("_row", "text").dropDuplicates(["_row"]), "_row")
+    checked = checked.select("item_id", "_row", "item_text", "text")
 
     def verify(batches):
         last, own = None, {}
         for batch in batches:
-            out = defaultdict(list)
-            for doc, item, row, wanted, text in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+            found = defaultdict(list)
+            for item, row, wanted, text in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
                 if text != last:
                     last, own = text, {}
                 words = wanted.encode().lower().split()
@@ -133,15 +134,16 @@ def matches(
                 wanted = shingles(words, size)
                 shared = len(wanted & own[size])
                 if shared >= threshold * len(wanted) - 1e-9:
-                    for name, value in zip(("doc_id", "item_id", "_row", "n_shingles", "n_shared", "containment"), (doc, item, row, len(wanted), shared, shared / len(wanted)), strict=True):
-                        out[name].append(value)
-            if out:
-                yield dict(out)
+                    for name, value in zip(out, (row, item, len(wanted), shared, shared / len(wanted)), strict=True):
+                        found[name].append(value)
+            if found:
+                yield dict(found)
 
-    return emit_rows(checked, verify, out)
+    found = stored(emit_rows(checked, verify, out))
+    return keyed.select("doc_id", "_row").join(found, "_row").select("doc_id", "item_id", "_row", *list(out)[2:])
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without those that contain an item."""
-    found = matches(docs, items, doc_id=doc_id, text=text, **options).select("_row").distinct()
-    return docs.withColumn("_row", row_key(doc_id, text)).join(stored(found), "_row", "left_anti").drop("_row")
+    found = matches(docs, items, doc_id=doc_id, text=text, **options).select(F.col("_row").alias(ROW)).distinct()
+    return docs.withColumn(ROW, row_key(doc_id, text)).join(stored(found), ROW, "left_anti").drop(ROW)

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tarmac.llm.words import slices
 from tarmac.storage import shared_dir, stored
 
-__all__ = ["add_columns", "emit_rows", "quoted", "row_key", "shared_dir", "stored", "table"]
+__all__ = ["RESERVED", "ROW", "add_columns", "emit_rows", "quoted", "row_key", "shared_dir", "stored", "table"]
 
 
 def importable(spark: SparkSession) -> None:
@@ -25,6 +25,11 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
 
 
+#: Column names that begin like this belong to the operators; an input column of such a name may be replaced.
+RESERVED = "_tarmac_"
+ROW = RESERVED + "row"
+
+
 def quoted(name: str) -> Column:
     """A column by its exact name, dots and backquotes included."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac.llm.chars import KeyTable, code_points
-from tarmac.llm.frames import add_columns, emit_rows, quoted, row_key, stored
+from tarmac.llm.frames import ROW, add_columns, emit_rows, quoted, row_key, stored
 from tarmac.llm.words import slices
 
 ORDER = 5
@@ -200,9 +200,9 @@ def score(
     size = sum(t.count() for t in [*probabilities, *weights])
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() != "nats"]
     if size > max_broadcast:
-        keyed = docs.withColumn("_row", row_key(doc_id, text))
+        keyed = docs.drop("nats").withColumn(ROW, row_key(doc_id, text))
         found = _joined(docs.select(quoted(doc_id).alias("_id"), quoted(text).alias("_text")), probabilities, weights, alphabet, text)
-        return keyed.join(found, "_row", "left").select(*map(quoted, names), "nats")
+        return keyed.join(found.withColumnRenamed("_row", ROW), ROW, "left").select(*map(quoted, names), "nats")
     shipped = docs.sparkSession.sparkContext.broadcast(Model(probabilities, weights, alphabet))
 
     def run(part: pa.RecordBatch) -> dict[str, pa.Array]:

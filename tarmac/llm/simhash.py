@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.frames import add_columns, emit_rows, quoted, row_key, stored
+from tarmac.llm.frames import ROW, add_columns, emit_rows, quoted, row_key, stored
 from tarmac.llm.words import Words
 from tarmac.operators.components import connected
 
@@ -130,27 +130,26 @@ def near_links(fps: DataFrame, bits: int = 4, block: int = 2048) -> DataFrame:
 
 
 def components(marked: DataFrame, doc_id: str = "doc_id", bits: int = 4) -> DataFrame:
-    """``marked`` (rows with ``fp``) with ``component_id``, the smallest id among the rows reachable over links."""
+    """``marked`` (rows with ``fp``) with ``root``, a fingerprint that names the component, and ``component_id``, its smallest id."""
     fps = stored(marked.groupBy("fp").agg(F.min(quoted(doc_id)).alias("least")))
     roots = connected(near_links(fps.select("fp"), bits))
     fps = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = fps.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = stored(fps.join(least, "root").select("fp", "component_id"))
-    rest = [quoted(c) for c in marked.columns if c.lower() not in ("fp", "component_id")]
-    return marked.select(*rest, "fp").join(known, "fp").select(*rest, "fp", "component_id")
+    known = stored(fps.join(least, "root").select("fp", "root", "component_id"))
+    rest = [quoted(c) for c in marked.columns if c.lower() not in ("fp", "root", "component_id")]
+    return marked.select(*rest, "fp").join(known, "fp").select(*rest, "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 4) -> DataFrame:
-    """One row per document: id, row key ``_row``, ``fp`` and ``component_id``."""
-    marked = fingerprints(docs.select(quoted(doc_id), quoted(text), row_key(doc_id, text).alias("_row")), text, [doc_id, "_row"])
+    """One row per document: id, row key (``ROW``), ``fp``, ``root`` and ``component_id``."""
+    marked = fingerprints(docs.select(quoted(doc_id), quoted(text), row_key(doc_id, text).alias(ROW)), text, [doc_id, ROW])
     return components(stored(marked), doc_id, bits)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 4) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id (null last), then the smallest row key."""
-    found = near_duplicates(docs, doc_id, text, bits).select(quoted(doc_id).alias("_id"), "_row", "component_id", "fp")
+    found = near_duplicates(docs, doc_id, text, bits).select(quoted(doc_id).alias("_id"), F.col(ROW).alias("_row"), "root")
     order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))
-    # without any id in a component its fingerprint stands for it
-    chosen = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_fp")).agg(F.min(order).alias("o"))
-    chosen = chosen.select(F.col("o._row").alias("_row"))
-    return docs.withColumn("_row", row_key(doc_id, text)).join(chosen, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    chosen = found.groupBy("root").agg(F.min(order).alias("o"))  # an id may stand in two components, a root in one
+    chosen = chosen.select(F.col("o._row").alias(ROW))
+    return docs.withColumn(ROW, row_key(doc_id, text)).join(chosen, ROW, "left_semi").dropDuplicates([ROW]).drop(ROW)

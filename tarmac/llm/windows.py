@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.frames import add_columns, emit_rows, quoted, row_key, stored
+from tarmac.llm.frames import RESERVED, ROW, add_columns, emit_rows, quoted, row_key, stored
 from tarmac.llm.words import FIRST, SECOND, Words, mix, slices
 
+_ALONE = RESERVED + "alone"
 _DEPTH = 2
 _LOW = 16
 
@@ -120,7 +121,7 @@ def remove_repeats(
     if not 1 <= shingle <= size:
         raise ValueError("a shingle has at least one word and fits in a window")
     spark = docs.sparkSession
-    keyed = docs.withColumn("_row", row_key(doc_id, text))
+    keyed = docs.withColumn(ROW, row_key(doc_id, text))
     if bits is None:
         total = docs.agg(F.sum(F.octet_length(quoted(text))).alias("n")).first().n or 0
         bits = min(max_bits, max(20, math.ceil(math.log2(total / 10 + 1))))
@@ -140,12 +141,12 @@ def remove_repeats(
                     "at": pa.array((starts - words.first[row]).astype(np.int32)),
                 }
 
-    rows = emit_rows(keyed.select("_row", quoted(text).alias("_text")), candidates, {"h1": T.LongType(), "h2": T.LongType(), "_row": T.LongType(), "at": T.IntegerType()})
+    rows = emit_rows(keyed.select(F.col(ROW).alias("_row"), quoted(text).alias("_text")), candidates, {"h1": T.LongType(), "h2": T.LongType(), "_row": T.LongType(), "at": T.IntegerType()})
     single = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("_row").alias("_row"), F.min("at").alias("at")).where("n = 1")
-    single = stored(single.groupBy("_row").agg(F.collect_list("at").alias("_alone")))
-    if (single.agg(F.sum(F.size("_alone") + 1).alias("n")).first().n or 0) <= 1_000_000:  # some 10 MB
+    single = stored(single.groupBy(F.col("_row").alias(ROW)).agg(F.collect_list("at").alias(_ALONE)))
+    if (single.agg(F.sum(F.size(_ALONE) + 1).alias("n")).first().n or 0) <= 1_000_000:  # some 10 MB
         single = F.broadcast(single)
-    marked = keyed.join(single, "_row", "left")
+    marked = keyed.drop(_ALONE).join(single, ROW, "left")
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_words", "n_removed", "kept_text")]
 
     def cut(part: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -171,4 +172,4 @@ def remove_repeats(
         return {"n_words": pa.array(words.counts()), "n_removed": pa.array(removed), "kept_text": pa.array(kept, pa.string())}
 
     fields = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_text": T.StringType()}
-    return add_columns(marked, cut, fields, text, [*names, "_alone"]).drop("_alone")
+    return add_columns(marked, cut, fields, text, [*names, _ALONE]).drop(_ALONE)
