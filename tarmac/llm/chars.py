@@ -22,7 +22,7 @@ class KeyTable:
         self.order = np.argsort(slot, kind="stable")
         self.keys = np.append(keys[self.order], np.uint64(0))
         self.first = np.searchsorted(slot[self.order], np.arange((1 << self.bits) + 1)).astype(np.int32)
-        self.order = np.append(self.order, -1)
+        self.order = np.append(self.order, -1).astype(np.int32)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         mixed = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
