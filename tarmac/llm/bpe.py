@@ -31,7 +31,7 @@ from tarmac.llm.frames import add_columns
 #: White space as the pattern's own engine has it: Unicode's White_Space, without the separators \x1c-\x1f.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(r" (?=\S)")
-_CACHE = 400_000
+_CACHE = 200_000
 
 
 def byte_characters() -> list[str]:

@@ -37,7 +37,7 @@ from tarmac.llm.words import mix, slices
 
 #: A space before a character that is no white space starts a pre-token of byte-level BPE.
 _CUT = re.compile(r" (?=\S)")
-_CACHE = 400_000
+_CACHE = 200_000
 _SHARD_BYTES = 32 << 20
 _GAMMA = 1.5
 
