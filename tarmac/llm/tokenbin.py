@@ -18,13 +18,16 @@ the index leads to the first of them, and how many follow.  Rows without an id c
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -32,39 +35,67 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from tarmac.llm.bpe import byte_characters
 from tarmac.llm.frames import emit_rows, quoted, row_key, shared_dir, stored
 from tarmac.llm.words import mix, slices
 
 #: A space before a character that is no white space starts a pre-token of byte-level BPE.
 _CUT = re.compile(r" (?=\S)")
 _CACHE = 200_000
+#: Pre-tokens of byte-level BPE in cuts of letters below U+0250; the separators \x1c-\x1f are no white space to it.
+_PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\t-\r \x85\xa0\p{L}\p{N}]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+")
 _SHARD_BYTES = 32 << 20
 _GAMMA = 1.5
 
 
 class Encoder:
-    """Encodes by a tokenizers file; ids of pieces between spaces are kept in a bounded cache that changes no result."""
+    """Encodes by a tokenizers file of byte-level BPE.
+
+    Texts are cut before spaces that start a pre-token, and the ids of cuts are kept in two generations of a bounded
+    cache, which changes no result.  New cuts of letters below U+0250 (where all Unicode versions agree) are split into
+    pre-tokens here and go straight to the file's BPE model; all others go through the whole tokenizer.
+    """
 
     def __init__(self, definition: str, special_tokens_as_text: bool) -> None:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = special_tokens_as_text
+        parts = json.loads(definition)
+        before = parts["pre_tokenizer"] or {}
+        if parts["model"]["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or parts["normalizer"]:
+            raise ValueError("a byte-level BPE file without prefix space and normaliser is needed")
+        self.special = [] if special_tokens_as_text else [t["content"] for t in parts["added_tokens"]]
+        self.table = "".join(byte_characters())
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
-        self.cache: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _ids(self, cut: str) -> bytes:
+        if not cut:
+            return b""
+        if max(cut) >= "\u0250" or any(t in cut for t in self.special):
+            return array("I", self.tokenizer.encode(cut, add_special_tokens=False).ids).tobytes()
+        whole = (cut[0] == " " or cut[0].isalpha()) and (len(cut) == 1 or cut[1:].isalpha())
+        mapped = cut.encode().decode("latin-1").translate(self.table) if whole else None
+        tokens = self.model.tokenize(mapped) if whole else [t for m in _PRE_TOKEN.findall(cut) for t in self.model.tokenize(m.encode().decode("latin-1").translate(self.table))]
+        return array("I", [t.id for t in tokens]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cuts = []
+        out = []
         for text in texts:
-            own = _CUT.split(text or "")
-            own[1:] = [" " + c for c in own[1:]]
-            cuts.append(own)
-        new = list({c for own in cuts for c in own} - self.cache.keys())
-        if len(self.cache) + len(new) > _CACHE:
-            self.cache.clear()
-            new = list({c for own in cuts for c in own})
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.cache.update((c, np.array(e.ids, np.uint32).tobytes()) for c, e in zip(new, found, strict=True))
-        get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, own)), np.uint32) for own in cuts]
+            cuts = _CUT.split(text or "")
+            cuts[1:] = [" " + c for c in cuts[1:]]
+            if len(self.new) > _CACHE:
+                self.new, self.old = {}, self.new
+            new, old, ids = self.new, self.old, []
+            for cut in cuts:
+                found = new.get(cut)
+                if found is None:
+                    found = old.get(cut)
+                    new[cut] = found = self._ids(cut) if found is None else found
+                ids.append(found)
+            out.append(np.frombuffer(b"".join(ids), np.uint32))
+        return out
 
 
 @lru_cache(2)
