@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 from collections.abc import Callable, Mapping, Sequence
 from datetime import UTC, datetime
 
+import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+register_pickle_by_value(sys.modules[__name__])  # workers need not have this package on their path
+
 Adapter = Callable[[SparkSession, Mapping[str, str]], DataFrame]
 _ADAPTERS: dict[str, tuple[Adapter, tuple[str, ...]]] = {}
 
@@ -96,6 +101,15 @@ def dms_degrees(raw: Column) -> Column:
     return F.when((minutes < 60) & (seconds < 60), degrees + minutes / 60 + seconds / 3600)
 
 
+def decoded(encoding: str):
+    """Text of an encoding that Spark's readers do not have, read as Latin-1."""
+
+    def decode(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: t.encode("latin-1").decode(encoding, "replace"), na_action="ignore")
+
+    return F.pandas_udf(decode, T.StringType())
+
+
 def in_box(lon: Column, lat: Column, box: tuple[float, float, float, float]) -> Column:
     return lon.between(box[0], box[2]) & lat.between(box[1], box[3])
 
@@ -115,7 +129,11 @@ def tag_rules(tags: Column, rules: Sequence[Mapping[str, Sequence[str]]]) -> Col
 @adapter("accident_csv", ["path"])
 def accident_csv(spark: SparkSession, options: Mapping[str, str]) -> DataFrame:
     """Accident records: positions in degrees, minutes and seconds; rows out of range are left out."""
-    rows = spark.read.csv(options["path"], header=True, encoding=options.get("encoding", "cp932"))
+    raw = spark.read.csv(options["path"], header=True, encoding="ISO-8859-1", escape="\0")
+    encoding = options.get("encoding", "cp932")
+    rows = raw.select(*[F.col(f"`{c}`").alias(c.encode("latin-1").decode(encoding)) for c in raw.columns])
+    ascii_only = {"year", "prefecture", "police", "number", "longitude", "latitude"}
+    rows = rows.select(*[F.col(c) if c in ascii_only else decoded(encoding)(F.col(c)).alias(c) for c in rows.columns])
     out = rows.withColumn("lon", dms_degrees(F.col("longitude"))).withColumn("lat", dms_degrees(F.col("latitude")))
     out = out.where(in_box(F.col("lon"), F.col("lat"), (120.0, 20.0, 155.0, 47.0)))
     key = F.concat_ws("-", "year", "prefecture", "police", "number")

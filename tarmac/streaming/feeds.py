@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from tarmac.storage import stored
 
 
-def windowed(events: DataFrame, at: str, size: str, slide: str | None = None, late: str = "2 hours 30 minutes", keys: tuple[str, ...] = (), value: str = "value") -> DataFrame:
-    """Counts and sums by tumbling or sliding window; events later than ``late`` are dropped in a stream."""
+def windowed(events: DataFrame, at: str, size: str, slide: str | None = None, late: str | None = "2 hours 30 minutes", keys: tuple[str, ...] = (), value: str = "value") -> DataFrame:
+    """Counts and sums by tumbling or sliding window; events later than ``late`` are dropped in a stream (None: it has a watermark)."""
     window = F.window(at, size, slide) if slide else F.window(at, size)
-    return events.withWatermark(at, late).groupBy(window, *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), *keys, "n", "total")
+    events = events.withWatermark(at, late) if late else events
+    return events.groupBy(window, *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), *keys, "n", "total")
 
 
 def sessions(events: DataFrame, at: str, gap: str, keys: tuple[str, ...], late: str = "2 hours 30 minutes") -> DataFrame:
