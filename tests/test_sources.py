@@ -27,9 +27,8 @@ def test_places_reach_the_scan(spark, tmp_path):
     spark.createDataFrame([("a", "n", 0.9, (1.0, 2.0, 1.0, 2.0)), ("b", None, 0.9, (1.0, 2.0, 1.0, 2.0)), ("c", "n", 0.1, (1.0, 2.0, 1.0, 2.0)), ("d", "n", 0.9, (50.0, 51.0, 1.0, 2.0))], "id string, name string, confidence double, bbox struct<xmin:double,xmax:double,ymin:double,ymax:double>").write.parquet(str(tmp_path / "p"))
     out = ingest.read(spark, "places_parquet", {"path": str(tmp_path / "p"), "box": "0,0,10,10", "confidence": "0.5"})
     assert [r.natural_key for r in out.collect()] == ["a"]
-    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = out._jdf.queryExecution().explainString(formatted)
     assert "GreaterThanOrEqual(confidence" in plan and "bbox.xmin" in plan.split("PushedFilters")[1]
 
 
