@@ -218,7 +218,7 @@ def score(
     return add_columns(docs, run, {"nats": T.DoubleType()}, text, names)
 
 
-def thresholds(scored: DataFrame, lang: str = "lang", quantile: float = 0.995, least: int = 200) -> dict:
+def thresholds(scored: DataFrame, lang: str = "lang", quantile: float = 0.999, least: int = 200) -> dict:
     """The grid step of each language's quantile; ``...`` stands for all languages together.  One row a language reaches the driver."""
     steps = scored.where("nats is not null").groupBy(quoted(lang).alias("_lang"), F.ceil(F.col("nats") * _GRID).alias("step")).agg(F.count("*").alias("n"))
     steps = stored(steps)
@@ -231,7 +231,7 @@ def thresholds(scored: DataFrame, lang: str = "lang", quantile: float = 0.995, l
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep: list[str] | None = None, quantile: float = 0.995, max_ids: int = 2_000_000, **options
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep: list[str] | None = None, quantile: float = 0.999, max_ids: int = 2_000_000, **options
 ) -> DataFrame:
     """``docs`` with ``perplexity`` and ``kept``.  Trusted documents have labels, all of good quality and none toxic."""
     good = labels.groupBy(F.col("doc_id").alias("_label")).agg((F.min("quality") == 1).alias("_q"), (F.coalesce(F.max("toxic"), F.lit(0)) == 0).alias("_t"))
