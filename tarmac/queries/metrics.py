@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarmac.operators.aggregates import weighted_mean
 from tarmac.plans import axes as A
-from tarmac.queries.registry import Registry, table
+from tarmac.queries.registry import Registry, exact_tenth, table
 
 query = Registry()
 
@@ -77,9 +77,12 @@ def _unrounded(spark, sf_dir):
     return df.withColumns({"load": interpolate(load.raw(), load.points), "urgency": AXES[1].column(), "value": scored})
 
 
-@query(f"""WITH {_SCORES}, a AS (SELECT o_orderkey, round_even(load0, 1) AS load, urgency, round_even(value0, 1) AS value FROM s), b AS (SELECT *, CASE WHEN load IS NOT NULL AND value IS NOT NULL THEN round_even(load * 0.5 + value * 0.5, 1) END AS strain FROM a),
+_COMPOSITE = "(coalesce(load * 0.3, 0) + coalesce(urgency * 0.2, 0) + coalesce(value * 0.5, 0) + coalesce(strain * 0.4, 0)) / nullif(total, 0)"
+
+
+@query(f"""WITH {_SCORES}, a AS (SELECT o_orderkey, {exact_tenth("load0")} AS load, urgency, {exact_tenth("value0")} AS value FROM s), b AS (SELECT *, CASE WHEN load IS NOT NULL AND value IS NOT NULL THEN {exact_tenth("(load * 0.5 + value * 0.5)")} END AS strain FROM a),
     w AS (SELECT *, CASE WHEN load IS NULL THEN 0 ELSE 0.3 END + CASE WHEN urgency IS NULL THEN 0 ELSE 0.2 END + CASE WHEN value IS NULL THEN 0 ELSE 0.5 END + CASE WHEN strain IS NULL THEN 0 ELSE 0.4 END AS total FROM b)
-    SELECT o_orderkey, load, urgency, value, strain, round_even((coalesce(load * 0.3, 0) + coalesce(urgency * 0.2, 0) + coalesce(value * 0.5, 0) + coalesce(strain * 0.4, 0)) / nullif(total, 0), 1) AS difficulty FROM w ORDER BY difficulty DESC NULLS LAST, o_orderkey LIMIT 20""")
+    SELECT o_orderkey, load, urgency, value, strain, {exact_tenth(_COMPOSITE)} AS difficulty FROM w ORDER BY difficulty DESC NULLS LAST, o_orderkey LIMIT 20""")
 def flagship_axis_composite(spark, sf_dir):
     """Materials to axes (one reads two others, one has an override) to a weighted composite; the twenty hardest."""
     A.check(AXES, MATERIALS)

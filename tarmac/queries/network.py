@@ -42,7 +42,9 @@ def tree_junction(spark, sf_dir):
     return graph.junction(there, back)
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, there AS (SELECT 0::BIGINT AS n UNION SELECT head FROM there JOIN edges ON tail = n), back AS (SELECT 0::BIGINT AS n UNION SELECT tail FROM back JOIN edges ON head = n) SELECT n AS node FROM there INTERSECT SELECT n FROM back""")
+@query(f"""WITH RECURSIVE {_EDGES}, reach AS (SELECT tail AS a, head AS b FROM edges UNION SELECT a, head FROM reach JOIN edges ON tail = b), nodes AS (SELECT tail AS n FROM edges UNION SELECT head FROM edges),
+    mutual AS (SELECT n, n AS m FROM nodes UNION SELECT r.a, r.b FROM reach r JOIN reach s ON r.a = s.b AND r.b = s.a), named AS (SELECT n, min(m) AS root FROM mutual GROUP BY 1)
+    SELECT n AS node FROM named WHERE root = (SELECT root FROM named GROUP BY root ORDER BY count(*) DESC, root LIMIT 1)""")
 def strong_component(spark, sf_dir):
     return graph.largest_strong_component(_edges(spark, sf_dir))
 

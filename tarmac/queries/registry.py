@@ -26,3 +26,11 @@ class Registry:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def exact_tenth(x: str) -> str:
+    """SQL that rounds a double of up to 2^60 in size to a tenth by its exact binary value, half to even."""
+    unit = 1 << 60
+    ten = f"(10 * CAST(abs({x}) * {unit}.0 AS HUGEINT))"
+    tie = f"{ten} % {unit} = {unit // 2} AND ({ten} // {unit}) % 2 = 0"
+    return f"(sign({x}) * CAST(({ten} + {unit // 2}) // {unit} - CASE WHEN {tie} THEN 1 ELSE 0 END AS DOUBLE) / 10)"

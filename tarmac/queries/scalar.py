@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarmac.functions import geo, numbers, tags, text, weather
-from tarmac.queries.registry import Registry, table
+from tarmac.queries.registry import Registry, exact_tenth, table
 
 query = Registry()
 
@@ -89,7 +89,7 @@ def sigdigit_round(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", numbers.round_significant(F.col("p_retailprice")).alias("v"))
 
 
-@query()
+@query(f"""SELECT l_orderkey, l_linenumber, {exact_tenth("(l_extendedprice / 200)")} AS tenth FROM lineitem""")
 def round_half_exact(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numbers.round_tenth(F.col("l_extendedprice") / 200).alias("tenth"))
 

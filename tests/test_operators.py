@@ -219,3 +219,14 @@ def test_places(spark):
     keys = spark.createDataFrame([(1, "tokyo"), (2, "tokyo1"), (3, "to"), (4, "kyoto")], "area int, key string")
     assert [r.area for r in places.search(keys, "tokyo").collect()] == [1, 2]
     assert [r.area for r in places.search(keys, "tokx").collect()] == [3]
+
+
+def test_largest_strong_component_away_from_the_busiest_node(spark):
+    hub = [(0, i) for i in range(1, 9)] + [(i, 100) for i in range(1, 9)] + [(100, 0)]  # ten nodes, of highest degree
+    ring = [(200 + i, 200 + (i + 1) % 12) for i in range(12)]
+    pairs = [(300, 301), (301, 300), (301, 302), (8, 200), (205, 300), (400, 0)]
+    frame = spark.createDataFrame(hub + ring + pairs, "tail int, head int")
+    assert {r.node for r in graph.largest_strong_component(frame).collect()} == set(range(200, 212))
+    line = spark.createDataFrame([(3, 2), (2, 1)], "tail int, head int")
+    assert [r.node for r in graph.largest_strong_component(line).collect()] == [1]
+    assert graph.largest_strong_component(line.limit(0)).count() == 0
