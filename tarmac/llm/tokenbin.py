@@ -73,7 +73,7 @@ class Encoder:
     def _ids(self, cut: str) -> bytes:
         if not cut:
             return b""
-        if max(cut) >= "\u0250" or any(t in cut for t in self.special):
+        if not cut.isascii() and max(cut) >= "\u0250" or self.special and any(t in cut for t in self.special):
             return array("I", self.tokenizer.encode(cut, add_special_tokens=False).ids).tobytes()
         whole = (cut[0] == " " or cut[0].isalpha()) and (len(cut) == 1 or cut[1:].isalpha())
         mapped = cut.encode().decode("latin-1").translate(self.table) if whole else None
@@ -87,14 +87,11 @@ class Encoder:
             cuts[1:] = [" " + c for c in cuts[1:]]
             if len(self.new) > _CACHE:
                 self.new, self.old = {}, self.new
-            new, old, ids = self.new, self.old, []
-            for cut in cuts:
-                found = new.get(cut)
-                if found is None:
-                    found = old.get(cut)
-                    new[cut] = found = self._ids(cut) if found is None else found
-                ids.append(found)
-            out.append(np.frombuffer(b"".join(ids), np.uint32))
+            new, old = self.new, self.old
+            for cut in set(cuts).difference(new):
+                found = old.get(cut)
+                new[cut] = self._ids(cut) if found is None else found
+            out.append(np.frombuffer(b"".join(map(new.__getitem__, cuts)), np.uint32))
         return out
 
 
