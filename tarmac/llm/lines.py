@@ -1,21 +1,22 @@
-"""Line dedup by pairwise alignment: shared rare lines find overlapping documents, patience diff aligns them.
-
-A line that occurs in more than one document links each later document to the first that has it ("later" by id, null
-first, then row key).  So a line in n documents makes n - 1 pairs, however common it is: no pair list is capped, and
-groups of copies are not expanded into all pairs.  Each pair is aligned on the lines linked by it: lines that occur
-once in both anchor a longest increasing run, gaps between anchors are aligned likewise, and what touches an anchor
-extends it.  A block of aligned lines that are adjacent in both documents goes from the later document if it has at
-least ``min_chars`` characters and holds a rare line (in at most ``rare`` documents), or if it has ``long_chars``
-characters, so common boilerplate between texts of a document's own stays while copies of any number go.
-
-Lines are compared as they are.  Blank lines link nothing and stay.  Null text has no lines and stays null.  Rows
-alike in id and text are one document here, and change alike.  Lines are hashed to 128 bits.
+"""Line dedup by pairwise alignment: shared runs of lines find overlapping documents, patience diff aligns them.
+
+Runs of adjacent lines are looked up by hash: the shortest ones of ``min_chars`` from each line on and up to it,
+adjacent pairs, the shortest long ones, and whole documents.  A run that occurs in more than one document links each
+later document to the first that has it ("later" by id, null first, then row key), so a run in n documents makes n - 1
+pairs and no pair list is capped.  A linked run goes from the later document if it is rare (in at most ``rare``
+documents or, in large tables, ``rare_share`` of all), if it is long (``long_chars`` characters, or more than a sixth
+as many words), or if it is all of its document, however many have it.  Common boilerplate between texts of a
+document's own stays.  A rare run makes a pair, which is aligned on all lines that the two share, common ones included:
+lines that occur once in both anchor a longest increasing run, gaps between anchors are aligned likewise, and what
+touches an anchor extends it.  An aligned block that holds the run goes whole.
+
+Lines are compared as they are.  Blank lines link nothing, end no block and stay.  Null text has no lines and stays
+null.  Rows alike in id and text are one document here, and change alike.  Lines and runs are hashed to 128 bits.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,9 @@ from pyspark.sql import types as T
 from tarmac.llm.frames import RESERVED, ROW, emit_rows, quoted, row_key, stored
 from tarmac.llm.words import FIRST, SECOND, Words, slices
 
+#: Letters a word, where a length in characters stands for one in words.
+LETTERS = 6
+
 
 def _increasing(values: list[int]) -> list[int]:
     """Indices of a longest strictly increasing subsequence."""
@@ -85,8 +89,8 @@ def blocks(later: dict[int, object], earlier: dict[int, object]) -> list[list[in
     return out
 
 
-def _line_rows(docs: DataFrame) -> DataFrame:
-    """``(_id, _row, h1, h2, at, chars)`` for each document and different line that is not blank; ``at`` are its numbers."""
+def _line_lists(docs: DataFrame) -> DataFrame:
+    """``(_id, _row, h1, h2, number, chars, words)``: for each document lists over its lines that are not blank."""
 
     def run(batches):
         for batch in batches:
@@ -96,55 +100,133 @@ def _line_rows(docs: DataFrame) -> DataFrame:
                 starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
                 row = np.searchsorted(words.rows, starts, "right") - 1
                 number = np.arange(len(starts)) - np.searchsorted(starts, words.rows[:-1])[row] if len(starts) else starts
-                full = np.searchsorted(words.starts, ends) > np.searchsorted(words.starts, starts)
-                starts, ends, row, number = starts[full], ends[full], row[full], number[full]
-                h1, h2 = (f.words(words.data, starts, ends) for f in (FIRST, SECOND))
-                order = np.lexsort((number, h2, h1, row))
-                starts, ends, row, number, h1, h2 = (x[order] for x in (starts, ends, row, number, h1, h2))
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-                first = np.flatnonzero(new)
-                own = part.take(pa.array(row[first]))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(number.astype(np.int32)))
+                n_words = np.searchsorted(words.starts, ends) - np.searchsorted(words.starts, starts)
+                full = n_words > 0
+                starts, ends, row, number, n_words = starts[full], ends[full], row[full], number[full], n_words[full]
                 letters = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
+                bounds = pa.array(np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32))
+                listed = lambda x, t: pa.ListArray.from_arrays(bounds, pa.array(x.astype(t)))  # noqa: E731, B023
                 yield {
-                    "_id": own.column("_id"), "_row": own.column("_row"), "h1": pa.array(h1[first].view(np.int64)), "h2": pa.array(h2[first].view(np.int64)),
-                    "at": lists, "chars": pa.array((letters[ends] - letters[starts])[first].astype(np.int32)),
+                    "_id": part.column("_id"), "_row": part.column("_row"), "h1": listed(FIRST.words(words.data, starts, ends).view(np.int64), np.int64), "h2": listed(SECOND.words(words.data, starts, ends).view(np.int64), np.int64),
+                    "number": listed(number, np.int32), "chars": listed(letters[ends] - letters[starts], np.int32), "words": listed(n_words, np.int32),
                 }
 
-    fields = {"_id": docs.schema["_id"].dataType, "_row": T.LongType(), "h1": T.LongType(), "h2": T.LongType(), "at": T.ArrayType(T.IntegerType()), "chars": T.IntegerType()}
-    return emit_rows(docs, run, fields)
-
+    longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
+    fields = {"_id": docs.schema["_id"].dataType, "_row": T.LongType(), "h1": longs, "h2": longs, "number": ints, "chars": ints, "words": ints}
+    return emit_rows(docs.dropDuplicates(["_row"]), run, fields)
+
+
+def spans(rows: np.ndarray, chars: np.ndarray, words: np.ndarray, min_chars: int, long_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(start, end, sure)`` of the runs that are looked up, where ``rows[i]:rows[i + 1]`` are the lines of document ``i``.
+
+    From each line on and up to each line: the shortest run of at least ``min_chars``, and the shortest long one; two
+    adjacent lines of at least ``min_chars``; and all lines of a document.  Long runs and whole documents are ``sure``.
+    Every line of a block of either size lies in such a run inside the block.
+    """
+    size, count = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (chars, words))
+    line = np.arange(len(chars))
+    doc = np.searchsorted(rows, line, "right") - 1
+    low, high = rows[doc], rows[doc + 1]
+    ends_at = lambda total, least: np.searchsorted(total, total[:-1] + least)
+    starts_at = lambda total, least: np.searchsorted(total, total[1:] - least, "right") - 1
+    least, many = max(min_chars, 1), long_chars // LETTERS + 1
+    long_end, long_start = np.minimum(ends_at(size, long_chars), ends_at(count, many)), np.maximum(starts_at(size, long_chars), starts_at(count, many))
+    some = np.flatnonzero(np.diff(rows))
+    found = [(line, ends_at(size, least)), (starts_at(size, least), line + 1), (line, line + 2), (line, long_end), (long_start, line + 1)]
+    start, end, doc = (np.concatenate(x) for x in ([*(f[0] for f in found), rows[some]], [*(f[1] for f in found), rows[some + 1]], [doc] * 5 + [some]))
+    low, high = rows[doc], rows[doc + 1]
+    inside = (start >= low) & (end <= high)
+    start, end, low, high = start[inside], end[inside], low[inside], high[inside]
+    whole = (start == low) & (end == high)
+    enough = whole | (size[end] - size[start] >= least)
+    start, end, whole = start[enough], end[enough], whole[enough]
+    _, once = np.unique(start * (len(chars) + 1) + end, return_index=True)
+    start, end, whole = start[once], end[once], whole[once]
+    return start, end, whole | (size[end] - size[start] >= long_chars) | (count[end] - count[start] >= many)
+
+
+def _runs(lists: DataFrame, min_chars: int, long_chars: int) -> DataFrame:
+    """``(_id, _row, h1, h2, at, n, sure)`` for each document and different run of lines: where it starts, and its lines."""
 
-def removals(docs: DataFrame, rare: int = 100, min_chars: int = 40, long_chars: int = 300, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            flat = lambda c: batch.column(c).flatten().to_numpy()  # noqa: E731, B023
+            rows = np.concatenate([[0], np.cumsum(batch.column("chars").value_lengths().to_numpy())]).astype(np.int64)
+            start, end, sure = spans(rows, flat("chars"), flat("words"), min_chars, long_chars)
+            h1, h2 = FIRST.spans(flat("h1").view(np.uint64), start, end), SECOND.spans(flat("h2").view(np.uint64), start, end)
+            doc = np.searchsorted(rows, start, "right") - 1
+            order = np.lexsort((start, h2, h1, doc))
+            start, end, sure, h1, h2, doc = (x[order] for x in (start, end, sure, h1, h2, doc))
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+            first = np.flatnonzero(new)
+            own = batch.select(["_id", "_row"]).take(pa.array(doc[first]))
+            at = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array((start - rows[doc]).astype(np.int32)))
+            yield {
+                "_id": own.column("_id"), "_row": own.column("_row"), "h1": pa.array(h1[first].view(np.int64)), "h2": pa.array(h2[first].view(np.int64)),
+                "at": at, "n": pa.array((end - start)[first].astype(np.int32)), "sure": pa.array(sure[first]),
+            }
+
+    fields = {"_id": lists.schema["_id"].dataType, "_row": T.LongType(), "h1": T.LongType(), "h2": T.LongType(), "at": T.ArrayType(T.IntegerType()), "n": T.IntegerType(), "sure": T.BooleanType()}
+    return emit_rows(lists, run, fields)
+
+
+def widened(later: list[int], earlier: list[int], runs: list[tuple[int, int]]) -> set[int]:
+    """Lines of the later document in aligned blocks that hold one of its ``runs`` (first line, number of lines).
+
+    All lines that both have are aligned; what is left is aligned again, so blocks in another order are found too.
+    """
+    both = set(later) & set(earlier)
+    mine, theirs = {i: x for i, x in enumerate(later) if x in both}, {j: x for j, x in enumerate(earlier) if x in both}
+    gone: set[int] = set()
+    todo = runs
+    while todo:
+        held = [b for b in blocks(mine, theirs) if any(b[0] <= s and s + n - 1 <= b[-1] for s, n in todo)]
+        if not held:
+            break
+        for block in held:
+            gone.update(block)
+            for i in block:
+                del mine[i]
+        todo = [(s, n) for s, n in todo if all(i in mine for i in range(s, s + n))]
+    return gone
+
+
+def removals(
+    docs: DataFrame, rare: int = 100, min_chars: int = 40, long_chars: int = 300, doc_id: str = "doc_id", text: str = "text", rare_share: float = 0.01
+) -> DataFrame:
     """``(_row, gone)``: for each row key with removed lines, a mask by line number."""
-    rows = _line_rows(docs.select(quoted(doc_id).alias("_id"), row_key(doc_id, text).alias("_row"), quoted(text).alias("_text")))
-    order = F.struct("_id", "_row")
     # rows alike in id and text are one document
-    shared = rows.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.min(order).alias("first"), F.min_by("at", order).alias("first_at"), F.max(order).alias("last"))
-    shared = stored(shared.where("first <> last").select("h1", "h2", "docs", F.col("first._row").alias("owner"), "first_at"))
-    links = rows.join(shared, ["h1", "h2"]).where("_row <> owner")
-    pairs = links.groupBy("_row").agg(F.collect_set(F.struct("owner", "h1", "h2", "at", "first_at", "chars", "docs")).alias("lines"))
+    lists = stored(_line_lists(docs.select(quoted(doc_id).alias("_id"), row_key(doc_id, text).alias("_row"), quoted(text).alias("_text"))))
+    limit = max(rare, int(rare_share * lists.count()))
+    rows = _runs(lists, min_chars, long_chars)
+    shared = rows.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.min(F.struct("_id", "_row")).alias("first"))
+    shared = stored(shared.where("docs > 1").select("h1", "h2", (F.col("docs") <= limit).alias("rare"), F.col("first._row").alias("owner")))
+    links = rows.select("_row", "h1", "h2", "at", "n", "sure").join(shared, ["h1", "h2"]).where("_row <> owner and (sure or rare)")
+    links = stored(links.select("_row", F.when(F.col("rare"), F.col("owner")).alias("owner"), "at", "n"))
+    partners = links.where("owner is not null").select("_row", "owner").distinct().join(lists.select(F.col("_row").alias("owner"), F.col("h1").alias("theirs")), "owner")
+    partners = partners.groupBy("_row").agg(F.collect_list(F.struct("owner", "theirs")).alias("partners"))
+    found = links.groupBy("_row").agg(F.collect_list(F.struct("owner", "at", "n")).alias("runs")).join(partners, "_row", "left").join(lists.select("_row", "h1", "number"), "_row")
 
     def align(batches):
         for batch in batches:
             keys, masks = [], []
-            for key, lines in zip(batch.column("_row").to_pylist(), (x.as_py() for x in batch.column("lines")), strict=True):
+            for i, key in enumerate(batch.column("_row").to_pylist()):
+                mine, number = batch.column("h1")[i].as_py(), batch.column("number")[i].as_py()
                 gone: set[int] = set()
-                for _, group in groupby(sorted(lines, key=lambda x: x["owner"]), lambda x: x["owner"]):
-                    own = {(x["h1"], x["h2"]): x for x in group}
-                    later = {i: k for k, x in own.items() for i in x["at"]}
-                    for block in blocks(later, {i: k for k, x in own.items() for i in x["first_at"]}):
-                        held = [own[later[i]] for i in block]
-                        size = sum(x["chars"] for x in held)
-                        if size >= long_chars or size >= min_chars and min(x["docs"] for x in held) <= rare:
-                            gone.update(block)
-                if gone:
-                    keys.append(key)
-                    masks.append([i in gone for i in range(max(gone) + 1)])
+                by_owner: dict[int, list[tuple[int, int]]] = {}
+                for x in batch.column("runs")[i].as_py():
+                    for s in x["at"]:
+                        gone.update(range(s, s + x["n"]))
+                        by_owner.setdefault(x["owner"], []).append((s, x["n"]))
+                for partner in batch.column("partners")[i] if len(gone) < len(mine) and batch.column("partners")[i].is_valid else ():
+                    gone |= widened(mine, partner["theirs"].as_py(), by_owner[partner["owner"].as_py()])
+                keys.append(key)
+                cut = {number[x] for x in gone}
+                masks.append([x in cut for x in range(max(cut) + 1)])
             yield {"_row": pa.array(keys, pa.int64()), "gone": pa.array(masks, pa.list_(pa.bool_()))}
 
-    return emit_rows(pairs, align, {"_row": T.LongType(), "gone": T.ArrayType(T.BooleanType())})
+    return emit_rows(found, align, {"_row": T.LongType(), "gone": T.ArrayType(T.BooleanType())})
 
 
 def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -228,3 +228,21 @@ def test_empty_tables(spark, empty):
 def test_digests_of_the_queries(docs, corpus):
     coded = bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, keep=["doc_id"]).select("ids", F.sha2("ids", 256).alias("s"), F.crc32("ids").alias("c")).collect()
     assert all(hashlib.sha256(r.ids).hexdigest() == r.s and zlib.crc32(r.ids) == r.c for r in coded)
+
+
+def cut_lines(spark, texts, **options):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return [r.text for r in lines.remove_lines(frame, **options).orderBy("doc_id").collect()]
+
+
+def test_line_dedup_blocks_of_lines_first_seen_elsewhere(spark):
+    a, b, c, d = (f"{x} is a line of some length, which is more than forty letters" for x in "abcd")
+    # every line of the passage has another first document
+    assert cut_lines(spark, [f"own 0\n{a}", f"own 1\n{b}", f"{a}\n{b}", f"here\n{a}\n{b}\nthere"], rare=2)[3] == "here\nthere"
+    # a common line inside it, and common short ones at its ends, go with it
+    common = [f"{i} starts\n{b}\nand\n{i} ends\nof it" for i in range(6)]
+    assert cut_lines(spark, [*common, f"x\n{a}\n{b}\n{c}\nand\nof it\ny", f"z\n{a}\n{b}\n{c}\nand\nof it\nw"], rare=2)[7] == "z\nw"
+    # short lines whose block alone has the length; blocks in another order
+    e, f, g = "short one, twelve", "short two, twelve", "short three, twelve"
+    assert cut_lines(spark, [f"{e}\n{f}", f"{f}\n{g}", f"{e}\n{f}\n{g}", f"my\n{e}\n{f}\n{g}\nown"])[3] == "my\nown"
+    assert cut_lines(spark, [f"{a}\n{b}\nmid\n{c}\n{d}", f"{c}\n{d}\nnew\n{a}\n{b}"])[1] == "new"
