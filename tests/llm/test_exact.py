@@ -246,3 +246,21 @@ def test_line_dedup_blocks_of_lines_first_seen_elsewhere(spark):
     e, f, g = "short one, twelve", "short two, twelve", "short three, twelve"
     assert cut_lines(spark, [f"{e}\n{f}", f"{f}\n{g}", f"{e}\n{f}\n{g}", f"my\n{e}\n{f}\n{g}\nown"])[3] == "my\nown"
     assert cut_lines(spark, [f"{a}\n{b}\nmid\n{c}\n{d}", f"{c}\n{d}\nnew\n{a}\n{b}"])[1] == "new"
+
+
+def test_line_dedup_of_common_copies(spark):
+    text = "a short text of forty letters and a few more of them"
+    # whole documents go at any number, also over blank lines, short, or within an earlier document
+    assert set(cut_lines(spark, [text] * 120)[1:]) == {""}
+    assert set(cut_lines(spark, [f"{text}\n\nmore of it"] * 5, rare=2)[1:]) == {""}
+    assert cut_lines(spark, ["tiny"] * 5, rare=2)[1:] == [""] * 4
+    # so do blocks of 300 characters or over 50 words, whose paragraphs stand apart
+    long = "\n\n".join(f"paragraph {i} of a passage that is copied {'x' * 70}" for i in range(4))
+    wordy = "\n".join("a of " * 9 + str(i) for i in range(4))
+    for passage in (long, wordy):
+        got = cut_lines(spark, [f"own {i}\n{passage}\nend {i}" for i in range(6)], rare=2)
+        assert all(g.split() == f"own {i} end {i}".split() for i, g in enumerate(got) if i)
+    # a common short line between texts of a document's own stays, and a share of all documents is rare in a large table
+    own = [f"own {i}\n{text}\nend {i}" for i in range(6)]
+    assert cut_lines(spark, own, rare=2) == own
+    assert cut_lines(spark, own, rare=2, rare_share=1.0)[1:] == [f"own {i}\nend {i}" for i in range(1, 6)]
