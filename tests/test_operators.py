@@ -230,3 +230,16 @@ def test_largest_strong_component_away_from_the_busiest_node(spark):
     line = spark.createDataFrame([(3, 2), (2, 1)], "tail int, head int")
     assert [r.node for r in graph.largest_strong_component(line).collect()] == [1]
     assert graph.largest_strong_component(line.limit(0)).count() == 0
+
+
+def test_path_of_many_steps(spark):
+    long = spark.range(17_000).select(F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("prev"))
+    got = [(r.step, r.node) for r in graph.path(long, F.lit(16_999)).orderBy("step").collect()]
+    assert got == [(i, i) for i in range(17_000)]
+
+
+def test_cheapest_path_of_more_than_200_hops(spark):
+    """Takes minutes: every hop is a stored round."""
+    chain = spark.range(206).select(F.col("id").alias("tail"), (F.col("id") + 1).alias("head"), F.lit(1.0).alias("cost")).coalesce(1)
+    tree = graph.relax(chain, spark.createDataFrame([(0, 0.0)], "node bigint, cost double"))
+    assert {r.node: r.cost for r in tree.collect()} == {i: float(i) for i in range(207)}
