@@ -4,7 +4,8 @@ A page is read once into text nodes, each with its root-to-leaf tag path (tag an
 ratios over the page: text length for each node, and punctuation for each node.  Each ratio, laid out in page order
 over the nodes, is smoothed by a short kernel; both are scaled to the page's highest and fused by a product with link
 density; paths whose mean fused value passes a share of the page's mean are content.  Headings of a content container,
-and further blocks that have the same parent path as content, are content with it.
+and further blocks under the same parent path as content at any depth (list items, table cells, captions), are content
+with it, if links are less than half of them; of the body itself only what text elements alone lead to.
 
 What a page says of itself comes first: text under navigation, header, footer, aside, form, script, style and the
 like, or under an element named as menu, sidebar, advert, notice or comments, is never content, and if an ``article``
@@ -49,6 +50,9 @@ _NAMES = frozenset(
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+# Elements that structure text; a path through these alone leads from a body's text to more of it.
+_FLOW = frozenset("blockquote caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 li ol p pre table tbody td tfoot th thead tr ul".split())
+_CLASS = re.compile(r"""(?:^|\s)class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPLIT = re.compile(r"[\s_\-]+|(?<=[a-z])(?=[A-Z])")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：¿¡]")
 _SPACE = re.compile(r"\s+")
@@ -82,7 +86,7 @@ def _outside(name: str, attributes: str, in_article: bool) -> bool:
 
 def blocks_of(html: str) -> list[Block]:
     """The blocks with text of a page, in order."""
-    stack: list[tuple[str, bool, bool]] = []  # name, outside, article
+    stack: list[tuple[str, bool, bool, str]] = []  # name, outside, article, name with classes
     out: list[Block] = []
     current: Block | None = None
     skip, links, at = "", 0, 0
@@ -94,7 +98,7 @@ def blocks_of(html: str) -> list[Block]:
                 return
             chain = [s for s in stack if s[0] in _BLOCK]
             articles = [i for i, s in enumerate(stack) if s[2]]
-            current = Block(tuple(s[0] for s in chain), bool(chain) and chain[-1][0] in _HEADINGS, articles[0] + 1 if articles else 0, any(s[1] for s in stack))
+            current = Block(tuple(s[3] for s in chain), bool(chain) and chain[-1][0] in _HEADINGS, articles[0] + 1 if articles else 0, any(s[1] for s in stack))
             out.append(current)
         current.parts.append(text)
         if links:
@@ -162,7 +166,9 @@ def blocks_of(html: str) -> list[Block]:
             current = None
         attributes = token[3].rstrip("/")
         article = name in ("article", "main")
-        stack.append((name, _outside(name, attributes, any(s[2] for s in stack)), article))
+        classes = _CLASS.search(attributes) if name in _BLOCK and attributes else None
+        path_name = ".".join([name, *sorted((classes[1] or classes[2] or classes[3] or "").split())]) if classes else name
+        stack.append((name, _outside(name, attributes, any(s[2] for s in stack)), article, path_name))
         links += name == "a"
         if token[3].endswith("/") and name not in _BLOCK:
             stack.pop()
@@ -202,7 +208,18 @@ def select(blocks: list[Block], threshold: float) -> list[Block]:
     chosen = {p for p, i in paths.items() if by_path[i] >= threshold * (by_path * weight).sum() / weight.sum() and by_path[i] > 0}
     parents = {p[:-1] for p in chosen}
     sparse = {p for p, i in paths.items() if plain[which == i][0] >= 0.5}
-    return [b for b in rest if b.path in chosen or b.path in sparse and (b.parent in parents or b.heading and any(q[: len(b.parent)] == b.parent for q in parents))]
+    starts = {p[:n] for p in chosen for n in range(len(p) + 1)}
+
+    def beside(block: Block) -> bool:
+        for n in range(len(block.path)):
+            if block.path[:n] in parents:
+                top = block.path[n - 1].partition(".")[0] if n else "body"
+                if n == len(block.parent) or block.inside or top not in ("html", "body") or all(x.partition(".")[0] in _FLOW for x in block.path[n:]):
+                    return True
+        return False
+
+    few_links = lambda b: b.path in sparse or 2 * b.linked <= len(b.text)
+    return [b for b in rest if b.path in chosen or few_links(b) and (beside(b) or b.heading and b.parent in starts)]
 
 
 def main_text(html: str | None, threshold: float = 0.5) -> str:

@@ -178,3 +178,18 @@ def test_page_text(spark):
     assert all(r.n_chars == len(r.text) for r in got)
     assert {r.page_id: r.n_chars for r in got}[6] == len(("long text, yes. " * 20_000).strip())
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_page_text_of_lists_tables_and_captions():
+    long = "A long paragraph of the article, with commas, and full stops. It goes on, and on, for a while. " * 4
+    inner = (
+        f"<p>{long}</p><ul><li>Tea</li><li>Milk</li></ul><table><tr><th>City</th><td>Kyoto</td></tr></table><dl><dt>Term</dt><dd>Sense</dd></dl>"
+        f"<figure><figcaption>A caption</figcaption></figure><p>{long}</p><ul><li><a href=x>Linked elsewhere</a></li></ul>"
+    )
+    want = [long.strip(), "Tea", "Milk", "City", "Kyoto", "Term", "Sense", "A caption", long.strip()]
+    for page in (f"<article>{inner}</article>", f"<body><div class='story'>{inner}</div></body>", f"<body>{inner}</body>"):
+        assert html.main_text(page).split("\n") == want
+    # containers of other classes have ratios of their own
+    page = f"<body><div class='story'><p>{long}</p><p>{long}</p></div><div class='box'><p>Short</p></div><div class='box'><p>Words</p></div></body>"
+    assert html.main_text(page).split("\n") == [long.strip()] * 2
+    assert {b.path for b in html.blocks_of("<div class='b a'><p>text</p></div>")} == {("div.a.b", "p")}
