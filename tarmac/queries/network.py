@@ -96,8 +96,8 @@ def directed_edges(spark, sf_dir):
     return graph.single_edges(graph.directed(ways).select("tail", "head", "edge", "cost"))
 
 
-def _ways(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 3000").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 400).alias("node")).groupBy("l_orderkey", "l_linenumber").agg(F.min("node").alias("node"))
+def _ways(spark, sf_dir, where: str = "true"):
+    lines = table(spark, sf_dir, "lineitem").where(where).select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 400).alias("node")).groupBy("l_orderkey", "l_linenumber").agg(F.min("node").alias("node"))
     x, y = 139 + F.col("node") * 37 % 1000 / 1000.0, 35 + F.col("node") * 61 % 700 / 1000.0
     rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "node", x.alias("lon"), y.alias("lat"))))
     return lines.groupBy(F.col("l_orderkey").alias("way")).agg(rows.alias("r")).select("way", F.col("r.node").alias("node_ids"), F.transform("r", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("points")).where(F.size("node_ids") > 1)
@@ -108,7 +108,7 @@ def _ways(spark, sf_dir):
     spans AS (SELECT way, s, e FROM cuts WHERE e IS NOT NULL AND NOT (a = b AND e - s > 1) UNION ALL SELECT way, s, (s + e) // 2 FROM cuts WHERE a = b AND e - s > 1 UNION ALL SELECT way, (s + e) // 2, e FROM cuts WHERE a = b AND e - s > 1)
     SELECT x.way, (row_number() OVER (PARTITION BY x.way ORDER BY s) - 1)::INT AS segment, p.node AS from_node, q.node AS to_node FROM spans x JOIN w p ON p.way = x.way AND p.pos = s JOIN w q ON q.way = x.way AND q.pos = e WHERE p.node <> q.node""")
 def topology(spark, sf_dir):
-    return derive.segments(_ways(spark, sf_dir)).select("way", "segment", "from_node", "to_node")
+    return derive.segments(_ways(spark, sf_dir, "l_orderkey < 3000")).select("way", "segment", "from_node", "to_node")  # as its SQL
 
 
 @query()
