@@ -1,13 +1,17 @@
 """Quality classifier: an interpolated modified Kneser-Ney character model of trusted text.
 
-Tokens are characters of an alphabet, the ``letters`` most frequent code points of the trusted text; all others share
-one unknown symbol, and four start symbols lead each text, so that n-grams up to order five pack into 60 bits.  Counts
-of five-grams come from all trusted text, combined in each task, then summed by key; the lower orders have continuation
-counts.  Each order's counts are joined with its context sums, sharded by context, and with the next lower order's
-probabilities, sharded by suffix: p(w|h) = (c - D(c)) / c(h) + g(h) p(w|h').
-
-Documents get their perplexity for each character.  A model of up to ``max_broadcast`` n-grams travels to the texts;
-beyond that the texts' n-grams travel to the model, in joins sharded by n-gram.  Both give the same values.
+Tokens are characters.  The ``letters`` most frequent code points of the trusted text are one symbol each, every other
+code point is spelled by two (its upper bits, then its lower eleven), so no character is unknown whatever the script.
+Four start symbols lead each text, and n-grams up to order five pack into 60 bits.  Counts of five-grams come from all
+trusted text, combined in each task, then summed by key; the lower orders have continuation counts.  Each order's
+counts are joined with its context sums, sharded by context, and with the next lower order's probabilities, sharded by
+suffix: p(w|h) = (c - D(c)) / c(h) + g(h) p(w|h').
+
+Documents get their perplexity for each character.  A model of up to ``max_broadcast`` n-grams (some 16 bytes each)
+travels to the texts.  A larger one stays in place: texts are dealt into blocks of ``block_bytes``, each block's
+different n-grams are joined with the model's shards, order by order while they are not found, and their scores return
+to the block.  A block asks for an n-gram once, so no n-gram is a hot key.  Both give the same values, but for the
+order of additions.
 
 A language's threshold is a quantile of the perplexity of trusted documents that the model has not seen (half of them
 are held back), on a grid of thousandths of a nat; a language with fewer than ``least`` of them uses all languages'
@@ -21,44 +25,54 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tarmac.llm.chars import KeyTable, code_points
-from tarmac.llm.frames import ROW, add_columns, emit_rows, quoted, row_key, stored
+from tarmac.llm.frames import add_columns, emit_rows, importable, quoted, stored
 from tarmac.llm.words import slices
 
 ORDER = 5
 _WIDTH = 12
 _GRID = 1000
+#: Symbol 0 starts a text; then come the upper parts of spelled code points, their lower parts, and code points of their own.
+_LOW = 11
+_LOWER = 1 + (0x110000 >> _LOW)
+_OWN = _LOWER + (1 << _LOW)
 
 
 class Alphabet:
-    """Symbols of code points: 0 starts a text, 1 is unknown, the rest are learned."""
+    """Symbols of code points."""
 
     def __init__(self, points: list[int]) -> None:
-        self.size = len(points) + 2
-        self.table = np.ones(0x110000, np.uint16)
-        self.table[points] = np.arange(2, self.size)
+        self.size = _OWN + len(points)
+        self.table = np.zeros(0x110000, np.uint16)
+        self.table[points] = np.arange(_OWN, self.size)
 
-    def grams(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The five-gram that ends at each character, packed; and the bounds of each text in them."""
+    def grams(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The five-gram that ends at each symbol, packed; the bounds of each text in them; and each text's characters."""
         lead = ORDER - 1
         points, rows = code_points(texts, "\0" * lead)
-        symbols = self.table[points]
         start = (rows[:-1, None] + np.arange(lead)).ravel()
-        symbols[start] = 0
-        symbols = symbols.astype(np.uint64)
+        spelled = self.table[points] == 0
+        spelled[start] = False
+        at = np.arange(len(points)) + np.cumsum(spelled) - spelled
+        symbols = np.zeros(len(points) + spelled.sum(), np.uint64)
+        symbols[at] = np.where(spelled, 1 + (points >> _LOW), self.table[points])
+        symbols[at[spelled] + 1] = _LOWER + (points[spelled] & ((1 << _LOW) - 1))
+        symbols[at[start]] = 0
         packed = symbols.copy()
         for back in range(1, ORDER):
             packed[back:] |= symbols[:-back] << np.uint64(_WIDTH * back)
         own = np.ones(len(packed), bool)
-        own[start] = False
-        return packed[own], rows - lead * np.arange(len(rows))
+        own[at[start]] = False
+        return packed[own], np.append(at, len(symbols))[rows] - lead * np.arange(len(rows)), np.diff(rows) - lead
 
 
-def learn_alphabet(texts: DataFrame, letters: int = 4094) -> Alphabet:
+def learn_alphabet(texts: DataFrame, letters: int = (1 << _WIDTH) - _OWN) -> Alphabet:
     """The most frequent code points of ``_text`` (ties: the smaller)."""
 
     def count(batches):
@@ -88,7 +102,7 @@ def count_grams(texts: DataFrame, alphabet: Alphabet, flush: int = 4_000_000) ->
 
         for batch in batches:
             for part in slices(batch, "_text"):
-                found, _ = shipped.value.grams(part.column("_text"))
+                found, _, _ = shipped.value.grams(part.column("_text"))
                 grams, counts = merged(*np.unique(found, return_counts=True))
                 if len(grams) > flush:
                     yield {"gram": pa.array(grams.view(np.int64)), "c": pa.array(counts)}
@@ -165,55 +179,93 @@ class Model:
         return out
 
 
-def _joined(docs: DataFrame, probabilities: list[DataFrame], weights: list[DataFrame], alphabet: Alphabet, text: str) -> DataFrame:
-    """``(_row, nats, n_scored)`` with the model in place and the texts' n-grams dealt to it."""
+def _means(logs: np.ndarray, rows: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Mean negative log probability of each text's characters; null without any."""
+    total = np.array([logs[s:e].sum() for s, e in zip(rows[:-1], rows[1:], strict=True)])
+    return pa.array(np.divide(-total, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)
+
+
+def resolve(wanted: DataFrame, probabilities: list[DataFrame], weights: list[DataFrame], alphabet: Alphabet, n: int = ORDER) -> DataFrame:
+    """``(gram, logp)`` of the different n-grams ``gram``: what an order does not have goes on to the next lower one."""
+    found = stored(wanted.join(probabilities[n - 1], "gram", "left"))
+    missing = found.where("logp is null").select("gram", F.shiftright("gram", _WIDTH).alias("context"))
+    if n == 1:  # the empty context has one weight, and below it all symbols are alike
+        weight = weights[0].first()
+        return found.select("gram", F.coalesce("logp", F.lit((weight["logg"] if weight else 0.0) - math.log(alphabet.size))).alias("logp"))
+    missing = stored(missing.join(weights[n - 1], "context", "left").select("gram", _suffix("gram", n - 1).alias("lower"), F.coalesce("logg", F.lit(0.0)).alias("logg")))
+    below = resolve(missing.select(F.col("lower").alias("gram")).distinct(), probabilities, weights, alphabet, n - 1)
+    lower = missing.join(below.select(F.col("gram").alias("lower"), "logp"), "lower").select("gram", (F.col("logg") + F.col("logp")).alias("logp"))
+    return found.where("logp is not null").unionByName(lower)
+
+
+def _joined(docs: DataFrame, probabilities: list[DataFrame], weights: list[DataFrame], alphabet: Alphabet, text: str, names: list[str], block_bytes: int) -> DataFrame:
+    """``docs`` with ``nats`` with the model in place; see the module's text."""
+    importable(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(alphabet)
+    source = docs.select(*[quoted(c).alias(f"_k{i}") for i, c in enumerate(names)], quoted(text).alias("_text"))
+    kept = {f.name: f.dataType for f in source.schema}
 
-    def spread(batches):
+    def number(batches):
+        first, at, size = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
             for part in slices(batch, "_text"):
-                grams, rows = shipped.value.grams(part.column("_text"))
-                each = np.repeat(part.column("_row").to_numpy(), np.diff(rows))
-                order = np.lexsort((grams, each))
-                grams, each = grams[order], each[order]
-                new = np.flatnonzero(np.append(True, (grams[1:] != grams[:-1]) | (each[1:] != each[:-1]))) if len(grams) else order
-                yield {"_row": pa.array(each[new]), "gram": pa.array(grams[new].view(np.int64)), "n": pa.array(np.diff(np.append(new, len(grams))))}
-
-    rows = docs.select(row_key("_id", "_text").alias("_row"), "_text").dropDuplicates(["_row"])
-    rows = emit_rows(rows, spread, {"_row": T.LongType(), "gram": T.LongType(), "n": T.LongType()})
-    found = rows.withColumn("nats", F.lit(0.0)).withColumn("open", F.lit(True))
-    for n in range(ORDER, 0, -1):
-        p = probabilities[n - 1].select(F.col("gram").alias("_g"), "logp")
-        g = weights[n - 1].select(F.col("context").alias("_c"), "logg")
-        found = found.withColumn("_k", _suffix("gram", n)).join(p, F.col("_k") == F.col("_g"), "left")
-        found = found.join(g, F.shiftright("_k", _WIDTH) == F.col("_c"), "left")
-        step = F.coalesce("logp", "logg", F.lit(0.0))
-        found = found.select("_row", "gram", "n", F.when(F.col("open"), F.col("nats") + step).otherwise(F.col("nats")).alias("nats"), (F.col("open") & F.col("logp").isNull()).alias("open"))
-    nats = F.when(F.col("open"), F.col("nats") - math.log(alphabet.size)).otherwise(F.col("nats"))
-    return found.groupBy("_row").agg((-F.sum(nats * F.col("n")) / F.sum("n")).alias("nats"), F.sum("n").alias("n_scored"))
+                yield {**dict(zip(kept, part.columns, strict=True)), "block": pa.array(np.full(len(part), first + at))}
+                size += part.column("_text").nbytes
+                at, size = (at + 1, 0) if size >= block_bytes else (at, size)
+
+    dealt = stored(emit_rows(source, number, {**kept, "block": T.LongType()}))
+
+    def asked(batches):
+        block, grams = None, np.zeros(0, np.uint64)
+        row = lambda: {"block": pa.array(np.full(len(grams), block)), "gram": pa.array(grams.view(np.int64))}
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                blocks = part.column("block").to_numpy()
+                for own in np.split(np.arange(len(blocks)), np.flatnonzero(np.diff(blocks)) + 1):
+                    if blocks[own[0]] != block:
+                        if len(grams):
+                            yield row()
+                        block, grams = blocks[own[0]], grams[:0]
+                    grams = np.unique(np.concatenate([grams, shipped.value.grams(part.column("_text").take(pa.array(own)))[0]]))
+        if len(grams):
+            yield row()
+
+    pairs = stored(emit_rows(dealt.select("block", "_text"), asked, {"block": T.LongType(), "gram": T.LongType()}))
+    scored = pairs.join(resolve(pairs.select("gram").distinct(), probabilities, weights, alphabet), "gram").select("block", "gram", "logp")
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in source.schema if f.name != "_text"), T.StructField("nats", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def apply(own: pa.Table, known: pa.Table) -> pa.Table:
+        grams, logs = known.column("gram").to_numpy().view(np.uint64), known.column("logp").to_numpy()
+        order = np.argsort(grams)
+        grams, logs = grams[order], logs[order]
+        out = []
+        for batch in own.to_batches():
+            for part in slices(batch, "_text"):
+                found, rows, n = shipped.value.grams(part.column("_text"))
+                nats = _means(logs[np.searchsorted(grams, found)], rows, n)
+                out.append(pa.RecordBatch.from_arrays([*[part.column(f.name).cast(f.type) for f in arrow if f.name != "nats"], nats], schema=arrow))
+        return pa.Table.from_batches(out, arrow)
+
+    found = dealt.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(apply, schema)
+    return found.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(names)], "nats")
 
 
 def score(
-    docs: DataFrame, probabilities: list[DataFrame], weights: list[DataFrame], alphabet: Alphabet, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, max_broadcast: int = 6_000_000
+    docs: DataFrame, probabilities: list[DataFrame], weights: list[DataFrame], alphabet: Alphabet, text: str = "text", keep: list[str] | None = None, max_broadcast: int = 6_000_000, block_bytes: int = 64 << 20
 ) -> DataFrame:
     """``docs`` with ``nats``, the mean negative log probability of a character (null without text)."""
     size = sum(t.count() for t in [*probabilities, *weights])
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() != "nats"]
     if size > max_broadcast:
-        keyed = docs.drop("nats").withColumn(ROW, row_key(doc_id, text))
-        found = _joined(docs.select(quoted(doc_id).alias("_id"), quoted(text).alias("_text")), probabilities, weights, alphabet, text)
-        return keyed.join(found.withColumnRenamed("_row", ROW), ROW, "left").select(*map(quoted, names), "nats")
+        return _joined(docs, probabilities, weights, alphabet, text, names, block_bytes)
     shipped = docs.sparkSession.sparkContext.broadcast(Model(probabilities, weights, alphabet))
 
     def run(part: pa.RecordBatch) -> dict[str, pa.Array]:
         model = shipped.value
-        grams, rows = model.alphabet.grams(part.column("_text"))
+        grams, rows, n = model.alphabet.grams(part.column("_text"))
         logs = [model.score(grams[at : at + (1 << 18)]) for at in range(0, len(grams), 1 << 18)]
-        each = np.concatenate(logs) if logs else np.zeros(0)
-        n = np.diff(rows)
-        total = np.array([each[s:e].sum() for s, e in zip(rows[:-1], rows[1:], strict=True)])
-        mean = np.divide(-total, n, out=np.zeros(len(n)), where=n > 0)
-        return {"nats": pa.array(mean, mask=n == 0)}
+        return {"nats": _means(np.concatenate(logs) if logs else np.zeros(0), rows, n)}
 
     return add_columns(docs, run, {"nats": T.DoubleType()}, text, names)
 
@@ -231,22 +283,20 @@ def thresholds(scored: DataFrame, lang: str = "lang", quantile: float = 0.999, l
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep: list[str] | None = None, quantile: float = 0.999, max_ids: int = 2_000_000, **options
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep: list[str] | None = None, quantile: float = 0.999, **options
 ) -> DataFrame:
     """``docs`` with ``perplexity`` and ``kept``.  Trusted documents have labels, all of good quality and none toxic."""
     good = labels.groupBy(F.col("doc_id").alias("_label")).agg((F.min("quality") == 1).alias("_q"), (F.coalesce(F.max("toxic"), F.lit(0)) == 0).alias("_t"))
-    good = stored(good.where("_q and _t and _label is not null").select("_label"))
-    few = good.count() <= max_ids  # their broadcast takes some 32 MB at most; more are dealt with the texts by id, once
-    trusted = docs.join(F.broadcast(good) if few else good, quoted(doc_id) == F.col("_label"), "left_semi")
-    trusted = trusted if few else stored(trusted)
-    half = F.pmod(F.xxhash64(quoted(doc_id)), F.lit(2))
-    texts = trusted.where(half == 0).select(quoted(text).alias("_text"))
+    good = stored(good.where("_q and _t and _label is not null").select("_label"))  # of known size, so Spark itself decides whether it travels
+    trusted = docs.select(quoted(doc_id).alias("_id"), quoted(lang).alias("_lang"), quoted(text).alias("_text")).join(good, F.col("_id") == F.col("_label"), "left_semi")
+    trusted = stored(trusted.withColumn("_half", F.pmod(F.xxhash64("_id"), F.lit(2))))
+    texts = trusted.where("_half = 0").select("_text")
     alphabet = learn_alphabet(texts)
     probabilities, weights = estimate(count_grams(texts, alphabet), alphabet)
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("perplexity", "kept", "nats")]
-    scored = score(docs, probabilities, weights, alphabet, doc_id, text, [*names, *({doc_id, lang} - set(names))], **options)
-    small = stored(score(trusted.where(half == 1), probabilities, weights, alphabet, doc_id, text, [lang], **options))
-    steps = thresholds(small, lang, quantile)
+    scored = score(docs, probabilities, weights, alphabet, text, [*names, *({lang} - set(names))], **options)
+    small = stored(score(trusted.where("_half = 1"), probabilities, weights, alphabet, "_text", ["_lang"], **options))
+    steps = thresholds(small, "_lang", quantile)
     limit = F.lit(steps.get(..., 1 << 40))
     for name, step in steps.items():
         if name is not ...:
