@@ -9,23 +9,29 @@ documents, however long, need no sketches of their own.  Candidates are verified
 Words are split at ASCII white space and lower-cased A-Z.  An item of fewer than ``shingle`` words is one shingle, its
 whole sequence.  Items without words, and null texts, match nothing.  Rows alike are each searched and found alike.
 
-The index of sketches is dealt out in shards of at most ``shard`` hashes, broadcast one at a time with a pass over the
-documents each; a benchmark of a hundred thousand items takes one pass.
+Items are dealt out in shards of at most about ``shard`` sketch hashes and ``shard_bytes`` of text.  A shard's sketches
+and texts travel to the documents, one at a time with a pass over them each; candidates are verified where they are
+found, so no document is shuffled and a passage in any share of all documents is no hot key.  A benchmark of a hundred
+thousand items takes one pass.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.frames import ROW, emit_rows, quoted, row_key, stored
+from tarmac.llm.frames import RESERVED, add_columns, emit_rows, quoted, row_key, stored
 from tarmac.llm.words import FIRST, Words, slices
 
+_HITS = RESERVED + "hits"
+
 
 def _sketches(items: DataFrame, threshold: float, shingle: int) -> DataFrame:
     """``(item_row, size, hash)``: for each item its shingle length in words and the hashes of its sketch."""
@@ -45,32 +51,81 @@ def _sketches(items: DataFrame, threshold: float, shingle: int) -> DataFrame:
                         rows += [part.column("item_row")[i].as_py()] * len(sketch)
                         sizes += [k] * len(sketch)
                         out.append(sketch)
-                yield {"item_row": pa.array(rows, pa.int64()), "size": pa.array(sizes, pa.int32()), "hash": pa.array(np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64))}
-
-    return emit_rows(items.select("item_row", F.col("item_text").alias("_text")), run, {"item_row": T.LongType(), "size": T.IntegerType(), "hash": T.LongType()})
+                yield {"item_row": pa.array(rows, pa.binary()), "size": pa.array(sizes, pa.int32()), "hash": pa.array(np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64))}
 
-
-def _hits(words: Words, index: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts of a slice and the index hashes that they hold, each once."""
-    hashes = FIRST.words(words.data, words.starts, words.ends)
-    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for size, known in index.items():
-        bits = np.zeros(1 << 20, bool)
-        bits[known >> np.uint64(44)] = True
-        starts, row = words.window_starts(size)
-        own = FIRST.windows(hashes, starts, size)
-        maybe = np.flatnonzero(bits[own >> np.uint64(44)])
-        maybe = maybe[known[np.minimum(np.searchsorted(known, own[maybe]), len(known) - 1)] == own[maybe]]
-        rows.append(row[maybe])
-        found.append(own[maybe])
-    pairs = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), np.concatenate(found)]), axis=1)
-    return pairs[0].astype(np.int64), pairs[1]
+    return emit_rows(items.select("item_row", F.col("item_text").alias("_text")), run, {"item_row": T.BinaryType(), "size": T.IntegerType(), "hash": T.LongType()})
 
 
 def shingles(words: list[bytes], size: int) -> set[bytes]:
     return {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
+class Shard:
+    """Items with their sketches: for each shingle length the sorted hashes and the item of each."""
+
+    def __init__(self, ids: list, texts: list[str], item: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, threshold: float, shingle: int) -> None:
+        self.ids, self.texts, self.threshold, self.shingle = ids, texts, threshold, shingle
+        self.index = {}
+        for size in np.unique(sizes).tolist():
+            own = sizes == size
+            order = np.argsort(hashes[own], kind="stable")
+            known = hashes[own][order]
+            bits = np.zeros(1 << 20, bool)
+            bits[known >> np.uint64(44)] = True
+            self.index[size] = known, item[own][order], bits
+
+    @lru_cache(10_000)  # noqa: B019 - one shard a worker
+    def wanted(self, item: int) -> tuple[int, frozenset[bytes]]:
+        words = self.texts[item].encode().lower().split()
+        size = min(self.shingle, len(words))
+        return size, frozenset(shingles(words, size))
+
+    def candidates(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Different pairs of a text and an item of whose sketch it has a hash."""
+        hashes = FIRST.words(words.data, words.starts, words.ends)
+        rows, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size, (known, item, bits) in self.index.items():
+            starts, row = words.window_starts(size)
+            own = FIRST.windows(hashes, starts, size)
+            maybe = np.flatnonzero(bits[own >> np.uint64(44)])
+            low, high = np.searchsorted(known, own[maybe]), np.searchsorted(known, own[maybe], "right")
+            n = high - low
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            rows.append(np.repeat(row[maybe], n))
+            items.append(item[at])
+        pairs = np.unique(np.stack([np.concatenate(rows), np.concatenate(items)]), axis=1)
+        return pairs[0], pairs[1]
+
+    def verified(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
+        """``(text, item, n_shingles, n_shared)`` of each text that contains an item."""
+        words = Words(texts, lower=True)
+        last, own = -1, {}
+        for row, item in zip(*(x.tolist() for x in self.candidates(words)), strict=True):
+            if row != last:
+                last, own = row, {}
+            size, wanted = self.wanted(item)
+            if size not in own:
+                own[size] = shingles(words.bytes[words.rows[row] : words.rows[row + 1]].split(), size)
+            shared = len(wanted & own[size])
+            if shared >= self.threshold * len(wanted) - 1e-9:
+                yield row, item, len(wanted), shared
+
+
+def _shards(items: DataFrame, threshold: float, shingle: int, item_id: str, item_text: str, shard: int, shard_bytes: int) -> Iterator[Broadcast]:
+    """Each shard, sent to the executors."""
+    items = stored(items.select(quoted(item_id).alias("item_id"), quoted(item_text).alias("item_text"), row_key(item_id, item_text).alias("item_row")).where("item_text is not null").distinct())
+    sketches = stored(_sketches(items, threshold, shingle))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0)).alias("bytes")).first()
+    n = max(-(-sketches.count() // shard), -(-size["bytes"] // shard_bytes))
+    for at in range(n):
+        mine = F.pmod(F.xxhash64("item_row"), F.lit(n)) == at
+        texts, found = items.where(mine).toArrow(), sketches.where(mine).toArrow()
+        place = {key: i for i, key in enumerate(texts.column("item_row").to_pylist())}
+        item = np.array([place[key] for key in found.column("item_row").to_pylist()], np.int64)
+        own = Shard(texts.column("item_id").to_pylist(), texts.column("item_text").to_pylist(), item, found.column("size").to_numpy(), found.column("hash").to_numpy().view(np.uint64), threshold, shingle)
+        yield items.sparkSession.sparkContext.broadcast(own)
+
+
 def matches(
     docs: DataFrame,
     items: DataFrame,
@@ -81,69 +136,43 @@ def matches(
     item_id: str = "item_id",
     item_text: str = "text",
     shard: int = 4_000_000,
+    shard_bytes: int = 64 << 20,
 ) -> DataFrame:
-    """``(doc_id, item_id, _row, n_shingles, n_shared, containment)`` for each document that contains an item.
+    """``(doc_id, item_id, n_shingles, n_shared, containment)`` for each document that contains an item.
 
-    ``_row`` is the document's row key.  ``n_shingles`` counts an item's different shingles, ``n_shared`` those in the
-    document.
+    ``n_shingles`` counts an item's different shingles, ``n_shared`` those in the document.
     """
-    spark = docs.sparkSession
-    items = stored(items.select(quoted(item_id).alias("item_id"), quoted(item_text).alias("item_text"), row_key(item_id, item_text).alias("item_row")).distinct())
-    sketches = stored(_sketches(items, threshold, shingle))
-    shards = -(-sketches.count() // shard)
-    keyed = docs.select(quoted(doc_id).alias("doc_id"), row_key(doc_id, text).alias("_row"), quoted(text).alias("_text"))
-    fields = {"_row": T.LongType(), "text": T.StringType(), "hashes": T.ArrayType(T.LongType())}
-    candidates = None
-    for at in range(shards):
-        index = defaultdict(list)
-        for row in sketches.where(F.pmod("hash", F.lit(shards)) == at).select("size", "hash").distinct().toLocalIterator():
-            index[row["size"]].append(row["hash"])
-        index = spark.sparkContext.broadcast({k: np.sort(np.array(v, np.int64).view(np.uint64)) for k, v in index.items()})
-
-        def search(batches, index=index):
+    source = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("_text"))
+    fields = {"doc_id": source.schema["doc_id"].dataType, "item_id": items.schema[item_id].dataType, "n_shingles": T.LongType(), "n_shared": T.LongType(), "containment": T.DoubleType()}
+    found = []
+    for shipped in _shards(items, threshold, shingle, item_id, item_text, shard, shard_bytes):
+
+        def search(batches, shipped=shipped):
             for batch in batches:
                 for part in slices(batch, "_text"):
-                    row, found = _hits(Words(part.column("_text"), lower=True), index.value)
-                    own, first = np.unique(row, return_index=True)
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(found.view(np.int64)))
-                    chosen = part.take(pa.array(own))
-                    yield {"_row": chosen.column("_row"), "text": chosen.column("_text"), "hashes": lists}
-
-        found = emit_rows(keyed, search, fields)
-        candidates = found if candidates is None else candidates.unionByName(found)
-    out = {"_row": T.LongType(), "item_id": items.schema["item_id"].dataType, "n_shingles": T.LongType(), "n_shared": T.LongType(), "containment": T.DoubleType()}
-    if candidates is None:
-        found = spark.createDataFrame([], T.StructType([T.StructField(k, v) for k, v in out.items()]))
-        return keyed.select("doc_id", "_row").join(found, "_row").select("doc_id", "item_id", "_row", *list(out)[2:])
-    candidates = stored(candidates)  # rows alike, and rows met in several shards, are verified once
-    pairs = candidates.select("_row", F.explode("hashes").alias("hash")).join(sketches, "hash").select("_row", "item_row").distinct()
-    checked = pairs.join(items, "item_row").join(candidates.select("_row", "text").dropDuplicates(["_row"]), "_row")
-    checked = checked.select("item_id", "_row", "item_text", "text")
-
-    def verify(batches):
-        last, own = None, {}
-        for batch in batches:
-            found = defaultdict(list)
-            for item, row, wanted, text in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
-                if text != last:
-                    last, own = text, {}
-                words = wanted.encode().lower().split()
-                size = min(shingle, len(words))
-                if size not in own:
-                    own[size] = shingles(text.encode().lower().split(), size)
-                wanted = shingles(words, size)
-                shared = len(wanted & own[size])
-                if shared >= threshold * len(wanted) - 1e-9:
-                    for name, value in zip(out, (row, item, len(wanted), shared, shared / len(wanted)), strict=True):
-                        found[name].append(value)
-            if found:
-                yield dict(found)
-
-    found = stored(emit_rows(checked, verify, out))
-    return keyed.select("doc_id", "_row").join(found, "_row").select("doc_id", "item_id", "_row", *list(out)[2:])
-
-
-def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+                    hits = list(shipped.value.verified(part.column("_text")))
+                    if hits:
+                        row, item, n, shared = zip(*hits, strict=True)
+                        yield {
+                            "doc_id": part.column("doc_id").take(pa.array(row)), "item_id": pa.array([shipped.value.ids[i] for i in item]), "n_shingles": pa.array(n), "n_shared": pa.array(shared),
+                            "containment": pa.array([s / k for s, k in zip(shared, n, strict=True)]),
+                        }
+
+        found.append(emit_rows(source, search, fields))
+    if not found:
+        return docs.sparkSession.createDataFrame([], T.StructType([T.StructField(k, v) for k, v in fields.items()]))
+    return reduce(DataFrame.unionByName, found)
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", threshold: float = 0.8, shingle: int = 5, item_id: str = "item_id", item_text: str = "text", shard: int = 4_000_000, shard_bytes: int = 64 << 20) -> DataFrame:
     """``docs`` without those that contain an item."""
-    found = matches(docs, items, doc_id=doc_id, text=text, **options).select(F.col("_row").alias(ROW)).distinct()
-    return docs.withColumn(ROW, row_key(doc_id, text)).join(stored(found), ROW, "left_anti").drop(ROW)
+    names = docs.columns
+    for shipped in _shards(items, threshold, shingle, item_id, item_text, shard, shard_bytes):
+
+        def flag(part: pa.RecordBatch, shipped=shipped) -> dict[str, pa.Array]:
+            hits = np.zeros(len(part), bool)
+            hits[[row for row, *_ in shipped.value.verified(part.column("_text"))]] = True
+            return {_HITS: pa.array(hits)}
+
+        docs = add_columns(docs, flag, {_HITS: T.BooleanType()}, text, names).where(~F.col(_HITS)).drop(_HITS)
+    return docs

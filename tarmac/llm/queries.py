@@ -50,7 +50,7 @@ def op7_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contain.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_row")
+    return contain.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
