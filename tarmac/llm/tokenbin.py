@@ -12,8 +12,9 @@ Writing is one range shuffle by id: every task encodes its range and writes one
 of its own attempt, and Spark's commit of the manifest, not of the files, decides which attempts count, so lost
 executors and repeated tasks do no harm.  Payloads never pass the driver; the manifest has one row for each shard.
 
-Null text is encoded as empty and leaves its end id.  Rows that repeat an id are stored in order of their row keys;
-the index leads to the first of them, and how many follow.  Rows without an id come first and have no key.
+Null text is encoded as empty and leaves its end id.  Ids are whole numbers (text that is no number fails in the cast).
+Rows that repeat an id are stored in order of their row keys; the index leads to the first of them, and how many follow.
+Rows without an id come first and have no key.
 """
 
 from __future__ import annotations
@@ -41,7 +42,10 @@ from tarmac.llm.words import mix, slices
 
 #: A space before a character that is no white space starts a pre-token of byte-level BPE.
 _CUT = re.compile(r" (?=\S)")
-_CACHE = 200_000
+#: Entries of each generation of a worker's cache, and characters of the longest cut that it keeps.
+_CACHE, _LONG = 200_000, 100
+#: In a long cut a pre-token also ends between a letter or digit that every Unicode version knows and such a sign.
+_DEEP = re.compile(r"(?<=[A-Za-z0-9\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3])(?=[\n,.;:!?()\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f\u300c\u300d])")
 #: Pre-tokens of byte-level BPE in cuts of letters below U+0250; the separators \x1c-\x1f are no white space to it.
 _PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\t-\r \x85\xa0\p{L}\p{N}]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+")
 _SHARD_BYTES = 32 << 20
@@ -51,9 +55,10 @@ _GAMMA = 1.5
 class Encoder:
     """Encodes by a tokenizers file of byte-level BPE.
 
-    Texts are cut before spaces that start a pre-token, and the ids of cuts are kept in two generations of a bounded
-    cache, which changes no result.  New cuts of letters below U+0250 (where all Unicode versions agree) are split into
-    pre-tokens here and go straight to the file's BPE model; all others go through the whole tokenizer.
+    Texts are cut before spaces that start a pre-token, and the ids of cuts of at most 100 characters are kept in two
+    generations of a bounded cache, which changes no result.  New cuts of letters below U+0250 (where all Unicode
+    versions agree) are split into pre-tokens here and go straight to the file's BPE model; all others go through the
+    whole tokenizer, and so do whole texts that hold an added token's string, which the tokenizer takes out first.
     """
 
     def __init__(self, definition: str, special_tokens_as_text: bool) -> None:
@@ -63,18 +68,21 @@ class Encoder:
         before = parts["pre_tokenizer"] or {}
         if parts["model"]["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or parts["normalizer"]:
             raise ValueError("a byte-level BPE file without prefix space and normaliser is needed")
-        self.special = [] if special_tokens_as_text else [t["content"] for t in parts["added_tokens"]]
+        self.added = [t["content"] for t in parts["added_tokens"] if not (special_tokens_as_text and t["special"])]
         self.table = "".join(byte_characters())
         self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _ids(self, cut: str) -> bytes:
         if not cut:
             return b""
-        if not cut.isascii() and max(cut) >= "\u0250" or self.special and any(t in cut for t in self.special):
-            return array("I", self.tokenizer.encode(cut, add_special_tokens=False).ids).tobytes()
+        if not cut.isascii() and max(cut) >= "\u0250":
+            return self._whole(cut)
         whole = (cut[0] == " " or cut[0].isalpha()) and (len(cut) == 1 or cut[1:].isalpha())
         mapped = cut.encode().decode("latin-1").translate(self.table) if whole else None
         tokens = self.model.tokenize(mapped) if whole else [t for m in _PRE_TOKEN.findall(cut) for t in self.model.tokenize(m.encode().decode("latin-1").translate(self.table))]
@@ -83,15 +91,22 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out = []
         for text in texts:
-            cuts = _CUT.split(text or "")
+            text = text or ""
+            if any(t in text for t in self.added):
+                out.append(np.frombuffer(self._whole(text), np.uint32))
+                continue
+            cuts = _CUT.split(text)
             cuts[1:] = [" " + c for c in cuts[1:]]
             if len(self.new) > _CACHE:
                 self.new, self.old = {}, self.new
-            new, old = self.new, self.old
+            new, old, long = self.new, self.old, {}
             for cut in set(cuts).difference(new):
-                found = old.get(cut)
-                new[cut] = self._ids(cut) if found is None else found
-            out.append(np.frombuffer(b"".join(map(new.__getitem__, cuts)), np.uint32))
+                if len(cut) > _LONG:
+                    long[cut] = b"".join(map(self._ids, _DEEP.split(cut)))
+                else:
+                    found = old.get(cut)
+                    new[cut] = self._ids(cut) if found is None else found
+            out.append(np.frombuffer(b"".join([long[c] if c in long else new[c] for c in cuts] if long else map(new.__getitem__, cuts)), np.uint32))
         return out
 
 
@@ -160,11 +175,11 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", path: str | None = None, special_tokens_as_text: bool = True, buckets: int | None = None) -> str:
+def write(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", path: str | None = None, special_tokens_as_text: bool = False, buckets: int | None = None) -> str:
     """Writes shards, manifest and index of ``docs`` under ``path`` (in the shared folder by default) and returns it.
 
-    ``tokenizer`` is the path of a tokenizers file on the driver.  A special token's string in a text is ordinary text
-    unless ``special_tokens_as_text`` is false.
+    ``tokenizer`` is the path of a tokenizers file on the driver.  A special token's string in a text becomes its id, as
+    the library has it, unless ``special_tokens_as_text``.
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
@@ -205,25 +220,27 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id",
     emit_rows(ranged, encode, fields).write.parquet(f"{path}/places")
     places = spark.read.parquet(f"{path}/places")
     totals = places.groupBy("shard").agg(F.first("file").alias("file"), F.sum("length").alias("ids"), F.count("*").alias("docs"))
-    start = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals.withColumn("start", start).withColumn("width", F.lit(width)).coalesce(1).write.parquet(f"{path}/manifest")
+    totals = totals.withColumn("group", F.shiftright("shard", 10))
+    before = lambda by, order: F.coalesce(F.sum("ids").over(by.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = totals.groupBy("group").agg(F.sum("ids").alias("ids"))  # a thousandth of the shards, which are a millionth of the bytes
+    groups = groups.select("group", before(Window.partitionBy(F.lit(0)), "group").alias("base"))
+    totals = totals.join(groups, "group").withColumn("start", F.col("base") + before(Window.partitionBy("group"), "shard")).drop("group", "base")
+    totals.withColumn("width", F.lit(width)).coalesce(1).write.parquet(f"{path}/manifest")
     parts = buckets or max(1, -(-size.rows // 200_000))
-    keyed = places.where("id is not null").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    firsts = places.where("id is not null").groupBy("id").agg(F.min(F.struct("shard", "offset", "length")).alias("p"), F.count("*").cast("int").alias("rows"))
+    keyed = firsts.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("bucket"), "id", "p.*", "rows")
 
     def index(batches):
         held, current = [], None
 
         def blob():
             table = pa.Table.from_batches(held)
-            ids, shard, offset, length = (table.column(c).to_numpy() for c in ("id", "shard", "offset", "length"))
-            order = np.lexsort((offset, shard, ids))
-            ids, shard, offset, length = ids[order], shard[order], offset[order], length[order]
-            first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
-            hashed = _key_hash(ids[first])
+            ids, *values = (table.column(c).to_numpy() for c in ("id", "shard", "offset", "length", "rows"))
+            hashed = _key_hash(ids)
             perfect = PerfectHash.of(hashed)
-            slots = np.zeros(len(first), _SLOT)
+            slots = np.zeros(len(ids), _SLOT)
             at = perfect.slots(hashed)
-            values = {"print": (hashed >> np.uint64(32)), "shard": shard[first], "offset": offset[first], "length": length[first], "rows": np.diff(np.append(first, len(ids)))}
+            values = dict(zip(_SLOT.names, (hashed >> np.uint64(32), *values), strict=True))
             for name, value in values.items():
                 slots[name][at] = value
             return {"bucket": pa.array([current], pa.int32()), "hash": pa.array([perfect.to_bytes()], pa.binary()), "slots": pa.array([slots.tobytes()], pa.binary())}
@@ -240,7 +257,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id",
         if held:
             yield blob()
 
-    dealt = keyed.select("bucket", "id", "shard", "offset", "length").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = keyed.repartition("bucket").sortWithinPartitions("bucket")
     emit_rows(dealt, index, {"bucket": T.IntegerType(), "hash": T.BinaryType(), "slots": T.BinaryType()}).write.parquet(f"{path}/index")
     return path
 
@@ -278,8 +295,9 @@ def read(path: str, places: DataFrame, keep: list[str] | None = None) -> DataFra
     spark = places.sparkSession
     manifest = spark.read.parquet(f"{path}/manifest").select("shard", "file", "start", "width")
     keep = [c for c in (places.columns if keep is None else keep) if c.lower() not in ("ids", "start", "file", "width")]
-    wanted = places.select(*map(quoted, keep), "shard", "offset", "length").join(F.broadcast(manifest), "shard")  # a row for each shard
-    wanted = wanted.select(*keep, F.col("offset").alias("_offset"), F.col("length").alias("_length"), "file", "width", (F.col("start") + F.col("offset")).alias("start"))
+    wanted = places.select(*map(quoted, keep), *(c for c in ("shard", "offset", "length") if c not in keep)).join(manifest, "shard")
+    own = {f"_k{i}": c for i, c in enumerate(keep)}
+    wanted = wanted.select(*[quoted(c).alias(k) for k, c in own.items()], F.col("offset").alias("_offset"), F.col("length").alias("_length"), "file", "width", (F.col("start") + F.col("offset")).alias("start"))
     wanted = wanted.repartition("file").sortWithinPartitions("file", "_offset")
 
     def load(batches):
@@ -294,9 +312,10 @@ def read(path: str, places: DataFrame, keep: list[str] | None = None) -> DataFra
                     opened, file = name, system.open_input_file(f"{folder}/{name}")
                 file.seek(offset * width)
                 ids.append(np.frombuffer(file.read(length * width), f"<u{width}").astype("<u4").tobytes())
-            yield {**{c: batch.column(c) for c in (*keep, "start")}, "ids": pa.array(ids, pa.binary())}
+            yield {**{c: batch.column(c) for c in (*own, "start")}, "ids": pa.array(ids, pa.binary())}
 
-    return emit_rows(wanted, load, {**{f.name: f.dataType for f in wanted.schema if f.name in keep}, "start": T.LongType(), "ids": T.BinaryType()})
+    out = emit_rows(wanted, load, {**{k: wanted.schema[k].dataType for k in own}, "start": T.LongType(), "ids": T.BinaryType()})
+    return out.select(*[F.col(k).alias(c) for k, c in own.items()], "start", "ids")
 
 
 def records(path: str, docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
