@@ -5,7 +5,8 @@ normalisation is the identity.  sentencepiece then merges the best-ranked adjace
 Texts are split by the vocabulary's pattern and each match is encoded by itself; decoding maps ids back to bytes.
 
 A space before a character that is no white space always starts a match of the pattern, so texts are cut there, and
-the ids of the cuts are kept in a bounded cache of each worker; the cache changes no result.
+the ids of cuts of at most 100 characters are kept in a cache of bounded size in each worker, which changes no result.
+Longer cuts (text without spaces) are encoded some thousand matches at a time and not kept.
 
 Null text is encoded as empty: no ids, nothing decoded.  The vocabulary file is read by the driver (its path is a
 parameter) and travels to the executors as the serialised model, about one megabyte.
@@ -31,7 +32,8 @@ from tarmac.llm.frames import add_columns
 #: White space as the pattern's own engine has it: Unicode's White_Space, without the separators \x1c-\x1f.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(r" (?=\S)")
-_CACHE = 200_000
+#: Entries of a worker's cache, characters of the longest cut that it keeps, and matches that go to the model at once.
+_CACHE, _LONG, _AT_ONCE = 200_000, 100, 20_000
 
 
 def byte_characters() -> list[str]:
@@ -91,26 +93,42 @@ class Codec:
         self.table = "".join(self.characters[b] for b in range(256))
         self.cache: dict[str, bytes] = {}
 
+    def _mapped(self, match: str) -> str:
+        return match.encode().decode("latin-1").translate(self.table)
+
     def _new(self, cuts: list[str]) -> list[bytes]:
-        """The ids of each cut; all matches go to the model in one call."""
+        """The ids of each of some short cuts; all matches go to the model in one call."""
         matches = [self.pattern.findall(cut) for cut in cuts]
-        mapped = [m.encode().decode("latin-1").translate(self.table) for own in matches for m in own]
-        ids = iter(self.processor.encode(mapped, num_threads=1))
+        ids = iter(self.processor.encode([self._mapped(m) for own in matches for m in own], num_threads=1))
         return [array("I", [i for _ in own for i in next(ids)]).tobytes() for own in matches]
 
+    def _long(self, cut: str) -> bytes:
+        """The ids of a long cut, some matches at a time."""
+        ids, held = array("I"), []
+        for match in self.pattern.finditer(cut):
+            held.append(self._mapped(match[0]))
+            if len(held) == _AT_ONCE:
+                ids.extend(i for own in self.processor.encode(held, num_threads=1) for i in own)
+                held.clear()
+        ids.extend(i for own in self.processor.encode(held, num_threads=1) for i in own)
+        return ids.tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = []
         for text in texts:
             cuts = _CUT.split(text or "")
             cuts[1:] = [" " + c for c in cuts[1:]]
             split.append(cuts)
-        new = list({c for cuts in split for c in cuts} - self.cache.keys())
+        wanted = {c for cuts in split for c in cuts}
+        long = {c: self._long(c) for c in wanted if len(c) > _LONG}
+        wanted -= long.keys()
+        new = list(wanted - self.cache.keys())
         if len(self.cache) + len(new) > _CACHE:
             self.cache.clear()
-            new = list({c for cuts in split for c in cuts})
+            new = list(wanted)
         self.cache.update(zip(new, self._new(new), strict=True))
         get = self.cache.__getitem__
-        return [b"".join(map(get, cuts)) for cuts in split]
+        return [b"".join([long[c] if c in long else get(c) for c in cuts] if long else map(get, cuts)) for cuts in split]
 
     def decode(self, ids: bytes) -> bytes:
         pieces = self.pieces
