@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tarmac.llm.words import slices
 from tarmac.storage import shared_dir, stored
 
-__all__ = ["RESERVED", "ROW", "add_columns", "emit_rows", "quoted", "row_key", "shared_dir", "stored", "table"]
+__all__ = ["RESERVED", "ROW", "add_columns", "emit_rows", "importable", "quoted", "row_key", "row_keys", "shared_dir", "stored", "table"]
 
 
 def importable(spark: SparkSession) -> None:
@@ -35,9 +35,15 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def row_keys(doc_id: str, text: str) -> tuple[Column, Column]:
+    """Two 64-bit keys of a row, 128 bits together: rows alike in id and text share them, and share every result that is joined by them."""
+    parts = [x for c in (quoted(doc_id), quoted(text)) for x in (c.isNull(), c)]
+    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
+
+
 def row_key(doc_id: str, text: str) -> Column:
-    """A 64-bit key of a row: rows alike in id and text share it, and share every result that is joined by it."""
-    return F.xxhash64(quoted(doc_id), quoted(text))
+    """Both keys of a row as one binary value."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(k), 16, "0") for k in row_keys(doc_id, text)]))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

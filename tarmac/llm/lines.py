@@ -112,7 +112,7 @@ def _line_lists(docs: DataFrame) -> DataFrame:
                 }
 
     longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
-    fields = {"_id": docs.schema["_id"].dataType, "_row": T.LongType(), "h1": longs, "h2": longs, "number": ints, "chars": ints, "words": ints}
+    fields = {"_id": docs.schema["_id"].dataType, "_row": T.BinaryType(), "h1": longs, "h2": longs, "number": ints, "chars": ints, "words": ints}
     return emit_rows(docs.dropDuplicates(["_row"]), run, fields)
 
 
@@ -167,7 +167,7 @@ def _runs(lists: DataFrame, min_chars: int, long_chars: int) -> DataFrame:
                 "at": at, "n": pa.array((end - start)[first].astype(np.int32)), "sure": pa.array(sure[first]),
             }
 
-    fields = {"_id": lists.schema["_id"].dataType, "_row": T.LongType(), "h1": T.LongType(), "h2": T.LongType(), "at": T.ArrayType(T.IntegerType()), "n": T.IntegerType(), "sure": T.BooleanType()}
+    fields = {"_id": lists.schema["_id"].dataType, "_row": T.BinaryType(), "h1": T.LongType(), "h2": T.LongType(), "at": T.ArrayType(T.IntegerType()), "n": T.IntegerType(), "sure": T.BooleanType()}
     return emit_rows(lists, run, fields)
 
 
@@ -214,7 +214,7 @@ def removals(
             for i, key in enumerate(batch.column("_row").to_pylist()):
                 mine, number = batch.column("h1")[i].as_py(), batch.column("number")[i].as_py()
                 gone: set[int] = set()
-                by_owner: dict[int, list[tuple[int, int]]] = {}
+                by_owner: dict[bytes, list[tuple[int, int]]] = {}
                 for x in batch.column("runs")[i].as_py():
                     for s in x["at"]:
                         gone.update(range(s, s + x["n"]))
@@ -224,9 +224,9 @@ def removals(
                 keys.append(key)
                 cut = {number[x] for x in gone}
                 masks.append([x in cut for x in range(max(cut) + 1)])
-            yield {"_row": pa.array(keys, pa.int64()), "gone": pa.array(masks, pa.list_(pa.bool_()))}
+            yield {"_row": pa.array(keys, pa.binary()), "gone": pa.array(masks, pa.list_(pa.bool_()))}
 
-    return emit_rows(found, align, {"_row": T.LongType(), "gone": T.ArrayType(T.BooleanType())})
+    return emit_rows(found, align, {"_row": T.BinaryType(), "gone": T.ArrayType(T.BooleanType())})
 
 
 def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

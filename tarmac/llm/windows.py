@@ -23,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.frames import RESERVED, ROW, add_columns, emit_rows, quoted, row_key, stored
+from tarmac.llm.frames import RESERVED, ROW, add_columns, emit_rows, quoted, row_keys, stored
 from tarmac.llm.words import FIRST, SECOND, Words, mix, slices
 
 _ALONE = RESERVED + "alone"
+_OTHER = ROW + "2"
 _DEPTH = 2
+#: Shingles that a task keeps before it passes on what it has counted.
+_HELD = 4_000_000
 _LOW = 16
 
 
@@ -66,23 +69,31 @@ def _slots(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
 def sketch(docs: DataFrame, text: str, size: int, shingle: int, bits: int) -> np.ndarray:
     """The merged count-min sketch as bits, one row of ``2 ** bits`` for each hash: set where the count is 2 or more."""
 
-    def partial(batches):
-        parts = []
-        for batch in batches:
-            for piece in slices(batch, "_text"):
-                found = Windows(piece.column("_text"), size, shingle).shingles
-                parts += [slot + np.uint64(d << bits) for d, slot in enumerate(_slots(found, bits))]
+    def packed(parts: list[np.ndarray]) -> dict[str, pa.Array]:
         slots, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
         block = slots >> np.uint64(_LOW)
         at = np.flatnonzero(np.diff(block, prepend=np.uint64(2**63)))
         body = lambda s, c, keep: s[keep(c)].astype(np.uint16).tobytes()
         ends = [*at[1:], len(slots)]
-        yield {
+        return {
             "block": pa.array(block[at].astype(np.int32)),
             "once": pa.array([body(slots[s:e], counts[s:e], lambda c: c == 1) for s, e in zip(at, ends, strict=False)], pa.binary()),
             "more": pa.array([body(slots[s:e], counts[s:e], lambda c: c > 1) for s, e in zip(at, ends, strict=False)], pa.binary()),
         }
 
+    def partial(batches):
+        parts, held = [], 0
+        for batch in batches:
+            for piece in slices(batch, "_text"):
+                found = Windows(piece.column("_text"), size, shingle).shingles
+                parts += [slot + np.uint64(d << bits) for d, slot in enumerate(_slots(found, bits))]
+                held += len(found)
+                if held > _HELD:  # memory does not follow the partition's size
+                    yield packed(parts)
+                    parts, held = [], 0
+        if parts:
+            yield packed(parts)
+
     def merged(batches):
         current, counts = -1, np.zeros(1 << _LOW, np.uint8)
         pack = lambda: {"block": pa.array([current], pa.int32()), "bits": pa.array([np.packbits(counts > 1).tobytes()], pa.binary())}
@@ -121,7 +132,8 @@ def remove_repeats(
     if not 1 <= shingle <= size:
         raise ValueError("a shingle has at least one word and fits in a window")
     spark = docs.sparkSession
-    keyed = docs.withColumn(ROW, row_key(doc_id, text))
+    first, second = row_keys(doc_id, text)
+    keyed = docs.withColumns({ROW: first, _OTHER: second})
     if bits is None:
         total = docs.agg(F.sum(F.octet_length(quoted(text))).alias("n")).first().n or 0
         bits = min(max_bits, max(20, math.ceil(math.log2(total / 10 + 1))))
@@ -137,16 +149,18 @@ def remove_repeats(
                 yield {
                     "h1": pa.array(FIRST.windows(found.hashes, starts, size).view(np.int64)),
                     "h2": pa.array(SECOND.windows(other, starts, size).view(np.int64)),
-                    "_row": pa.array(piece.column("_row").to_numpy()[row]),
+                    "k1": pa.array(piece.column("k1").to_numpy()[row]),
+                    "k2": pa.array(piece.column("k2").to_numpy()[row]),
                     "at": pa.array((starts - words.first[row]).astype(np.int32)),
                 }
 
-    rows = emit_rows(keyed.select(F.col(ROW).alias("_row"), quoted(text).alias("_text")), candidates, {"h1": T.LongType(), "h2": T.LongType(), "_row": T.LongType(), "at": T.IntegerType()})
-    single = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("_row").alias("_row"), F.min("at").alias("at")).where("n = 1")
-    single = stored(single.groupBy(F.col("_row").alias(ROW)).agg(F.collect_list("at").alias(_ALONE)))
+    fields = {"h1": T.LongType(), "h2": T.LongType(), "k1": T.LongType(), "k2": T.LongType(), "at": T.IntegerType()}
+    rows = emit_rows(keyed.select(F.col(ROW).alias("k1"), F.col(_OTHER).alias("k2"), quoted(text).alias("_text")), candidates, fields)
+    single = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("k1", "k2", "at")]).where("n = 1")
+    single = stored(single.groupBy(F.col("k1").alias(ROW), F.col("k2").alias(_OTHER)).agg(F.collect_list("at").alias(_ALONE)))
     if (single.agg(F.sum(F.size(_ALONE) + 1).alias("n")).first().n or 0) <= 1_000_000:  # some 10 MB
         single = F.broadcast(single)
-    marked = keyed.drop(_ALONE).join(single, ROW, "left")
+    marked = keyed.drop(_ALONE).join(single, [ROW, _OTHER], "left")
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_words", "n_removed", "kept_text")]
 
     def cut(part: pa.RecordBatch) -> dict[str, pa.Array]:

@@ -9,10 +9,13 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tarmac.llm import bpe, contain, lines, simhash, tokenbin, windows
+from tarmac.llm.frames import row_key
 
 
 def words(text):
@@ -54,7 +57,6 @@ def test_bpe_odd_characters():
 
 def test_token_shards(docs, corpus, spark):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     coded = [(d, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for d, t, *_ in corpus]
     path = tokenbin.write(docs, P.path("byte_bpe_50k.json"), 2, buckets=3)
     got = sorted(((r.start, r.id, np.frombuffer(r.ids, "<u4").tolist()) for r in tokenbin.records(path, docs).collect()), key=lambda x: x[0])
@@ -66,6 +68,72 @@ def test_token_shards(docs, corpus, spark):
     assert tokenbin.find(path, strangers).count() == 0
 
 
+ODD = [
+    "hello <|endoftext|> world", "a  <|endoftext|>  b", "<|endoftext|><|endoftext|>", "x" * 300 + "y, " * 3, "it's  we'll\r\n\n  x", " ", "漢字、かな。" * 200 + "don't", "dGVzdA==" * 500,
+    "number1,2;three" * 60, "\u00e9t\u00e9,l\u2019eau" * 40, "a" + "\u0301" * 150 + ",b", "\x1c\x1d ab" * 50, "tab\tand\nline" * 40, "\U0001f600" * 150,
+]
+
+
+def test_encoder_is_the_library():
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    plain = Tokenizer.from_str(definition)
+    own = tokenbin.Encoder(definition, False)
+    odd = ODD + ["a" + chr(c) + "b 1" + chr(c) * 2 + " " + chr(c) + "x" for c in range(0x3400) if not 0xD800 <= c < 0xE000]
+    odd += ["ab1" * 40 + chr(c) + "x" * 40 + chr(c) + "," for c in range(0x20, 0x3400, 7)]
+    for text, ids in zip(odd, own.encode(odd), strict=True):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    as_text = tokenbin.Encoder(definition, True)
+    plain.encode_special_tokens = True
+    for text, ids in zip(ODD, as_text.encode(ODD), strict=True):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("ab1 '\n\t.,<|>endoftxsrvlm漢é"), st.characters(codec="utf-8")), max_size=200))
+def test_encoders_on_any_text(text):
+    global _CODED
+    if _CODED is None:
+        ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+        with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+            definition = file.read()
+        reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={p: i for i, p in enumerate(ranks)}, special_tokens={})
+        _CODED = Tokenizer.from_str(definition), tokenbin.Encoder(definition, False), reference, bpe.Codec(bpe.serialise(ranks), P.PATTERN)
+    library, own, reference, codec = _CODED
+    for t in (text, text * 30):
+        assert own.encode([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(codec.encode([t])[0], "<u4").tolist() == reference.encode_ordinary(t)
+
+
+_CODED = None
+
+
+def test_caches_keep_no_long_cut():
+    text = "dGVzdA+/Zm9v9" * 100_000  # 1.3 MB without a space
+    codec = bpe.Codec(bpe.serialise(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))), P.PATTERN)
+    assert codec.decode(codec.encode([text])[0]) == text.encode()
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        own = tokenbin.Encoder(file.read(), False)
+    assert own.tokenizer.decode(own.encode([text])[0].tolist()) == text
+    assert not codec.cache and not own.new and not own.old
+
+
+def test_token_shards_of_a_crowded_id(spark):
+    docs = spark.createDataFrame([(7 if i % 3 else i, f"text number {i}") for i in range(300)], "`doc.id` bigint, text string")
+    path = tokenbin.write(docs, P.path("byte_bpe_50k.json"), 2, doc_id="doc.id")
+    assert tokenbin.records(path, docs, "doc.id").count() == 300
+    found = tokenbin.find(path, docs, "doc.id")
+    assert found.where("id = 7").first()["rows"] == 200 and found.count() == 101
+    named = found.withColumn("a.b", F.lit(1))
+    assert set(tokenbin.read(path, named, ["id", "a.b"]).columns) == {"id", "a.b", "start", "ids"}
+
+
+def test_row_keys_tell_nulls_apart(spark):
+    rows = spark.createDataFrame([("x", None), (None, "x"), ("", "x"), ("x", ""), (None, None), ("", "")], "id string, text string")
+    keys = [bytes(r[0]) for r in rows.select(row_key("id", "text")).collect()]
+    assert len(set(keys)) == 6 and {len(k) for k in keys} == {16}
+
+
 def test_perfect_hash():
     keys = tokenbin._key_hash(np.unique(np.random.default_rng(1).integers(-(2**50), 2**50, 20_000)))
     perfect = tokenbin.PerfectHash.of(keys)
@@ -205,6 +273,35 @@ def test_line_dedup(spark, docs, corpus, crowded):
     assert lines.remove_lines(crowded).count() == len(corpus)
 
 
+def every_common_block(texts, min_chars):
+    """For each text the lines in runs of at least ``min_chars``, or all lines, that any earlier text has too; all pairs, by definition."""
+    split = [[x for x in t.split("\n") if x.strip()] for t in texts]
+    out = []
+    for i, mine in enumerate(split):
+        gone = set()
+        for other in split[:i]:
+            for a in range(len(mine)):
+                for b in range(len(other)):
+                    n = 0
+                    while a + n < len(mine) and b + n < len(other) and mine[a + n] == other[b + n]:
+                        n += 1
+                    if n and (sum(map(len, mine[a : a + n])) >= min_chars or n == len(mine) == len(other)):
+                        gone.update(range(a, a + n))
+        out.append("\n".join(x for j, x in enumerate(mine) if j not in gone))
+    return out
+
+
+def test_line_dedup_loses_no_block_of_any_pair(spark):
+    rng = np.random.default_rng(8)
+    pool = [f"line {i} " + "y" * int(rng.integers(0, 30)) for i in range(40)]
+    runs = [[pool[int(x)] for x in rng.integers(0, 40, rng.integers(1, 6))] for _ in range(12)]
+    texts = ["\n".join([x for r in rng.integers(0, 12, rng.integers(1, 4)) for x in [*runs[int(r)], pool[int(rng.integers(0, 40))]]]) for _ in range(70)]
+    for min_chars in (30, 60):
+        want = every_common_block(texts, min_chars)
+        assert cut_lines(spark, texts, rare=1000, min_chars=min_chars) == want
+        assert sum(a != b for a, b in zip(texts, want, strict=True)) > 30
+
+
 def test_patience():
     assert lines.patience(list("abcde"), list("axcye")) == [(0, 0), (2, 2), (4, 4)]
     assert lines.patience(list("aab"), list("aab")) == [(0, 0), (1, 1), (2, 2)]
