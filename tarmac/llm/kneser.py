@@ -283,12 +283,13 @@ def thresholds(scored: DataFrame, lang: str = "lang", quantile: float = 0.999, l
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep: list[str] | None = None, quantile: float = 0.999, **options
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep: list[str] | None = None, quantile: float = 0.999, max_ids: int = 2_000_000, **options
 ) -> DataFrame:
     """``docs`` with ``perplexity`` and ``kept``.  Trusted documents have labels, all of good quality and none toxic."""
     good = labels.groupBy(F.col("doc_id").alias("_label")).agg((F.min("quality") == 1).alias("_q"), (F.coalesce(F.max("toxic"), F.lit(0)) == 0).alias("_t"))
-    good = stored(good.where("_q and _t and _label is not null").select("_label"))  # of known size, so Spark itself decides whether it travels
-    trusted = docs.select(quoted(doc_id).alias("_id"), quoted(lang).alias("_lang"), quoted(text).alias("_text")).join(good, F.col("_id") == F.col("_label"), "left_semi")
+    good = stored(good.where("_q and _t and _label is not null").select("_label"))
+    few = good.count() <= max_ids  # their broadcast takes some 32 MB at most; more are dealt with the texts by id
+    trusted = docs.select(quoted(doc_id).alias("_id"), quoted(lang).alias("_lang"), quoted(text).alias("_text")).join(F.broadcast(good) if few else good, F.col("_id") == F.col("_label"), "left_semi")
     trusted = stored(trusted.withColumn("_half", F.pmod(F.xxhash64("_id"), F.lit(2))))
     texts = trusted.where("_half = 0").select("_text")
     alphabet = learn_alphabet(texts)
