@@ -1,6 +1,7 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into text nodes, each with its root-to-leaf tag path (tag and class names).  Every path gets two
+A page is read once, in linear time, into text nodes, each with its root-to-leaf tag path (block tags with their class
+names; elements deeper than 512 stand beside one another, as browsers have it).  Every path gets two
 ratios over the page: text length for each node, and punctuation for each node.  Each ratio, laid out in page order
 over the nodes, is smoothed by a short kernel; both are scaled to the page's highest and fused by a product with link
 density; paths whose mean fused value passes a share of the page's mean are content.  Headings of a content container,
@@ -8,8 +9,13 @@ and further blocks under the same parent path as content at any depth (list item
 with it, if links are less than half of them; of the body itself only what text elements alone lead to.
 
 What a page says of itself comes first: text under navigation, header, footer, aside, form, script, style and the
-like, or under an element named as menu, sidebar, advert, notice or comments, is never content, and if an ``article``
-or ``main`` element holds most of the remaining text, only that is scored.
+like, is never content, nor is text under an element that a class or its id names as menu, sidebar, advert, notice or
+comments.  A name counts whole: all its words must be such words or say nothing of the content (``comment-list`` and
+``ad-slot-2`` count, ``share-price`` and ``form-of-government`` do not).  If an ``article`` or ``main`` element holds most
+of the remaining text, only that is scored.
+
+A tag ends at the first ``>`` outside quotes.  If the page ends before that, quotes are left unclosed, and from there on
+tags end at the next ``>``; a tag without any is dropped with what follows.
 
 Character references are decoded, white space in a block becomes one space, blocks are trimmed, and those with text are
 joined by newlines in page order.  Null and empty pages, and pages without content, give the empty text.
@@ -18,6 +24,9 @@ joined by newlines in page order.  Null and empty pages, and pages without conte
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -47,8 +56,17 @@ _NAMES = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus discussion replies reply respond form search "
     "copyright disclaimer skip hidden toc".split()
 )
+# Words that may stand beside those and say nothing of what an element holds.
+_NEUTRAL = frozenset(
+    "site page main top bottom left right upper lower inner outer box block wrap wrapper container content list item items section area bar links link icons icon buttons button media primary secondary "
+    "global post posts article articles entry slot unit zone holder panel group first last mobile desktop sticky fixed header footer the a is has js sky leader leaderboard trail text block news message".split()
+)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
+_NUMBER = re.compile(r"\d+(?:x\d+)?\Z")
+#: Deepest element, as browsers have it.
+_DEPTH = 512
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 # Elements that structure text; a path through these alone leads from a body's text to more of it.
 _FLOW = frozenset("blockquote caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 li ol p pre table tbody td tfoot th thead tr ul".split())
@@ -59,12 +77,12 @@ _SPACE = re.compile(r"\s+")
 
 
 class Block:
-    """A run of text between block boundaries: its tag path, parent path, text, and letters inside links."""
+    """A run of text between block boundaries: its tag path, text, and letters inside links."""
 
-    __slots__ = ("heading", "inside", "linked", "outside", "parent", "parts", "path", "text")
+    __slots__ = ("heading", "inside", "linked", "outside", "parts", "path", "text")
 
     def __init__(self, path: tuple[str, ...], heading: bool, inside: int, outside: bool) -> None:
-        self.path, self.parent, self.heading, self.inside, self.outside = path, path[:-1], heading, inside, outside
+        self.path, self.heading, self.inside, self.outside = path, heading, inside, outside
         self.parts: list[str] = []
         self.linked = 0
         self.text = ""
@@ -80,106 +98,185 @@ def _outside(name: str, attributes: str, in_article: bool) -> bool:
         return True
     if found.get("role", "").lower() in _ROLES:
         return True
-    named = {w.lower() for key in ("class", "id") for w in _SPLIT.split(found.get(key, ""))}
-    return bool(named & (_NAMES - {"header"} if in_article else _NAMES)) and name not in ("body", "html", "article", "main")
+    if name in ("body", "html", "article", "main"):
+        return False
+    return any(_named(token, in_article) for key in ("class", "id") for token in found.get(key, "").split())
+
+
+@lru_cache(20_000)
+def _named(token: str, in_article: bool) -> bool:
+    """Whether a class or id names what is not the article: all its words are such words, or say nothing, and one is."""
+    words = [w.lower() for w in _SPLIT.split(token) if w]
+    names = _NAMES - {"header"} if in_article else _NAMES
+    return any(w in names for w in words) and all(w in _NAMES or w in _NEUTRAL or _NUMBER.match(w) for w in words)
+
+
+def tags_of(html: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """``(start, end, slash, name, attributes)`` of a page's tags in order; of comments and declarations the name is empty."""
+    at, lenient = html.find("<"), False
+    while at >= 0:
+        end = -1
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            end, found = (end + 3 if end >= 0 else len(html)), ("", "", "")
+        elif html.startswith("<![CDATA[", at):
+            end = html.find("]]>", at)
+            end, found = (end + 3 if end >= 0 else len(html)), ("", "", "")
+        elif html.startswith(("<!", "<?"), at):
+            end = html.find(">", at)
+            end, found = (end + 1 if end >= 0 else len(html)), ("", "", "")
+        elif match := _TAG.match(html, at):
+            stop = match.end()
+            while not lenient:
+                mark = _STOP.search(html, stop)
+                if mark is None:
+                    lenient = True
+                elif mark[0] == ">":
+                    end = mark.end()
+                    break
+                else:
+                    stop = html.find(mark[0], mark.end()) + 1
+                    lenient = stop == 0
+            if lenient:  # each tag is looked at once more only after the page's last quote was found open
+                end = html.find(">", match.end()) + 1 or len(html)
+            found = match[1], match[2].lower(), html[match.end() : end - 1] if html[end - 1] == ">" else ""
+            if html[end - 1] != ">":
+                found = ("", "", "")
+        if end < 0:  # a bare "<"
+            at = html.find("<", at + 1)
+            continue
+        skip = yield at, end, *found
+        at = html.find("<", max(end, skip or 0))
+
+
+class Element:
+    """An open element, with what holds for all inside it."""
+
+    __slots__ = ("article", "inside", "links", "name", "outside", "path")
+
+    def __init__(self, name: str, path: tuple[str, ...], outside: bool, article: bool, inside: int, links: int) -> None:
+        self.name, self.path, self.outside, self.article, self.inside, self.links = name, path, outside, article, inside, links
 
 
 def blocks_of(html: str) -> list[Block]:
     """The blocks with text of a page, in order."""
-    stack: list[tuple[str, bool, bool, str]] = []  # name, outside, article, name with classes
+    root = Element("", (), False, False, 0, 0)
+    stack: list[Element] = [root]
+    held: Counter[str] = Counter()  # open elements by name
     out: list[Block] = []
     current: Block | None = None
-    skip, links, at = "", 0, 0
+    endless: set[str] = set()  # raw elements of which no end is left
+    made: dict[tuple[int, str], tuple[str, ...]] = {}  # equal paths are one object
+    at = 0
 
     def add(text: str) -> None:
         nonlocal current
+        top = stack[-1]
         if current is None:
             if not text.strip():
                 return
-            chain = [s for s in stack if s[0] in _BLOCK]
-            articles = [i for i, s in enumerate(stack) if s[2]]
-            current = Block(tuple(s[3] for s in chain), bool(chain) and chain[-1][0] in _HEADINGS, articles[0] + 1 if articles else 0, any(s[1] for s in stack))
+            block = top.path[-1].partition(".")[0] if top.path else ""
+            current = Block(top.path, block in _HEADINGS, top.inside, top.outside)
             out.append(current)
         current.parts.append(text)
-        if links:
+        if top.links:
             current.linked += len(text.strip())
 
+    def drop(i: int) -> None:
+        """Takes an inline element out; what is inside it stays open."""
+        gone = stack.pop(i)
+        held[gone.name] -= 1
+        if gone.name == "a":
+            for inner in stack[i:]:
+                inner.links -= 1
+
     def close(name: str) -> None:
-        nonlocal current, links
-        while stack:
+        nonlocal current
+        while len(stack) > 1:
             top = stack.pop()
-            if top[0] == "a":
-                links -= 1
-            if top[0] in _BLOCK:
+            held[top.name] -= 1
+            if top.name in _BLOCK:
                 current = None
-            if top[0] == name:
+            if top.name == name:
                 return
 
-    for token in _TOKEN.finditer(html):
-        if token.start() < at:
-            continue
-        if token.start() > at and not skip:
-            add(unescape(html[at : token.start()]))
-        at = token.end()
-        name = (token[2] or "").lower()
-        if not name:
-            continue
-        if token[1]:
-            if name == "br" or name == "p" and not any(s[0] == "p" for s in stack):
+    tags = tags_of(html)
+    token = next(tags, None)
+    while token is not None:
+        start, end, slash, name, attributes = token
+        if start > at:
+            add(unescape(html[at:start]))
+        at = end
+        jump = None
+        if name and slash:
+            if name == "br" or name == "p" and not held["p"]:
                 add(" ") if current else None
-            elif any(s[0] == name for s in stack):
-                if name not in _BLOCK:  # an inline end tag does not end the blocks around it
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] == name:
-                            if name == "a":
-                                links -= 1
-                            del stack[i]
+            elif held[name]:
+                if name in _BLOCK:
+                    close(name)
+                else:  # an inline end tag does not end the blocks around it
+                    for i in range(len(stack) - 1, 0, -1):
+                        if stack[i].name == name:
+                            drop(i)
                             break
-                        if stack[i][0] in _BLOCK:
+                        if stack[i].name in _BLOCK:
                             break
-                else:
-                    close(name)
-            continue
-        if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            at = end.end() if end else (len(html) if name in ("script", "style", "title", "textarea") else at)
-            continue
-        if name == "br":
+        elif name in _RAW:
+            close_tag = None if name in endless else _end_of(name).search(html, at)
+            if close_tag:
+                at = close_tag.end()
+            else:
+                endless.add(name)
+                at = len(html) if name in ("script", "style", "title", "textarea") else at
+            jump = at
+        elif name == "br":
             add(" ") if current else None
-            continue
-        if name in _VOID:
+        elif name in _VOID:
             current = None if name == "hr" else current
-            continue
-        open_names = [s[0] for s in stack]
-        if name in _CLOSES_P and "p" in open_names:
-            close("p")
-        if name in _SIBLINGS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in _SIBLINGS[name]:
-                    close(stack[i][0])
-                    break
-                if stack[i][0] in _SCOPE[name]:
-                    break
-        if name in _HEADINGS and stack and stack[-1][0] in _HEADINGS:
-            close(stack[-1][0])
-        if name in _BLOCK:
-            current = None
-        attributes = token[3].rstrip("/")
-        article = name in ("article", "main")
-        classes = _CLASS.search(attributes) if name in _BLOCK and attributes else None
-        path_name = ".".join([name, *sorted((classes[1] or classes[2] or classes[3] or "").split())]) if classes else name
-        stack.append((name, _outside(name, attributes, any(s[2] for s in stack)), article, path_name))
-        links += name == "a"
-        if token[3].endswith("/") and name not in _BLOCK:
-            stack.pop()
-            links -= name == "a"
-    if at < len(html) and not skip:
+        elif name:
+            if held["p"] and name in _CLOSES_P:
+                close("p")
+            if name in _SIBLINGS and any(held[n] for n in _SIBLINGS[name]):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].name in _SIBLINGS[name]:
+                        close(stack[i].name)
+                        break
+                    if stack[i].name in _SCOPE[name]:
+                        break
+            if name in _HEADINGS and stack[-1].name in _HEADINGS:
+                close(stack[-1].name)
+            if len(stack) > _DEPTH:
+                close(stack[-1].name)
+            block = name in _BLOCK
+            if block:
+                current = None
+            if not (attributes.endswith("/") and not block):
+                top, own = stack[-1], attributes.rstrip("/")
+                article = name in ("article", "main")
+                classes = _CLASS.search(own) if block and own else None
+                path_name = ".".join([name, *sorted((classes[1] or classes[2] or classes[3] or "").split())]) if classes else name
+                inside = top.inside or (len(stack) if article else 0)
+                path, key = top.path, (id(top.path), path_name)
+                if block:
+                    path = made.get(key) or made.setdefault(key, (*path, path_name))
+                stack.append(Element(name, path, top.outside or _outside(name, own, top.article), top.article or article, inside, top.links + (name == "a")))
+                held[name] += 1
+        try:
+            token = tags.send(jump)
+        except StopIteration:
+            token = None
+    if at < len(html):
         add(unescape(html[at:]))
     for block in out:
         block.text = _SPACE.sub(" ", "".join(block.parts)).strip()
     return [b for b in out if b.text]
 
 
+@lru_cache(100)
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\s*>", re.I)
+
+
 def _smooth(values: np.ndarray) -> np.ndarray:
     kernel = np.array([1.0, 2.0, 1.0])
     return np.convolve(np.pad(values, 1, "edge"), kernel / kernel.sum(), "valid")
@@ -193,8 +290,10 @@ def select(blocks: list[Block], threshold: float) -> list[Block]:
         rest = inside
     if not rest:
         return []
-    paths = {p: i for i, p in enumerate(dict.fromkeys(b.path for b in rest))}
-    which = np.array([paths[b.path] for b in rest])
+    objects = {id(b.path): b.path for b in rest}  # few, where blocks share their paths
+    paths = {p: i for i, p in enumerate(dict.fromkeys(objects.values()))}
+    numbers = {k: paths[p] for k, p in objects.items()}
+    which = np.array([numbers[id(b.path)] for b in rest])
     length = np.array([len(b.text) for b in rest], float)
     marks = np.array([len(_PUNCTUATION.findall(b.text)) for b in rest], float)
     linked = np.array([min(b.linked, len(b.text)) for b in rest], float)
@@ -205,21 +304,33 @@ def select(blocks: list[Block], threshold: float) -> list[Block]:
     fused = (text / text.max() + (punctuation / punctuation.max() if punctuation.max() else 0)) * plain
     by_path = np.bincount(which, fused) / nodes
     weight = np.bincount(which, length)
-    chosen = {p for p, i in paths.items() if by_path[i] >= threshold * (by_path * weight).sum() / weight.sum() and by_path[i] > 0}
+    sparse = np.bincount(which, linked) <= 0.5 * weight
+    content = (by_path >= threshold * (by_path * weight).sum() / weight.sum()) & (by_path > 0)
+    chosen = [p for p, i in paths.items() if content[i]]
     parents = {p[:-1] for p in chosen}
-    sparse = {p for p, i in paths.items() if plain[which == i][0] >= 0.5}
     starts = {p[:n] for p in chosen for n in range(len(p) + 1)}
 
-    def beside(block: Block) -> bool:
-        for n in range(len(block.path)):
-            if block.path[:n] in parents:
-                top = block.path[n - 1].partition(".")[0] if n else "body"
-                if n == len(block.parent) or block.inside or top not in ("html", "body") or all(x.partition(".")[0] in _FLOW for x in block.path[n:]):
+    def beside(path: tuple[str, ...], inside: bool) -> bool:
+        for n in range(len(path)):
+            if path[:n] in parents:
+                top = path[n - 1].partition(".")[0] if n else "body"
+                if n == len(path) - 1 or inside or top not in ("html", "body") or all(x.partition(".")[0] in _FLOW for x in path[n:]):
                     return True
         return False
 
-    few_links = lambda b: b.path in sparse or 2 * b.linked <= len(b.text)
-    return [b for b in rest if b.path in chosen or few_links(b) and (beside(b) or b.heading and b.parent in starts)]
+    kin: dict[tuple[int, bool], bool] = {}  # by path, as many blocks share one
+    out = []
+    for block, i in zip(rest, which.tolist(), strict=True):
+        if not content[i]:
+            if not sparse[i] and 2 * block.linked > len(block.text):
+                continue
+            key = i, bool(block.inside)
+            if key not in kin:
+                kin[key] = beside(block.path, key[1])
+            if not kin[key] and not (block.heading and block.path[:-1] in starts):
+                continue
+        out.append(block)
+    return out
 
 
 def main_text(html: str | None, threshold: float = 0.5) -> str:

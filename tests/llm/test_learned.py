@@ -1,6 +1,8 @@
 """Learned operators: Kneser-Ney against a dictionary version, filters on held-out texts, certified cutoffs, page text."""
 
 import math
+import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -186,6 +188,62 @@ def test_page_text(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_page_names_count_whole():
+    long = "A long paragraph of the article, with commas, and full stops. It goes on, and on, for a while. " * 4
+    kept = [f"<div class='share-price'><p>{long}</p></div>", f"<section id='form-of-government'><p>{long}</p></section>", f"<div class='hidden-figures search-results'><p>{long}</p></div>", f"<p class='related-work'>{long}</p>"]
+    gone = [f"<div class='{c}'><p>{long}</p></div>" for c in ("comment-list", "site-sidebar", "x ad-slot-2", "cookieNotice", "share", "related-posts", "advert-300x250", "newsletter_signup", "nav")]
+    for page in ("<body><div class='story'>{}</div></body>", "<article>{}</article>"):
+        assert html.main_text(page.format("".join(kept))).split("\n") == [long.strip()] * 4
+        assert html.main_text(page.format(f"<p>{long}</p>" + "".join(gone))) == long.strip()
+
+
+def test_page_reading_is_linear():
+    hostile = ["<div a='" * 40_000, '<a href="x ' * 30_000, "<div>t" * 50_000, "<b>" * 100_000 + "x</b>", "<svg>" * 60_000, "<li>x" * 60_000, "<" * 300_000, "<!--" * 80_000, "<b>" * 500 + "</i>" * 70_000, "<div " + 'a="b ' * 60_000 + ">", "".join(f"<p class=c{i}>t" for i in range(20_000))]
+    for page in hostile:
+        began = time.process_time()
+        html.main_text(page)
+        assert time.process_time() - began < 5, page[:20]
+    text = "Words of the article, and more of them. " * 5
+    assert html.main_text(f"<p>{text}</p><p>{text}</p><p title='open>{text}</p><p>{text}</p>").split("\n") == [text.strip()] * 4
+    assert html.main_text(f"<p>{text}</p><p class='a>b' title=\"c>d\">{text}</p>").split("\n") == [text.strip()] * 2
+
+
+def slow_ratios(blocks, threshold):
+    """The paths that tag-path ratios choose, by loops over the definition."""
+    paths = list(dict.fromkeys(b.path for b in blocks))
+    own = {p: [b for b in blocks if b.path == p] for p in paths}
+    mean = lambda f: {p: sum(map(f, own[p])) / len(own[p]) for p in paths}
+    length, marks, linked = mean(lambda b: len(b.text)), mean(lambda b: sum(c in ".,;:!?…。、，！？；：¿¡" for c in b.text)), mean(lambda b: min(b.linked, len(b.text)))
+
+    def smooth(of):
+        v = [of[b.path] for b in blocks]
+        return [(v[max(i - 1, 0)] + 2 * v[i] + v[min(i + 1, len(v) - 1)]) / 4 for i in range(len(v))]
+
+    text, punctuation = smooth(length), smooth(marks)
+    fused = [(t / max(text) + (p / max(punctuation) if max(punctuation) else 0)) * (1 - linked[b.path] / length[b.path]) for b, t, p in zip(blocks, text, punctuation, strict=True)]
+    value = {p: sum(f for b, f in zip(blocks, fused, strict=True) if b.path == p) / len(own[p]) for p in paths}
+    size = {p: sum(len(b.text) for b in own[p]) for p in paths}
+    bar = threshold * sum(value[p] * size[p] for p in paths) / sum(size.values())
+    return {p for p in paths if value[p] >= bar - 1e-12 and value[p] > 0}
+
+
+def test_page_paths_are_chosen_by_the_ratios():
+    rng = random.Random(2)
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(2, 14)):
+            tag, words = rng.choice(["p", "div", "h2", "li", "td"]), rng.randint(1, 60)
+            body = " ".join(rng.choice(["word", "and,", "more.", "text"]) for _ in range(words))
+            parts.append(f"<{tag} class=k{rng.randint(0, 2)}>" + (f"<a href=x>{body}</a>" if rng.random() < 0.3 else body) + f"</{tag}>")
+        blocks = html.blocks_of("<body><div class=all>" + "".join(parts) + "</div></body>")
+        chosen = slow_ratios(blocks, 0.5)
+        got = html.select(blocks, 0.5)
+        assert {b.path for b in got} >= chosen
+        assert [b for b in blocks if b.path in chosen] == [b for b in got if b.path in chosen]
+        parents = {p[:-1] for p in chosen}
+        assert all(b.path in chosen or any(b.path[:n] in parents for n in range(len(b.path))) for b in got)
+
+
 def test_page_text_of_lists_tables_and_captions():
     long = "A long paragraph of the article, with commas, and full stops. It goes on, and on, for a while. " * 4
     inner = (
