@@ -46,18 +46,19 @@ def interpolate(value: Column, points: Sequence[tuple[float, float]]) -> Column:
     return out.when(value.isNotNull(), F.lit(float(points[-1][1])))
 
 
-def smallest_magnitude(score: Column, points: Sequence[tuple[float, float]]) -> Column:
-    """The smallest x from zero up at which the broken line has ``score``; else the knot whose y is nearest."""
-    at_zero = _line(points, 0.0)
-    knots = [(0.0, at_zero), *((x, y) for x, y in points if x > 0)]
-    out = None
-    for (x0, y0), (x1, y1) in zip(knots, knots[1:], strict=False):
-        within = score.between(min(y0, y1), max(y0, y1))
-        x = F.lit(float(x0)) if y0 == y1 else F.lit(float(x0)) + (score - y0) * ((x1 - x0) / (y1 - y0))
-        out = F.when(within, x) if out is None else out.when(within, x)
-    nearest = F.array_sort(F.array(*[F.struct(F.abs(score - y).alias("gap"), F.lit(i).alias("i"), F.lit(float(x)).alias("x")) for i, (x, y) in enumerate(knots)]))
-    nearest = nearest[0]["x"]
-    return F.when(score.isNull(), F.lit(None)).otherwise(nearest if out is None else out.otherwise(nearest))
+def first_reached(score: Column, points: Sequence[tuple[float, float]]) -> Column:
+    """The inverse of ``interpolate`` from zero up: the least x of zero or more at which the line has ``score``, else that of the nearest knot."""
+    start = (0.0, _line(points, 0.0))
+    right = [start, *(p for p in points if p[0] > 0)]
+    piece = lambda p, q: F.struct(*[F.lit(float(v)).alias(n) for v, n in zip((*p, *q), ("x0", "y0", "x1", "y1"), strict=True)])
+    knot = lambda p: F.struct(F.abs(score - p[1]).alias("gap"), F.lit(float(p[0])).alias("x"))
+    crossed = [piece(p, q) for p, q in zip(right, right[1:], strict=False)]
+    nearest = F.array_min(F.array(*map(knot, right)))["x"]
+    if not crossed:
+        return F.when(score.isNotNull(), nearest)
+    hit = F.get(F.filter(F.array(*crossed), lambda s: score.between(F.least(s["y0"], s["y1"]), F.greatest(s["y0"], s["y1"]))), F.lit(0))
+    along = hit["x0"] + F.coalesce(F.try_divide(score - hit["y0"], hit["y1"] - hit["y0"]), F.lit(0.0)) * (hit["x1"] - hit["x0"])
+    return F.when(score.isNotNull(), F.coalesce(along, nearest))
 
 
 def _line(points: Sequence[tuple[float, float]], x: float) -> float:

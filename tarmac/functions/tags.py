@@ -29,6 +29,11 @@ COUNT_KINDS: dict[str, str] = {
     "traffic_signals": "signal", "crossing": "crossing", "stop": "stop", "give_way": "stop", "level_crossing": "level_crossing",
     "railway_crossing": "level_crossing", "barrier": "barrier", "traffic_calming": "barrier",
 }
+# What counts as a bridge or a tunnel, kinds read as a signal near one, and codes of accident parties.
+BRIDGES = ("yes", "viaduct", "cantilever", "covered", "suspension_bridge", "boardwalk")
+TUNNELS = ("yes", "avalanche_protector")
+SIGNAL_KINDS = ("traffic_signals", "crossing")
+PARTY_CODES: dict[str, str] = {"51": "bicycle", "52": "power_assisted_bicycle"}
 
 
 def normalized(value: Column) -> Column:
@@ -95,6 +100,46 @@ def count_kind(kind: Column) -> Column:
     return F.try_element_at(kinds, kind)
 
 
+def stop_kind(kind: Column, near_signal: Column) -> Column:
+    """The kind that a point is shown and counted as: a crossing near a signal is that signal."""
+    return F.when(F.coalesce(near_signal, F.lit(False)) & kind.isin(*SIGNAL_KINDS), "traffic_signals").otherwise(kind)
+
+
+def is_bridge(row_exists: Column, bridge: Column) -> Column:
+    return absent_is_false(row_exists, normalized(bridge).isin(*BRIDGES))
+
+
+def is_tunnel(row_exists: Column, tunnel: Column) -> Column:
+    return absent_is_false(row_exists, normalized(tunnel).isin(*TUNNELS))
+
+
+def is_signal(highway: Column, crossing: Column) -> Column:
+    """A signal by the raw tags, which are not normalised here."""
+    return F.coalesce((highway == "traffic_signals") | ((highway == "crossing") & F.contains(F.coalesce(crossing, F.lit("")), F.lit("signals"))), F.lit(False))
+
+
+def one_way(direction: Column) -> Column:
+    return direction != "both"
+
+
+def travel_allowed(direction: Column) -> tuple[Column, Column]:
+    """Whether a road may be ridden along its line, and against it."""
+    return direction != "backward", direction != "forward"
+
+
+def party_type(code: Column) -> Column:
+    """The kind of an accident's party; codes of no kind are other, and no code is none."""
+    return F.when(code.isNotNull(), F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in PARTY_CODES.items() for x in pair]), code), F.lit("other")))
+
+
+def involves_bicycle(*parties: Column) -> Column:
+    return any_of(parties, PARTY_CODES.values())
+
+
+def is_fatal(deaths: Column) -> Column:
+    return F.coalesce(deaths, F.lit(0)) > 0
+
+
 def travel_direction(oneway_bicycle: Column, oneway: Column, junction: Column) -> Column:
     """``both``, ``forward`` or ``backward``: the bicycle rule, then the general one, then roundabouts."""
 

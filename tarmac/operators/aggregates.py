@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions.numbers import round_significant, round_tenth
+from tarmac.operators.prefix import running
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -19,8 +21,11 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 def cumulative(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
     """One row for each key and different value, with its weight, the weight up to it, and the key's total."""
     sums = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*keys, value).agg(F.sum(weight).alias("w"))
-    by = Window.partitionBy(*keys)
-    return sums.withColumn("upto", F.sum("w").over(by.orderBy(value))).withColumn("total", F.sum("w").over(by))
+    steps = running(sums, keys, value, "w").withColumnRenamed("running", "upto")
+    total = steps.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max("upto").alias("total"))  # a row a key
+    if not keys:
+        return steps.crossJoin(F.broadcast(total))
+    return steps.join(total, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])).drop(*[f"_k_{k}" for k in keys])
 
 
 def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: str, weight: str, targets: Sequence[float]) -> DataFrame:
@@ -56,12 +61,12 @@ def category_shares(df: DataFrame, keys: Sequence[str], category: str, weight: s
     return sums.withColumn("share", share).withColumn("place", F.row_number().over(by)).withColumn("share", F.round("share", digits)).drop("w")
 
 
-def percent_shares(df: DataFrame, key: str, kind: str, count: str, kinds: Sequence[str], invalid: Sequence[str], least: float) -> DataFrame:
+def percent_shares(df: DataFrame, key: str, kind: str, count: str, kinds: Sequence, invalid: Sequence, least: float) -> DataFrame:
     """The percentage of each kind among valid ones; keys with fewer than ``least`` valid counts are left out."""
     valid = ~F.col(kind).isin(*invalid) if invalid else F.lit(True)
-    sums = [F.sum(F.when(F.col(kind) == k, F.col(count)).otherwise(0)).alias(k) for k in kinds]
+    sums = [F.sum(F.when(F.col(kind) == k, F.col(count)).otherwise(0)).alias(f"_{k}") for k in kinds]
     out = df.where(valid).groupBy(key).agg(F.sum(count).alias("_valid"), *sums).where(F.col("_valid") >= least)
-    return out.select(key, *[(F.col(k) * 100.0 / F.col("_valid")).alias(f"{k}_percent") for k in kinds])
+    return out.select(key, *[(F.col(f"_{k}") * 100.0 / F.col("_valid")).alias(f"{k}_percent") for k in kinds])
 
 
 def place_share(ends_inside: Column) -> Column:

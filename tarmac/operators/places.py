@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions.geo import haversine_m
 from tarmac.functions.text import like_prefix, name_key, phone, website
 from tarmac.operators.components import connected
 from tarmac.operators.spatial import clusters
+from tarmac.storage import stored
 
 
 def grouped(places: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -62,7 +63,7 @@ def ancestors(areas: DataFrame, rounds: int = 12) -> DataFrame:
     step = areas.select(F.col("area").alias("ancestor"), F.col("parent").alias("_next"))
     out = level = areas.select("area", F.col("area").alias("ancestor"), F.lit(0).alias("up"))
     for up in range(1, rounds):
-        level = level.join(step, "ancestor").where("_next is not null").select("area", F.col("_next").alias("ancestor"), F.lit(up).alias("up"))
+        level = stored(level.join(step, "ancestor").where("_next is not null").select("area", F.col("_next").alias("ancestor"), F.lit(up).alias("up")))
         out = out.unionByName(level)
         if level.isEmpty():
             return out
@@ -80,7 +81,8 @@ def search(keys: DataFrame, text: str, limit: int = 10) -> DataFrame:
     """Areas under the longest prefix of ``text`` that is a key, or whose keys start with ``text``; shorter keys first."""
     asked = F.lit(text)
     exact = keys.where(F.startswith(asked, F.col("key"))).withColumn("_length", F.length("key"))
-    best = exact.withColumn("_rank", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_length")))).where("_rank = 1").select("area", "key", F.lit(0).alias("kind"))
+    longest = exact.agg(F.max("_length").alias("_length"))  # one row
+    best = exact.join(F.broadcast(longest), "_length").select("area", "key", F.lit(0).alias("kind"))
     longer = keys.where(F.col("key").like(text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%")).select("area", "key", F.lit(1).alias("kind"))
     hits = best.unionByName(longer).groupBy("area").agg(F.min(F.struct("kind", F.length("key").alias("n"), "key")).alias("h"))
     return hits.select("area", "h.kind", "h.key").orderBy("kind", F.length("key"), "key", "area").limit(limit)
@@ -99,4 +101,61 @@ def link_names(left: DataFrame, right: DataFrame, key: str = "name") -> DataFram
     return best.select("left_id", "b.right_id", "b.rank")
 
 
-__all__ = ["ancestors", "chain_of", "full_names", "grouped", "like_prefix", "link_names", "merge_by_contact", "merge_by_name", "search"]
+def with_missing_parents(areas: DataFrame, parent_of: DataFrame) -> DataFrame:
+    """``areas`` (``area``, ``parent``, ``name``, ``lon``, ``lat``) with a row for each parent that has children but no row.
+
+    Such a parent stands in the middle of its children; its own parent and name come from ``parent_of`` (``area``,
+    ``parent``, ``name``), without which it is left out.
+    """
+    missing = areas.where("parent is not null").select(F.col("parent").alias("_p"), "lon", "lat").join(areas.select(F.col("area").alias("_p")), "_p", "left_anti")
+    middle = missing.groupBy(F.col("_p").alias("area")).agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
+    made = middle.join(parent_of.select("area", "parent", "name"), "area").select(*areas.columns)
+    return areas.unionByName(made)
+
+
+def in_range(areas: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Areas whose point lies in the box, and all areas above them."""
+    inside = areas.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3])).select("area")
+    kept = ancestors(areas).join(inside, "area", "left_semi").select(F.col("ancestor").alias("area")).distinct()
+    return areas.join(kept, "area", "left_semi")
+
+
+def ranked_hits(hits: DataFrame, levels: Sequence[str], lon: float, lat: float, limit: int) -> DataFrame:
+    """``hits`` (several a place: ``area``, ``level``, ``numbered``, ``continued``, ``lon``, ``lat``) as one row a place with ``position``.
+
+    A place's best hit counts; then its level in the given order, whether the query goes on in it, distance and id.
+    """
+    best = hits.groupBy("area", "level", "lon", "lat").agg(F.min("numbered").alias("numbered"), F.min("continued").alias("continued"))
+    rank = F.array_position(F.array(*map(F.lit, levels)), F.col("level"))
+    away = haversine_m(F.col("lon"), F.col("lat"), F.lit(lon), F.lit(lat))
+    order = [F.col("numbered"), rank, F.col("continued"), away, F.col("area")]
+    few = best.orderBy(*order).limit(limit)
+    return few.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # of the few
+
+
+def nearest_places(places_: DataFrame, key: str, lon: float, lat: float, limit: int) -> DataFrame:
+    """The ``limit`` nearest places by exact distance; one ordering, which Spark takes as the best of each partition's best."""
+    away = haversine_m(F.col("lon"), F.col("lat"), F.lit(lon), F.lit(lat))
+    return places_.withColumn("dist_m", away).orderBy("dist_m", key).limit(limit)
+
+
+def in_order(*results: DataFrame) -> DataFrame:
+    """Results one after another: ``source`` numbers them, and each keeps its own ``position``."""
+    numbered = [r.withColumn("source", F.lit(i)) for i, r in enumerate(results)]
+    out = numbered[0]
+    for more in numbered[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out.orderBy("source", "position")
+
+
+def group_of(word: Column, groups: Mapping[str, Sequence[str]]) -> Column:
+    """The group that a query word names; a text that only contains such a word is a name and has none."""
+    from tarmac.functions.text import query_word
+
+    asked, out = query_word(word), F.lit(None).cast("string")
+    for name, words in reversed(list(groups.items())):
+        out = F.when(F.array_contains(F.array(*[query_word(F.lit(w)) for w in words]), asked), name).otherwise(out)
+    return out
+
+
+__all__ = ["ancestors", "chain_of", "full_names", "grouped", "group_of", "in_order", "in_range", "like_prefix", "link_names", "merge_by_contact", "merge_by_name", "nearest_places", "ranked_hits", "search", "with_missing_parents"]

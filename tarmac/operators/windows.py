@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions.geo import haversine_m
+from tarmac.operators.prefix import running
 
 
 def elevation_values(vertices: DataFrame, keys: Sequence[str], order: str = "ord", max_grade: float = 40.0) -> DataFrame:
@@ -61,15 +62,10 @@ def hours_since(df: DataFrame, key: str, hour: str, value: str, threshold: float
 def pareto_front(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
     """Rows that no other beats in both ``a`` and ``b`` (lower is better); equal rows stay together.
 
-    A global front first thins each bucket of ``a`` to what can be in it, so only survivors meet in one window.
+    The best ``b`` before each ``a`` is a running minimum over ranges of ``a``, so no task gets a whole front.
     """
     groups = df.groupBy(*keys, a).agg(F.min(b).alias(b))
-    if not keys:
-        groups = groups.withColumn("_bucket", F.spark_partition_id())
-        inner = Window.partitionBy("_bucket").orderBy(a).rowsBetween(Window.unboundedPreceding, -1)
-        groups = groups.withColumn("_best", F.min(b).over(inner)).where(F.col("_best").isNull() | (F.col(b) < F.col("_best"))).select(a, b)
-    before = Window.partitionBy(*keys).orderBy(a).rowsBetween(Window.unboundedPreceding, -1)
-    front = groups.withColumn("_best", F.min(b).over(before)).where(F.col("_best").isNull() | (F.col(b) < F.col("_best"))).drop("_best")
+    front = running(groups, keys, a, b, "min", inclusive=False).where(F.col("running").isNull() | (F.col(b) < F.col("running"))).drop("running")
     return df.join(front, [*keys, a, b], "left_semi")
 
 

@@ -131,10 +131,12 @@ def night_weights(spark, sf_dir):
     return _unrounded(spark, sf_dir).select("o_orderkey", F.round(A.composite(weights, rounded=False) + OFF_TIES, 6).alias("difficulty"))
 
 
-@query()
+@query(f"""WITH q AS (SELECT o_orderkey, o_orderkey % 5 / 2.0 AS wind, avg(l_quantity) AS q FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1), a AS (SELECT *, {exact_tenth("CASE WHEN q <= 20 THEN q * 1.5 WHEN q <= 50 THEN 30.0 + (q - 20) * (70.0 / 30.0) WHEN q IS NOT NULL THEN 100.0 END")} AS load FROM q), x AS (SELECT *, wind + coalesce(load * 0.1, 0) AS x FROM a)
+    SELECT o_orderkey, load, {exact_tenth("CASE WHEN x <= 0 THEN 0.0 WHEN x <= 2 THEN x * 50.0 ELSE 100.0 END")} AS gust FROM x""")
 def dynamic_axes(spark, sf_dir):
     """Only the axes that depend on wind are evaluated, on top of stored static ones."""
-    static = A.evaluate(segments(spark, sf_dir), AXES[:1]).withColumn("wind", (F.col("o_orderkey") % 5 / 2.0))
+    own = segments(spark, sf_dir).withColumn("discount_percent", F.lit(None).cast("double"))
+    static = A.evaluate(own, AXES[:1]).withColumn("wind", (F.col("o_orderkey") % 5 / 2.0))
     return A.evaluate(static, A.dependents({"wind"}, AXES)).select("o_orderkey", "load", "gust")
 
 

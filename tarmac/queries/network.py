@@ -8,6 +8,7 @@ from tarmac.operators import derive, graph, places, spatial
 from tarmac.operators.components import connected
 from tarmac.queries.registry import Registry, table
 from tarmac.queries.scalar import _DISTANCE, place
+from tarmac.storage import stored
 
 query = Registry()
 
@@ -21,25 +22,40 @@ def _edges(spark, sf_dir):
 _EDGES = """edges AS (SELECT tail, head, min(cost) AS cost FROM (SELECT l_partkey % 200 AS tail, (l_suppkey * 7 + l_linenumber) % 200 AS head, round(l_quantity, 0) AS cost FROM lineitem) WHERE tail <> head GROUP BY 1, 2)"""
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, walk(node, cost, hops) USING KEY (node) AS (SELECT 0::BIGINT, 0.0::DOUBLE, 0 UNION (SELECT e.head, min(w.cost + e.cost), any_value(w.hops + 1) FROM walk w JOIN edges e ON e.tail = w.node LEFT JOIN recurring.walk k ON k.node = e.head
-    WHERE k.cost IS NULL OR w.cost + e.cost < k.cost GROUP BY e.head)) SELECT node, cost FROM walk""")
+def _roads(spark, sf_dir):
+    """A directed graph on all orders: each line leads from its order to one derived from its part and number."""
+    orders = table(spark, sf_dir, "orders").agg(F.count("*").alias("n"))
+    lines = table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(orders))  # one row
+    head = (F.col("l_orderkey") * 3 + F.col("l_partkey") * 7 + F.col("l_linenumber") * 11) % F.col("n")
+    edges = lines.select((F.col("l_orderkey") % F.col("n")).alias("tail"), head.alias("head"), F.col("l_extendedprice").alias("cost"))
+    return stored(edges.where("tail <> head").groupBy("tail", "head").agg(F.min("cost").alias("cost")))
+
+
+_ROADS = """roads AS (SELECT tail, head, min(cost) AS cost FROM (SELECT l_orderkey % n AS tail, (l_orderkey * 3 + l_partkey * 7 + l_linenumber * 11) % n AS head, l_extendedprice AS cost FROM lineitem, (SELECT count(*) AS n FROM orders)) WHERE tail <> head GROUP BY 1, 2)"""
+_TREE = "{name}(node, cost) USING KEY (node) AS (SELECT {source}::BIGINT, 0.0::DOUBLE UNION (SELECT e.{head}, min(w.cost + e.cost) FROM {name} w JOIN roads e ON e.{tail} = w.node LEFT JOIN recurring.{name} k ON k.node = e.{head} WHERE (k.cost IS NULL OR w.cost + e.cost < k.cost) AND w.cost + e.cost <= {limit} GROUP BY 1))"
+_WALK = _TREE.format(name="walk", source=0, head="head", tail="tail", limit="1e300")
+
+
+@query(f"WITH RECURSIVE {_ROADS}, {_WALK} SELECT node, round(cost, 4) AS cost FROM walk")
 def shortest_path_tree(spark, sf_dir):
     source = spark.createDataFrame([(0, 0.0)], "node bigint, cost double")
-    return graph.relax(_edges(spark, sf_dir), source).select("node", "cost")
+    return graph.relax(_roads(spark, sf_dir), source).select("node", F.round("cost", 4).alias("cost"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ROADS}, {_WALK}, back(node, n) AS (SELECT 101::BIGINT, 0 UNION ALL SELECT e.tail, n + 1 FROM back JOIN roads e ON e.head = back.node JOIN walk a ON a.node = e.tail JOIN walk b ON b.node = e.head WHERE back.node <> 0 AND a.cost + e.cost = b.cost)
+    SELECT (max(n) OVER () - n)::BIGINT AS step, node FROM back""")
 def path_reconstruct(spark, sf_dir):
     source = spark.createDataFrame([(0, 0.0)], "node bigint, cost double")
-    return graph.path(graph.relax(_edges(spark, sf_dir), source), F.lit(101))
+    return graph.path(graph.relax(_roads(spark, sf_dir), source), F.lit(101))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ROADS}, {_TREE.format(name="there", source=0, head="head", tail="tail", limit=200000)}, {_TREE.format(name="back", source=101, head="tail", tail="head", limit=200000)}
+    SELECT node, round(t.cost, 4) AS to_node, round(b.cost, 4) AS from_node, round(t.cost + b.cost, 4) AS through FROM there t JOIN back b USING (node)""")
 def tree_junction(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
-    there = graph.relax(edges, spark.createDataFrame([(0, 0.0)], "node bigint, cost double"), limit=40.0)
-    back = graph.relax(graph.reversed_states(edges), spark.createDataFrame([(101, 0.0)], "node bigint, cost double"), limit=40.0)
-    return graph.junction(there, back)
+    roads = _roads(spark, sf_dir)
+    there = graph.relax(roads, spark.createDataFrame([(0, 0.0)], "node bigint, cost double"), limit=200_000.0)
+    back = graph.relax(graph.reversed_states(roads), spark.createDataFrame([(101, 0.0)], "node bigint, cost double"), limit=200_000.0)
+    return graph.junction(there, back).select("node", *[F.round(c, 4).alias(c) for c in ("to_node", "from_node", "through")])
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, reach AS (SELECT tail AS a, head AS b FROM edges UNION SELECT a, head FROM reach JOIN edges ON tail = b), nodes AS (SELECT tail AS n FROM edges UNION SELECT head FROM edges),
@@ -96,28 +112,35 @@ def directed_edges(spark, sf_dir):
     return graph.single_edges(graph.directed(ways).select("tail", "head", "edge", "cost"))
 
 
-def _ways(spark, sf_dir, where: str = "true"):
-    lines = table(spark, sf_dir, "lineitem").where(where).select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 400).alias("node")).groupBy("l_orderkey", "l_linenumber").agg(F.min("node").alias("node"))
+def _ways(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 400).alias("node")).groupBy("l_orderkey", "l_linenumber").agg(F.min("node").alias("node"))
     x, y = 139 + F.col("node") * 37 % 1000 / 1000.0, 35 + F.col("node") * 61 % 700 / 1000.0
     rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "node", x.alias("lon"), y.alias("lat"))))
     return lines.groupBy(F.col("l_orderkey").alias("way")).agg(rows.alias("r")).select("way", F.col("r.node").alias("node_ids"), F.transform("r", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("points")).where(F.size("node_ids") > 1)
 
 
-@query("""WITH v AS (SELECT l_orderkey AS way, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS pos, node, count(*) OVER (PARTITION BY l_orderkey) AS n FROM (SELECT l_orderkey, l_linenumber, min(l_partkey % 400) AS node FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1, 2)),
-    w AS (SELECT * FROM v WHERE n > 1), c AS (SELECT *, count(*) OVER (PARTITION BY node) AS passes FROM w), cuts AS (SELECT way, pos AS s, node AS a, lead(pos) OVER o AS e, lead(node) OVER o AS b FROM c WHERE passes > 1 OR pos = 0 OR pos = n - 1 WINDOW o AS (PARTITION BY way ORDER BY pos)),
-    spans AS (SELECT way, s, e FROM cuts WHERE e IS NOT NULL AND NOT (a = b AND e - s > 1) UNION ALL SELECT way, s, (s + e) // 2 FROM cuts WHERE a = b AND e - s > 1 UNION ALL SELECT way, (s + e) // 2, e FROM cuts WHERE a = b AND e - s > 1)
-    SELECT x.way, (row_number() OVER (PARTITION BY x.way ORDER BY s) - 1)::INT AS segment, p.node AS from_node, q.node AS to_node FROM spans x JOIN w p ON p.way = x.way AND p.pos = s JOIN w q ON q.way = x.way AND q.pos = e WHERE p.node <> q.node""")
+_SEGMENTS = """v AS (SELECT l_orderkey AS way, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS pos, node, count(*) OVER (PARTITION BY l_orderkey) AS n FROM (SELECT l_orderkey, l_linenumber, min(l_partkey % 400) AS node FROM lineitem GROUP BY 1, 2)),
+    w AS (SELECT way, pos, node, n, 139 + node * 37 % 1000 / 1000.0 AS lon, 35 + node * 61 % 700 / 1000.0 AS lat FROM v WHERE n > 1), c AS (SELECT *, count(*) OVER (PARTITION BY node) AS passes FROM w),
+    cuts AS (SELECT way, pos AS s, node AS a, lead(pos) OVER o AS e, lead(node) OVER o AS b FROM c WHERE passes > 1 OR pos = 0 OR pos = n - 1 WINDOW o AS (PARTITION BY way ORDER BY pos)),
+    spans AS (SELECT way, s, e FROM cuts WHERE e IS NOT NULL AND NOT (a = b AND e - s > 1) UNION ALL SELECT way, s, (s + e) // 2 FROM cuts WHERE a = b AND e - s > 1 UNION ALL SELECT way, (s + e) // 2, e FROM cuts WHERE a = b AND e - s > 1),
+    seg AS (SELECT x.way, (row_number() OVER (PARTITION BY x.way ORDER BY s) - 1)::INT AS segment, s, e, p.node AS from_node, q.node AS to_node, p.lon AS lon0, p.lat AS lat0, q.lon AS lon1, q.lat AS lat1 FROM spans x JOIN w p ON p.way = x.way AND p.pos = s JOIN w q ON q.way = x.way AND q.pos = e WHERE p.node <> q.node)"""
+_HEADING = "(degrees(atan2(sin(radians({a1} - {a0})) * cos(radians({b1})), cos(radians({b0})) * sin(radians({b1})) - sin(radians({b0})) * cos(radians({b1})) * cos(radians({a1} - {a0})))) + 360) % 360"
+
+
+@query(f"WITH {_SEGMENTS} SELECT way, segment, from_node, to_node FROM seg")
 def topology(spark, sf_dir):
-    return derive.segments(_ways(spark, sf_dir, "l_orderkey < 3000")).select("way", "segment", "from_node", "to_node")  # as its SQL
+    return derive.segments(_ways(spark, sf_dir)).select("way", "segment", "from_node", "to_node")
 
 
-@query()
+@query(f"""WITH {_SEGMENTS}, legs AS (SELECT way, pos, lon, lat, lead(lon) OVER o AS lon2, lead(lat) OVER o AS lat2 FROM w WINDOW o AS (PARTITION BY way ORDER BY pos)), d AS (SELECT seg.way, segment, sum({_DISTANCE.format(a0="lon", b0="lat", a1="lon2", b1="lat2")}) AS m FROM seg JOIN legs ON legs.way = seg.way AND pos >= s AND pos < e GROUP BY 1, 2)
+    SELECT way, segment, (e - s + 1)::INT AS nodes, round(m, 3) AS distance_m, round({_HEADING.format(a0="lon0", b0="lat0", a1="lon1", b1="lat1")}, 6) AS bearing_deg, round({_HEADING.format(a0="lon1", b0="lat1", a1="lon0", b1="lat0")}, 6) AS reverse_bearing_deg FROM seg JOIN d USING (way, segment)""")
 def segment_geometry(spark, sf_dir):
     out = derive.segments(_ways(spark, sf_dir))
     return out.select("way", "segment", F.size("node_ids").alias("nodes"), F.round("distance_m", 3).alias("distance_m"), F.round("bearing_deg", 6).alias("bearing_deg"), F.round("reverse_bearing_deg", 6).alias("reverse_bearing_deg"))
 
 
-@query()
+@query(f"""WITH {_SEGMENTS}, nodes AS (SELECT DISTINCT node, lon, lat FROM w), near AS (SELECT DISTINCT p.node FROM nodes p, nodes q WHERE q.node % 20 = 0 AND {_NEAR} <= 2500),
+    ends AS (SELECT node, max(CASE WHEN way % 4 = 0 THEN 4 ELSE 1 END) AS rank FROM (SELECT way, unnest([from_node, to_node]) AS node FROM seg) GROUP BY 1) SELECT node, node IN (SELECT node FROM near) AS signal, rank FROM ends""")
 def node_turns(spark, sf_dir):
     ways = _ways(spark, sf_dir)
     nodes = ways.select(F.explode(F.arrays_zip(F.col("node_ids").alias("node"), F.col("points").alias("p"))).alias("z")).select(F.col("z.node").alias("node"), "z.p.lon", "z.p.lat").distinct()
@@ -125,7 +148,10 @@ def node_turns(spark, sf_dir):
     return derive.node_turns(derive.segments(ways), kinds, nodes, nodes.where("node % 20 = 0"), 2500.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SEGMENTS}, stops AS (SELECT DISTINCT node, lon, lat, CASE WHEN node % 2 = 0 THEN 'signal' ELSE 'crossing' END AS kind FROM w WHERE node % 3 = 0), near AS (SELECT p.node AS a, q.node AS b FROM stops p JOIN stops q ON p.kind = q.kind WHERE {_NEAR} <= 2000),
+    walk AS (SELECT a AS x, a AS root FROM near UNION SELECT b, root FROM walk JOIN near ON a = x), placed AS (SELECT x AS node, min(root) AS cluster FROM walk GROUP BY 1),
+    touched AS (SELECT seg.way, segment, kind, cluster, sum((w.node = from_node)::INT + (w.node = to_node)::INT) AS ends FROM seg JOIN w ON w.way = seg.way AND pos BETWEEN s AND e JOIN stops ON stops.node = w.node JOIN placed ON placed.node = w.node GROUP BY 1, 2, 3, 4)
+    SELECT way, segment, kind, sum(CASE ends WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END)::DOUBLE AS n FROM touched GROUP BY 1, 2, 3""")
 def stop_counts(spark, sf_dir):
     ways = _ways(spark, sf_dir)
     nodes = ways.select(F.explode(F.arrays_zip(F.col("node_ids").alias("node"), F.col("points").alias("p"))).alias("z")).select(F.col("z.node").alias("node"), "z.p.lon", "z.p.lat").distinct()
@@ -133,7 +159,7 @@ def stop_counts(spark, sf_dir):
     return derive.place_counts(derive.segments(ways), stops, 2000.0)
 
 
-@query()
+@query(f"""WITH {_SEGMENTS}, ends AS (SELECT way, segment, unnest([from_node, to_node]) AS node FROM seg), b AS (SELECT node, count(*) AS n FROM ends GROUP BY 1) SELECT way, segment, count(*) FILTER (n >= 3) * 0.5::DOUBLE AS n FROM ends JOIN b USING (node) GROUP BY 1, 2""")
 def intersection_counts(spark, sf_dir):
     return derive.intersection_counts(derive.segments(_ways(spark, sf_dir)))
 
@@ -146,7 +172,11 @@ def node_kinds(spark, sf_dir):
     return derive.classify_nodes(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), tags.alias("tags")), rules)
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT s_suppkey AS id, 'Shop ' || s_suppkey % 7 AS name, s_acctbal / 10000 AS conf, s_suppkey % 40 AS phone, 139 + s_suppkey * 37 % 1000 / 1000.0 AS lon, 35 + s_suppkey * 61 % 700 / 1000.0 AS lat FROM supplier),
+    c AS (SELECT phone FROM (SELECT phone, count(*) AS n, min(lon) AS a, min(lat) AS b, max(lon) AS c, max(lat) AS d FROM s GROUP BY 1) WHERE n > 1 AND {_DISTANCE.format(a0="a", b0="b", a1="c", b1="d")} <= 50000),
+    r AS (SELECT *, CASE WHEN phone IN (SELECT phone FROM c) THEN min(id) OVER (PARTITION BY phone) ELSE id END AS root FROM s), kept AS (SELECT * FROM s WHERE id IN (SELECT min_by(id, (-conf, id)) FROM r GROUP BY root)),
+    near AS (SELECT p.id AS a, q.id AS b FROM kept p JOIN kept q ON p.name = q.name WHERE {_NEAR} <= 20000), walk AS (SELECT a AS x, a AS root FROM near UNION SELECT b, root FROM walk JOIN near ON a = x), roots AS (SELECT x AS id, min(root) AS root FROM walk GROUP BY 1)
+    SELECT id, 'food' AS "group", name FROM kept WHERE id IN (SELECT min_by(id, (-conf, id)) FROM kept JOIN roots USING (id) GROUP BY root)""")
 def stop_places(spark, sf_dir):
     """Suppliers as shops: grouped, merged by contact and by name."""
     lon, lat = place("s_suppkey")

@@ -75,7 +75,11 @@ def pareto_front(spark, sf_dir):
     return windows.pareto_front(table(spark, sf_dir, "part"), "p_retailprice", "p_size").select("p_partkey")
 
 
-@query()
+_LAYER = "{name} AS (SELECT x.* FROM {rest} x WHERE NOT EXISTS (SELECT 1 FROM {rest} y WHERE y.a <= x.a AND y.b <= x.b AND (y.a < x.a OR y.b < x.b)))"
+
+
+@query(f"""WITH g AS (SELECT p_partkey, p_retailprice AS a, p_size AS b FROM part), {_LAYER.format(name="l0", rest="g")}, r1 AS (SELECT * FROM g EXCEPT SELECT * FROM l0), {_LAYER.format(name="l1", rest="r1")}, r2 AS (SELECT * FROM r1 EXCEPT SELECT * FROM l1), {_LAYER.format(name="l2", rest="r2")}
+    SELECT p_partkey, 0 AS layer FROM l0 UNION ALL SELECT p_partkey, 1 FROM l1 UNION ALL SELECT p_partkey, 2 FROM l2""")
 def pareto_layers(spark, sf_dir):
     return windows.pareto_layers(table(spark, sf_dir, "part"), "p_retailprice", "p_size", 3).where("layer is not null").select("p_partkey", "layer")
 

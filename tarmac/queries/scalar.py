@@ -81,7 +81,7 @@ def clamped_interp(spark, sf_dir):
     FROM (SELECT c_custkey, (c_custkey % 101)::DOUBLE AS s FROM customer)""")
 def inverse_interp(spark, sf_dir):
     score = (F.col("c_custkey") % 101).cast("double")
-    return table(spark, sf_dir, "customer").select("c_custkey", F.round(numbers.smallest_magnitude(score, _LINE), 6).alias("x"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(numbers.first_reached(score, _LINE), 6).alias("x"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_retailprice = 0 THEN 0 ELSE round(p_retailprice * pow(10.0, 3 - floor(log10(abs(p_retailprice)))), 0) / pow(10.0, 3 - floor(log10(abs(p_retailprice)))) END AS v FROM part""")
@@ -164,7 +164,8 @@ def effective_gradient(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", value.alias("gradient"))
 
 
-@query()
+@query("""WITH RECURSIVE b(p_partkey, f, lo, hi, i) AS (SELECT p_partkey, 80.0 * 9.80665 * (sin(atan(g / 100)) + 0.005 * cos(atan(g / 100))), 1.25::DOUBLE, 12.5::DOUBLE, 0 FROM (SELECT p_partkey, (p_size % 13 - 6)::DOUBLE AS g FROM part)
+    UNION ALL SELECT p_partkey, f, CASE WHEN (f + 0.5 * 1.2 * 0.32 * m * m) * m <= 120 THEN m ELSE lo END, CASE WHEN (f + 0.5 * 1.2 * 0.32 * m * m) * m <= 120 THEN hi ELSE m END, i + 1 FROM (SELECT *, (lo + hi) / 2 AS m FROM b WHERE i < 12)) SELECT p_partkey, round((lo + hi) / 2, 4) AS speed_ms FROM b WHERE i = 12""")
 def balanced_speed(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     return part.select("p_partkey", F.round(weather.balanced_speed((F.col("p_size") % 13 - 6).cast("double"), F.lit(0.005), 120.0), 4).alias("speed_ms"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarmac.operators import aggregates
@@ -117,14 +118,14 @@ def median_range(spark, sf_dir):
     return per.groupBy("c_nationkey").agg(F.percentile("n", 0.5).alias("median"), (F.max("n") - F.min("n")).alias("range"))
 
 
-@query("""WITH RECURSIVE rows AS (SELECT l_orderkey, l_linenumber, any_value(l_quantity) AS d FROM lineitem WHERE l_orderkey <= 800 GROUP BY 1, 2 HAVING count(*) = 1),
-    numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM rows),
-    walk AS (SELECT l_orderkey, l_linenumber, n, 0 AS bin, CASE WHEN d >= 60 THEN 0 ELSE d END AS held, (d >= 60)::INT AS step FROM numbered WHERE n = 1
-      UNION ALL SELECT b.l_orderkey, b.l_linenumber, b.n, a.bin + a.step, CASE WHEN a.held + b.d >= 60 THEN 0 ELSE a.held + b.d END, (a.held + b.d >= 60)::INT FROM walk a JOIN numbered b ON b.l_orderkey = a.l_orderkey AND b.n = a.n + 1)
-    SELECT l_orderkey, l_linenumber, bin FROM walk""")
+@query("""WITH RECURSIVE numbered AS (SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice))::INT AS n, l_quantity AS d FROM lineitem),
+    walk AS (SELECT l_orderkey, n, 0 AS bin, CASE WHEN d >= 60 THEN 0 ELSE d END AS held, (d >= 60)::INT AS step FROM numbered WHERE n = 1
+      UNION ALL SELECT b.l_orderkey, b.n, a.bin + a.step, CASE WHEN a.held + b.d >= 60 THEN 0 ELSE a.held + b.d END, (a.held + b.d >= 60)::INT FROM walk a JOIN numbered b ON b.l_orderkey = a.l_orderkey AND b.n = a.n + 1)
+    SELECT l_orderkey, n, bin FROM walk""")
 def distance_bins(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey <= 800").groupBy("l_orderkey", "l_linenumber").agg(F.any_value("l_quantity").alias("d"), F.count("*").alias("n")).where("n = 1").drop("n")
-    return aggregates.distance_bins(rows, ["l_orderkey"], "l_linenumber", "d", 60.0).select("l_orderkey", "l_linenumber", "bin")
+    by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(by).alias("n"), F.col("l_quantity").alias("d"))
+    return aggregates.distance_bins(rows, ["l_orderkey"], "n", "d", 60.0).select("l_orderkey", "n", "bin")
 
 
 @query("""SELECT l_orderkey, round(sum(l) FILTER (hit) / sum(l), 6) AS overlap FROM (SELECT l_orderkey, x, y, max(l_quantity) AS l, bool_or(c.x2 IS NOT NULL) AS hit FROM (SELECT *, least(l_partkey, l_suppkey) AS x, greatest(l_partkey, l_suppkey) AS y FROM lineitem)

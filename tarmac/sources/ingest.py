@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import json
 import sys
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,11 +45,22 @@ def read(spark: SparkSession, name: str, options: Mapping[str, str]) -> DataFram
     return found(spark, options)
 
 
-def fingerprint(options: Mapping[str, str], files: Mapping[str, tuple[int, float]], version: str) -> str:
-    """A digest of what an ingest depends on: its options, its files' sizes and times, and the code's version."""
+def fingerprint(options: Mapping[str, str], files: Mapping[str, object], version: str) -> str:
+    """A digest of what an ingest depends on: its options, its files' digests (``file_digests``), and the code's version."""
     return hashlib.sha256(json.dumps([sorted(options.items()), sorted(files.items()), version]).encode()).hexdigest()
 
 
+def file_digests(spark: SparkSession, *paths: str) -> dict[str, str]:
+    """The SHA-256 of each file's content, read by the executors; one row a file reaches the driver."""
+    rows = spark.read.format("binaryFile").load(list(paths)).select("path", F.sha2("content", 256).alias("digest"))
+    return {r["path"]: r["digest"] for r in rows.collect()}
+
+
+def code_digest(*modules) -> str:
+    """The SHA-256 of modules' sources, in the given order."""
+    return hashlib.sha256("".join(inspect.getsource(m) for m in modules).encode()).hexdigest()
+
+
 def ingest(df: DataFrame, path: str, source: str, mark: str, now: datetime | None = None) -> bool:
     """Replaces a source's partition of the feature table and logs the run; False if the last good run had the same mark.
 
@@ -74,7 +88,9 @@ def latest_runs(spark: SparkSession, path: str, source: str | None = None):
     """The latest succeeded run of each source, or of one as a row (None if there is none)."""
     try:
         runs = spark.read.schema(RUNS).parquet(f"{path}/runs")
-    except Exception:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     best = latest_succeeded(runs)
     return best if source is None else best.where(F.col("source") == source).first()
@@ -151,9 +167,10 @@ def places_parquet(spark: SparkSession, options: Mapping[str, str]) -> DataFrame
 
 @adapter("json_lines", ["path"])
 def json_lines(spark: SparkSession, options: Mapping[str, str]) -> DataFrame:
-    """Items with coordinates and a listed designation."""
+    """Items with coordinates, a listed designation, and a place in the box."""
+    west, south, east, north = map(float, options.get("box", "-180,-90,180,90").split(","))
     rows = spark.read.schema("id string, designation string, lon double, lat double, name string").json(options["path"])
-    kept = rows.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    kept = rows.where(in_box(F.col("lon"), F.col("lat"), (west, south, east, north)))
     if "designations" in options:
         kept = kept.where(F.col("designation").isin(*options["designations"].split(",")))
     return kept.select(F.col("id").alias("natural_key"), "lon", "lat", F.to_json(F.struct("designation", "name")).alias("attrs"))
@@ -162,21 +179,31 @@ def json_lines(spark: SparkSession, options: Mapping[str, str]) -> DataFrame:
 @adapter("registry_csv", ["text", "positions"])
 def registry_csv(spark: SparkSession, options: Mapping[str, str]) -> DataFrame:
     """Address rows with a representative point: the one of the same residence flag, else of the smallest; rows without go."""
+    keys = options.get("keys", "code").split(",")
     text = spark.read.csv(options["text"], header=True).withColumn("_n", F.monotonically_increasing_id())
-    once = text.groupBy("code").agg(F.min_by(F.struct(*[c for c in text.columns if c not in ("code", "_n")]), "_n").alias("t")).select("code", "t.*")
+    once = text.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in text.columns if c not in (*keys, "_n")]), "_n").alias("t")).select(*keys, "t.*")
     points = spark.read.csv(options["positions"], header=True)
-    met = once.join(points.select("code", F.col("flag").alias("_flag"), F.col("lon").cast("double"), F.col("lat").cast("double")), "code")
-    best = met.groupBy("code").agg(F.min_by(F.struct(*[c for c in met.columns if c not in ("code", "_flag")]), F.struct((F.col("flag") != F.col("_flag")).alias("other"), "_flag")).alias("b"))
-    return best.select(F.col("code").alias("natural_key"), "b.lon", "b.lat", F.to_json("b").alias("attrs"))
+    met = once.join(points.select(*keys, F.col("flag").alias("_flag"), F.col("lon").cast("double"), F.col("lat").cast("double")), keys)
+    best = met.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in met.columns if c not in (*keys, "_flag")]), F.struct((F.col("flag") != F.col("_flag")).alias("other"), "_flag")).alias("b"))
+    return best.select(F.concat_ws("-", *keys).alias("natural_key"), "b.lon", "b.lat", F.to_json("b").alias("attrs"))
 
 
 def publish(df: DataFrame, path: str, name: str, revision: str) -> str:
-    """Writes a table under a revision of its own, then moves the pointer to it; readers see the old one or the new one."""
-    at = f"{path}/{name}/{revision}"
-    df.write.mode("overwrite").parquet(at)
-    df.sparkSession.createDataFrame([(name, at)], "name string, at string").coalesce(1).write.mode("overwrite").json(f"{path}/{name}/_current")
+    """Writes a table in a folder of its own, then appends a pointer to it; readers see the old one or the new one.
+
+    A pointer is one file that Spark's commit renames into place, and no file is ever replaced, so publishing a revision
+    again leaves readers of the first one alone.
+    """
+    at = f"{path}/{name}/{revision}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    df.sparkSession.createDataFrame([(revision, at, datetime.now(UTC))], _POINTER).coalesce(1).write.mode("append").json(f"{path}/{name}/_pointers")
     return at
 
 
+_POINTER = "revision string, at string, published timestamp"
+
+
 def current(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(spark.read.schema("name string, at string").json(f"{path}/{name}/_current").first()["at"])
+    """The table published last."""
+    pointers = spark.read.schema(_POINTER).json(f"{path}/{name}/_pointers")
+    return spark.read.parquet(pointers.agg(F.max_by("at", "published").alias("at")).first()["at"])

@@ -5,24 +5,46 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder in local mode (tests), and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = found.get() if found.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tarmac-")
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: no lineage, computed once, safe from lost executors."""
+    """``df`` written to the shared folder and read again: no lineage, computed once, safe from lost executors.
+
+    Tables stay until their owner clears the folder: a caller may read a result long after it was returned.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarmac-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """``df`` stored, and aggregates over it that are taken while it is written, without a job of their own."""
+    seen = Observation()
+    out = stored(df.observe(seen, *[column.alias(name) for name, column in measures.items()]))
+    return out, seen.get
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing reads any more."""
+    spark = df.sparkSession
+    root = shared_dir(spark).rstrip("/")
+    for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
+        if path.rpartition("/")[2].startswith("tarmac-") and path.rpartition("/")[0].removeprefix("file:").lstrip("/") == root.removeprefix("file:").lstrip("/"):
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -25,7 +25,7 @@ def test_lines(spark):
     points = [(-5.0, 10.0), (0.0, 0.0), (10.0, 40.0), (20.0, 40.0), (30.0, 100.0)]
     got = values(spark, [(x,) for x in (-9.0, -5.0, -2.5, 0.0, 5.0, 15.0, 25.0, 99.0, None)], "x double", numbers.interpolate(F.col("x"), points))
     assert [g[0] for g in got] == [10.0, 10.0, 5.0, 0.0, 20.0, 40.0, 70.0, 100.0, None]
-    back = values(spark, [(s,) for s in (0.0, 20.0, 40.0, 70.0, 100.0, 120.0, None)], "s double", numbers.smallest_magnitude(F.col("s"), points))
+    back = values(spark, [(s,) for s in (0.0, 20.0, 40.0, 70.0, 100.0, 120.0, None)], "s double", numbers.first_reached(F.col("s"), points))
     assert [b[0] for b in back] == [0.0, 5.0, 10.0, 25.0, 30.0, 30.0, None]
     with pytest.raises(ValueError):
         numbers.interpolate(F.lit(1.0), [(1.0, 0.0), (1.0, 2.0)])
