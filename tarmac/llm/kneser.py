@@ -14,8 +14,8 @@ to the block.  A block asks for an n-gram once, so no n-gram is a hot key.  Both
 order of additions.
 
 A language's threshold is a quantile of the perplexity of trusted documents that the model has not seen (half of them
-are held back), on a grid of thousandths of a nat; a language with fewer than ``least`` of them uses all languages'
-quantile.  Documents above the threshold are rejected, and those without text, as they have no perplexity.  A null
+are held back), on a grid of thousandths of a nat, so a language has some ten thousand steps at most; a language with
+fewer than ``least`` of them, whose quantile would rest on a few documents, uses all languages' quantile.  Documents above the threshold are rejected, and those without text, as they have no perplexity.  A null
 language is one of its own.  Without any trusted document nothing with text is rejected.
 """
 
@@ -270,7 +270,7 @@ def score(
     return add_columns(docs, run, {"nats": T.DoubleType()}, text, names)
 
 
-def thresholds(scored: DataFrame, lang: str = "lang", quantile: float = 0.999, least: int = 200) -> dict:
+def thresholds(scored: DataFrame, lang: str = "lang", quantile: float = 0.99, least: int = 1000) -> dict:
     """The grid step of each language's quantile; ``...`` stands for all languages together.  One row a language reaches the driver."""
     steps = scored.where("nats is not null").groupBy(quoted(lang).alias("_lang"), F.ceil(F.col("nats") * _GRID).alias("step")).agg(F.count("*").alias("n"))
     steps = stored(steps)
@@ -283,7 +283,7 @@ def thresholds(scored: DataFrame, lang: str = "lang", quantile: float = 0.999, l
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep: list[str] | None = None, quantile: float = 0.999, max_ids: int = 2_000_000, **options
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep: list[str] | None = None, quantile: float = 0.99, max_ids: int = 2_000_000, **options
 ) -> DataFrame:
     """``docs`` with ``perplexity`` and ``kept``.  Trusted documents have labels, all of good quality and none toxic."""
     good = labels.groupBy(F.col("doc_id").alias("_label")).agg((F.min("quality") == 1).alias("_q"), (F.coalesce(F.max("toxic"), F.lit(0)) == 0).alias("_t"))
