@@ -43,6 +43,7 @@ def op6_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without an id is neither held out nor learned from."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
     filters = langid.learn(docs.where("not held_out and doc_id is not null"))

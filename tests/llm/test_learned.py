@@ -126,6 +126,42 @@ def test_languages(docs, corpus, empty):
     assert langid.predict(empty, filters).count() == 0
 
 
+def brute_languages(rows, share, min_count):
+    """Trigrams by language as sets, by the definition."""
+    counts = defaultdict(Counter)
+    for text, lang in rows:
+        grams, _ = langid.trigrams(pa.array([text]))
+        counts[lang].update(grams.tolist())
+    total = {n: sum(c.values()) for n, c in counts.items()}
+    rate = lambda n, g: counts[n][g] / total[n] if counts[n][g] >= min_count else 0.0
+    top = {g: max(rate(n, g) for n in counts) for c in counts.values() for g in c}
+    return {n: {g for g in c if rate(n, g) > 0 and rate(n, g) >= share * top[g]} for n, c in counts.items() if total[n]}
+
+
+def test_filters_hold_the_exact_sets_of_many_languages(spark):
+    rng = random.Random(11)
+    names = [f"l{i:03d}" for i in range(150)]  # three mask words
+    own = {n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüßéèñ") for _ in range(rng.randint(2, 5))) for _ in range(8)] for n in names}
+    rows = [(" ".join(rng.choice(own[n]) for _ in range(60)), n) for n in names for _ in range(3)] + [(None, names[0]), ("", names[1]), ("none learns this", None)]
+    filters = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
+    exact = brute_languages([r for r in rows if r[1] is not None], 0.25, 2)
+    assert filters.languages == names and filters.masks.shape[0] == 3
+    every = np.array(sorted({g for s in exact.values() for g in s}), np.uint64)
+    found = filters.containing(every)
+    extra = 0
+    for i, n in enumerate(names):
+        hit = (found[i // 63] >> np.uint64(i % 63) & np.uint64(1)).astype(bool)
+        want = np.isin(every, np.array(sorted(exact[n]), np.uint64))
+        assert not (want & ~hit).any()  # Bloom filters lose nothing
+        extra += int((hit & ~want).sum())
+    assert extra <= 0.001 * len(every) * len(names)
+    texts = [" ".join(rng.choice(own[n]) for _ in range(40)) for n in names]
+    for text, name, score in zip(texts, *filters.decide(*langid.trigrams(pa.array(texts))), strict=True):
+        grams = langid.trigrams(pa.array([text]))[0].tolist()
+        shares = {n: sum(g in s for g in grams) / len(grams) for n, s in exact.items()}
+        assert shares[name] >= max(shares.values()) - 0.01 and score == pytest.approx(shares[name], abs=0.02)
+
+
 def test_trigrams():
     grams, rows = langid.trigrams(pa.array(["Ab c", None, "é"]))
     assert len(grams) == 4 and rows.tolist() == [0, 3, 3, 4]
