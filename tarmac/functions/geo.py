@@ -100,3 +100,32 @@ def effective_gradient(gradient: Column, road_bearing: Column, travel_bearing: C
     """Gradient along a travel bearing; null where the road runs across it (within ``perpendicular`` degrees of a right angle)."""
     angle = folded_angle_deg(road_bearing, travel_bearing)
     return F.when(F.abs(angle - 90) <= perpendicular, None).when(angle < 90, gradient).otherwise(-gradient)
+
+
+def span_m() -> Column:
+    """Aggregate: metres across the box of a group's points (``lon``, ``lat``)."""
+    return haversine_m(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat"))
+
+
+def line_of(order: str, lon: str = "lon", lat: str = "lat") -> Column:
+    """Aggregate: a group's points as a line, by ``order``; a group's line must fit one row."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(F.col(lon).alias("lon"), F.col(lat).alias("lat")).alias("p"))))
+    return F.transform(rows, lambda r: r["p"])
+
+
+def along(points: Column, share: float) -> Column:
+    """The point at a share of a line's length, between its points in proportion."""
+    n = F.size(points)
+    step = lambda i: haversine_m(F.get(points, i)["lon"], F.get(points, i)["lat"], F.get(points, i + 1)["lon"], F.get(points, i + 1)["lat"])
+    steps = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), step)).otherwise(F.array().cast("array<double>"))
+    wanted = F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) * share
+    zero = F.struct(F.lit(0).alias("i"), wanted.alias("left"), F.lit(False).alias("found"))
+
+    def walk(s: Column, x: Column) -> Column:
+        here = s["found"] | (s["left"] <= x)
+        return F.struct(F.when(here, s["i"]).otherwise(s["i"] + 1).alias("i"), F.when(here, s["left"]).otherwise(s["left"] - x).alias("left"), here.alias("found"))
+
+    at = F.aggregate(steps, zero, walk)
+    a, b = F.get(points, at["i"]), F.coalesce(F.get(points, at["i"] + 1), F.get(points, at["i"]))
+    part = F.coalesce(F.try_divide(at["left"], F.get(steps, at["i"])), F.lit(0.0))
+    return F.when(n > 0, F.struct((a["lon"] + (b["lon"] - a["lon"]) * part).alias("lon"), (a["lat"] + (b["lat"] - a["lat"]) * part).alias("lat")))

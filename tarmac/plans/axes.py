@@ -168,6 +168,75 @@ def check(axes: Sequence[Axis], materials: Iterable[Material]) -> None:
             raise AxisError(f"{axis.name} mixes dynamic and static materials in its conditions")
 
 
+#: What an axis looks like on a map; these change no score.
+COSMETIC = ("icon", "bands", "band_labels")
+
+
+def check_change(old: Axis, new: Axis | None, looks: tuple[Mapping, Mapping] = ({}, {})) -> None:
+    """Raises if a published axis is deleted (``new`` is None) or changed in more than its looks."""
+    if not old.published:
+        return
+    if new is None:
+        raise AxisError(f"{old.name} is published and stays")
+    if new != old or {k: v for k, v in looks[0].items() if k not in COSMETIC} != {k: v for k, v in looks[1].items() if k not in COSMETIC}:
+        raise AxisError(f"{old.name} is published and keeps its scores")
+
+
+def check_exclusive(axes: Sequence[Axis], materials: Iterable[Material]) -> None:
+    """Raises if two axes read the same material, which would count twice; axes may be shared."""
+    known = {m.name for m in materials}
+    owner: dict[str, str] = {}
+    for axis in axes:
+        for name in axis.reads():
+            if name in known and owner.setdefault(name, axis.name) != axis.name:
+                raise AxisError(f"{name} is read by {owner[name]} and {axis.name}")
+
+
+def check_published(axes: Sequence[Axis]) -> None:
+    """Raises if a published axis is read by another published one: its score would count twice in the composite."""
+    published = {a.name for a in axes if a.published}
+    for axis in axes:
+        if axis.published and (inner := [n for n in axis.reads() if n in published]):
+            raise AxisError(f"{axis.name} reads {inner}, which count by themselves")
+
+
+def check_points(axis: Axis) -> None:
+    """Raises for broken lines that do not ascend, empty look-ups, and overrides that read nothing."""
+    if isinstance(axis.shape, Linear):
+        xs = [x for x, _ in axis.shape.points]
+        if not xs or any(b <= a for a, b in zip(xs, xs[1:], strict=False)):
+            raise AxisError(f"{axis.name}: knots ascend: {xs}")
+        if not axis.shape.terms or all(t.weight == 0 for t in axis.shape.terms):
+            raise AxisError(f"{axis.name} weighs nothing")
+    elif not axis.shape.mapping:
+        raise AxisError(f"{axis.name} looks up nothing")
+    if bad := [o.material for o in axis.overrides if not math.isfinite(o.value)]:
+        raise AxisError(f"{axis.name}: overrides without a value: {bad}")
+
+
+def density_slope(axis: Axis) -> float:
+    """The slope of an axis that is averaged before it is scored; it must be one straight line through zero."""
+    points = axis.shape.points
+    slopes = {(y1 - y0) / (x1 - x0) for (x0, y0), (x1, y1) in zip(points, points[1:], strict=False)}
+    if len(slopes) != 1 or points[0][0] != 0 or points[0][1] != 0:
+        raise AxisError(f"{axis.name} is averaged before scoring and needs one line from zero")
+    return slopes.pop()
+
+
+def inspected(df: DataFrame, key: str, value: object, axes: Sequence[Axis], weights: Mapping[str, Column]) -> DataFrame:
+    """One row of ``df`` with all its axes, the composite, and each axis' part of it; the key's filter reaches the scan."""
+    own = evaluate(df.where(F.col(key) == value), axes)
+    return own.select(key, *[a.name for a in axes], composite(weights).alias("composite"), contributions(weights).alias("parts"))
+
+
+def needed_materials(axes: Sequence[Axis], materials: Iterable[Material], forced: Iterable[str] = ()) -> tuple[list[str], list[str]]:
+    """Static materials that a request carries, numbers and flags first, categories second: forced ones and all leaves of published axes."""
+    known = {m.name: m for m in materials}
+    wanted = set(forced).union(*(leaves(a.name, axes) for a in axes if a.published))
+    kept = [m for n, m in known.items() if n in wanted and not m.dynamic]
+    return [m.name for m in kept if m.dtype != "categorical"], [m.name for m in kept if m.dtype == "categorical"]
+
+
 def leaves(name: str, axes: Sequence[Axis]) -> set[str]:
     """The materials that an axis reads, through other axes too."""
     by_name = {a.name: a for a in axes}

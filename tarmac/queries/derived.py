@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tarmac.functions import text
+from tarmac.functions import geo, text
 from tarmac.operators import places, spatial
-from tarmac.operators.aggregates import percent_shares, weighted_mean
+from tarmac.operators.aggregates import percent_shares, preview, weighted_mean
+from tarmac.operators.derive import line_length
 from tarmac.operators.windows import elevation_values
+from tarmac.plans import catalog
 from tarmac.queries.registry import Registry, table
 from tarmac.queries.scalar import _DISTANCE, place
 from tarmac.sources import views
@@ -170,4 +172,59 @@ def place_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.when(m == 1, text.unvoiced(shop)).otherwise(shop).alias("name"), first.alias("owner"), text.is_temple(first).alias("temple"))
 
 
+_SPAN = _DISTANCE.format(a0="min(lon)", b0="min(lat)", a1="max(lon)", b1="max(lat)")
+_LEG = _DISTANCE.format(a0="plon", b0="plat", a1="lon", b1="lat")
+
+
+@query(f"""WITH p AS (SELECT s_nationkey, s_suppkey, {_XY.format(k="s_suppkey")} FROM supplier), l AS (SELECT *, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM p WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey))
+    SELECT s_nationkey, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat, round({_SPAN}, 3) AS span_m, round(coalesce(sum({_LEG}) FILTER (plon IS NOT NULL), 0), 3) AS length_m FROM l GROUP BY 1""")
+def group_geometry(spark, sf_dir):
+    """Middle, span and length of a line through each nation's suppliers."""
+    lon, lat = place("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", lon.alias("lon"), lat.alias("lat"))
+    out = rows.groupBy("s_nationkey").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), geo.span_m().alias("span_m"), geo.line_of("s_suppkey").alias("line"))
+    return out.select("s_nationkey", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("span_m", 3).alias("span_m"), F.round(line_length(F.col("line")), 3).alias("length_m"))
+
+
+_HALF1, _HALF2 = (_DISTANCE.format(a0=f"lon{i}", b0=f"lat{i}", a1=f"lon{i + 1}", b1=f"lat{i + 1}") for i in (0, 1))
+
+
+@query(f"""WITH p AS (SELECT s_suppkey, 139 + s_suppkey * 37 % 1000 / 1000.0 AS lon0, 35 + s_suppkey * 61 % 700 / 1000.0 AS lat0, 139.5 AS lon1, 35.3 AS lat1, 139.9 AS lon2, 35.1 AS lat2 FROM supplier), d AS (SELECT *, {_HALF1} AS a, {_HALF2} AS b FROM p), w AS (SELECT *, (a + b) * 0.4 AS x FROM d)
+    SELECT s_suppkey, round(CASE WHEN x <= a THEN lon0 + (lon1 - lon0) * x / a ELSE lon1 + (lon2 - lon1) * (x - a) / b END, 6) AS lon, round(CASE WHEN x <= a THEN lat0 + (lat1 - lat0) * x / a ELSE lat1 + (lat2 - lat1) * (x - a) / b END, 6) AS lat FROM w""")
+def points_along(spark, sf_dir):
+    """The point at four tenths of a line of three points."""
+    lon, lat = place("s_suppkey")
+    point = lambda x, y: F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat"))
+    at = geo.along(F.array(F.struct(lon.alias("lon"), lat.alias("lat")), point(139.5, 35.3), point(139.9, 35.1)), 0.4)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(at["lon"], 6).alias("lon"), F.round(at["lat"], 6).alias("lat"))
+
+
+@query("""WITH s AS (SELECT p_brand, p_size AS v, p_retailprice AS w FROM part), q AS (SELECT p_brand, v, sum(w) AS w FROM s GROUP BY 1, 2), c AS (SELECT *, sum(w) OVER (PARTITION BY p_brand ORDER BY v) AS upto, sum(w) OVER (PARTITION BY p_brand) AS total FROM q)
+    SELECT p_brand, min(v) FILTER (upto >= total * 0.25 - total * 1e-12) AS q250, min(v) FILTER (upto >= total * 0.5 - total * 1e-12) AS q500, min(v) FILTER (upto >= total * 0.75 - total * 1e-12) AS q750, round(coalesce(sum(w) FILTER (v = 0), 0) / sum(w), 6) AS zero_share FROM c GROUP BY 1""")
+def value_preview(spark, sf_dir):
+    """What a preview shows of a sample, here of everything: quartiles by weight and the share at zero."""
+    out = preview(table(spark, sf_dir, "part"), ["p_brand"], "p_size", "p_retailprice", 1.0, 1_000_000_000, [0.25, 0.5, 0.75])
+    return out.select("p_brand", "q250", "q500", "q750", F.round("zero_share", 6).alias("zero_share"))
+
+
+_TAGS = ["surface_class", "maxspeed_kmh", "bridge", "cycleway_class", "signal_count_per_km", "accident_count_per_km_year", "gradient_percent", "oneway", "rain_24h_mm"]
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'paved' WHEN 1 THEN 'gravel' END AS surface_class, CASE WHEN p_size % 4 > 0 THEN p_size::DOUBLE END AS maxspeed_kmh, p_partkey % 5 = 0 AS bridge, CASE WHEN p_partkey % 7 = 0 THEN 'separated' WHEN p_partkey % 7 = 1 THEN 'lane' END AS cycleway_class,
+    CASE WHEN p_partkey % 2 = 0 THEN p_size / (p_retailprice / 1000.0) END AS signal_count_per_km, CASE WHEN p_partkey % 2 = 0 THEN 3 / (p_retailprice / 1000.0 * 7) END AS accident_count_per_km_year, CASE WHEN p_size % 3 = 0 THEN p_size - 20.0 END::DOUBLE AS gradient_percent,
+    CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 4 = 1 END AS oneway, CASE WHEN p_size < 9 THEN p_size / 2.0 END::DOUBLE AS rain_24h_mm FROM part""")
+def standard_materials(spark, sf_dir):
+    """Nine of the standard materials over parts as segments; the land-cover table is never joined."""
+    part = table(spark, sf_dir, "part")
+    k, z = F.col("p_partkey"), F.col("p_size")
+    tags = F.create_map(*[x for n, c in (("surface", F.when(k % 3 == 0, " Asphalt").when(k % 3 == 1, "gravel")), ("maxspeed", F.when(z % 4 > 0, z.cast("string"))), ("bridge", F.when(k % 5 == 0, "yes")), ("cycleway:left", F.when(k % 7 == 0, "track").when(k % 7 == 1, "lane"))) for x in (F.lit(n), c)])
+    base = part.select("p_partkey", tags.alias("tags"), F.col("p_retailprice").alias("distance_m"))
+    own = lambda where, *columns: (part.where(where).select("p_partkey", *columns), ("p_partkey",))
+    given = {
+        "counts": own("p_partkey % 2 = 0", z.alias("signal_count"), F.lit(3).alias("accident_count"), F.lit(7).alias("accident_years")), "elevation": own("p_size % 3 = 0", (z - 20.0).alias("grade")),
+        "directions": own("p_partkey % 4 > 0", F.when(k % 4 == 3, "both").otherwise("forward").alias("direction"), (k % 4 == 2).alias("divided")), "rain": own("p_size < 9", (z / 2.0).alias("rain_24h_mm")), "landcover": own("true", *[F.lit(1.0).alias(f"lc_{c}") for c in catalog.LAND_COVER]),
+    }
+    return catalog.standard(given).read(base, _TAGS).select("p_partkey", *_TAGS)
+
+
 QUERIES, ORACLES = query.queries, query.oracles

@@ -189,4 +189,17 @@ def stop_places(spark, sf_dir):
     return places.merge_by_name(places.merge_by_contact(found, 50_000.0), 20_000.0).select("id", "group", "name")
 
 
+@query(f"""WITH RECURSIVE {_EDGES}, reach AS (SELECT tail AS a, head AS b FROM edges UNION SELECT a, head FROM reach JOIN edges ON tail = b), mutual AS (SELECT r.a AS n, r.b AS m FROM reach r JOIN reach s ON r.a = s.b AND r.b = s.a), named AS (SELECT n, min(m) AS root FROM mutual GROUP BY 1),
+    q AS (SELECT n AS node, 139 + n * 37 % 1000 / 1000.0 AS lon, 35 + n * 61 % 700 / 1000.0 AS lat FROM named WHERE root = (SELECT root FROM named GROUP BY root ORDER BY count(*) DESC, root LIMIT 1)), p AS (SELECT c_custkey, 139.003 + c_custkey * 37 % 1000 / 1000.0 AS lon, 35 + c_custkey * 61 % 700 / 1000.0 AS lat FROM customer)
+    SELECT c_custkey, min_by(node, (round(d, 6), node)) AS node FROM (SELECT c_custkey, node, {_NEAR} AS d FROM p, q) WHERE d <= 5000 GROUP BY 1""")
+def snapped_points(spark, sf_dir):
+    """Customers to their nearest node of the largest component, within five kilometres."""
+    nodes = graph.largest_strong_component(_edges(spark, sf_dir))
+    lon, lat = place("node")
+    own = nodes.select("node", lon.alias("lon"), lat.alias("lat"))
+    lon, lat = place("c_custkey")
+    points = table(spark, sf_dir, "customer").select("c_custkey", (lon + 0.003).alias("lon"), lat.alias("lat"))
+    return spatial.nearest(points, own, "c_custkey", "node", 5000).select("c_custkey", "node")
+
+
 QUERIES, ORACLES = query.queries, query.oracles

@@ -221,6 +221,12 @@ def rank_keep_ties(spark, sf_dir):
     return supplier.join(F.broadcast(least), "s_nationkey").select("s_suppkey", F.lit(1).alias("rank"))
 
 
+@query("SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey = 17")
+def way_lookup(spark, sf_dir):
+    """One row by its key; the filter reaches the scan."""
+    return table(spark, sf_dir, "part").where("p_partkey = 17").select("p_partkey", "p_name", "p_brand")
+
+
 @query()
 def sample_preview(spark, sf_dir):
     """A seeded sample with a row limit, as previews ask for."""

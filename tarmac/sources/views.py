@@ -135,4 +135,4 @@ def int64s(packed: Column) -> Column:
         return F.shiftleft(high, 32).bitwiseOR(low)
 
     words = F.floor(F.length(text) / 16).cast("int")
-    return F.when(words > 0, F.transform(F.sequence(F.lit(0), words - 1), lambda i: signed(number(i)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(words > 0, F.transform(F.sequence(F.lit(0), words - 1), lambda i: signed(number(i)))).when(packed.isNotNull(), F.array().cast("array<bigint>"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tarmac.storage import stored
 
@@ -49,3 +52,9 @@ def rate_limited(events: DataFrame, key: str, at: str, limit: int, seconds: int
     """``events`` with ``allowed``: whether a key had fewer than ``limit`` events in the ``seconds`` up to each."""
     by = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-(seconds * 1_000_000) + 1, 0)
     return events.withColumn("allowed", F.count("*").over(by) <= limit)
+
+
+def periodic(spark: SparkSession, job: Callable[[SparkSession, int], None], checkpoint: str, every: str = "10 minutes") -> StreamingQuery:
+    """Runs a job on the driver's schedule: one call a trigger, with the trigger's number; ticks carry no data."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda batch, number: job(batch.sparkSession, number)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
