@@ -159,11 +159,11 @@ def covered_tiles(spark, sf_dir):
     return tiles.covered(points.withColumns(tiles.tile_box(10)), box, "min_lat", "min_lon", "max_lat", "max_lon").select("x", "y", "covered")
 
 
-@query("""SELECT l_orderkey, round(sum(l_discount * l_quantity) FILTER (l_returnflag <> 'N') / sum(l_quantity) FILTER (l_returnflag <> 'N'), 6) AS score, sum(l_linenumber)::BIGINT AS stops, sum(l_quantity) AS km, list_sort(list(l_linenumber))::VARCHAR AS segments FROM lineitem GROUP BY 1""")
+@query("""SELECT l_orderkey, round(sum(l_discount * l_quantity) FILTER (l_returnflag <> 'N') / sum(l_quantity) FILTER (l_returnflag <> 'N'), 9) AS score, sum(l_linenumber)::BIGINT AS stops, sum(l_quantity) AS km, list_sort(list(l_linenumber))::VARCHAR AS segments FROM lineitem GROUP BY 1""")
 def way_features(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("segment"), F.when(F.col("l_returnflag") != "N", F.col("l_discount")).alias("score"), F.col("l_linenumber").cast("long").alias("stops"), F.col("l_quantity").alias("km"))
     out = tiles.way_rollup(rows, "l_orderkey", "km", ["score"], ["stops"])
-    return out.select("l_orderkey", F.round("score", 6).alias("score"), "stops", "km", F.concat(F.lit("["), F.array_join(F.col("segments").cast("array<string>"), ", "), F.lit("]")).alias("segments"))
+    return out.select("l_orderkey", F.round("score", 9).alias("score"), "stops", "km", F.concat(F.lit("["), F.array_join(F.col("segments").cast("array<string>"), ", "), F.lit("]")).alias("segments"))
 
 
 _TX, _TY = "floor((p.lon + 180) / 360 * 1024)::INT", "floor((1 - ln(tan(radians(p.lat)) + 1 / cos(radians(p.lat))) / pi()) / 2 * 1024)::INT"

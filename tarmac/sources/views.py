@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ from tarmac.functions.numbers import bilinear
 from tarmac.functions.tags import party_type
 from tarmac.sources.ingest import dms_degrees, in_box
 
+register_pickle_by_value(sys.modules[__name__])  # workers need not have this package on their path
+
 
 @dataclass(frozen=True)
 class View:
@@ -127,12 +133,8 @@ def forecast_series(chunks: DataFrame, points: DataFrame, key: str, start: Colum
 
 def int64s(packed: Column) -> Column:
     """The little-endian 64-bit integers of a binary value (node ids as stored by a source); bytes left over are dropped."""
-    text = F.hex(packed)
-    number = lambda i: F.array_join(F.transform(F.sequence(F.lit(7), F.lit(0), F.lit(-1)), lambda b: F.substring(text, i * 16 + b * 2 + 1, F.lit(2))), "")
 
-    def signed(word: Column) -> Column:
-        high, low = F.conv(F.substring(word, 1, 8), 16, 10).cast("long"), F.conv(F.substring(word, 9, 8), 16, 10).cast("long")
-        return F.shiftleft(high, 32).bitwiseOR(low)
+    def read(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: np.frombuffer(v, "<i8", len(v) // 8), na_action="ignore")
 
-    words = F.floor(F.length(text) / 16).cast("int")
-    return F.when(words > 0, F.transform(F.sequence(F.lit(0), words - 1), lambda i: signed(number(i)))).when(packed.isNotNull(), F.array().cast("array<bigint>"))
+    return F.pandas_udf(read, "array<bigint>")(packed)
