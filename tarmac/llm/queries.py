@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import bpe, contain, html, kneser, langid, lines, rules, simhash, tokenbin, windows
+from tarmac.llm import bpe, contain, html, kneser, langid, lines, mix, negatives, rules, simhash, tokenbin, whiten, windows
 from tarmac.llm.frames import stored, table
 
 
@@ -66,8 +66,27 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_ids.select(F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by source in the weights 5, 2, 1; no one more than three times."""
+    mix_of = mix.mixed(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mix_of.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100, against all rows; the label of every seventh id is the next one."""
+    label, by = F.col("label").cast("long"), lambda n: F.coalesce(F.col("vec_id") % n == 0, F.lit(False))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(by(7), (label + 1) % 10).otherwise(label))
+    return negatives.mine(rows, by(100))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every embedding."""
+    return whiten.whitened(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+
+
 _ALL = (
     op1_line_dedup, op2_html_text, op3_risk_rules, op4_byte_bpe, op5_kneser_ney, op6_repeated_windows, op7_language_filters, op8_decontamination, op9_simhash, op10_token_shards,
+    op11_source_mix, op12_hard_negatives, op13_whitening,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -96,4 +115,13 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, item_id, any_value(size.n)::BIGINT AS n_shingles, count(*)::BIGINT AS n_shared, count(*) / any_value(size.n) AS containment
         FROM ds JOIN qs USING (k, s) JOIN size USING (item_id, text) GROUP BY r, doc_id, item_id, text
         HAVING count(*) >= 0.8 * any_value(size.n) - 1e-9""",
+    "op12_hard_negatives": """
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, [floor(256 * c::DOUBLE) for c in embedding] AS x
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([c for c in embedding if c IS NULL OR NOT isfinite(c)]) = 0),
+        a AS (SELECT * FROM v WHERE vec_id % 100 = 0),
+        s AS (SELECT a.r, a.vec_id AS anchor_id, v.vec_id, v.label = a.label AS same, list_inner_product(a.x, v.x)::BIGINT AS score FROM a JOIN v ON a.r <> v.r),
+        p AS (SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY p.r, positive_id, positive_score ORDER BY s.score DESC, s.vec_id))::INT AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+        FROM p JOIN s USING (r, anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+        QUALIFY row_number() OVER (PARTITION BY p.r, positive_id, positive_score ORDER BY s.score DESC, s.vec_id) <= 5""",
 }
