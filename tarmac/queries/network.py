@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarmac.operators import derive, graph, places, spatial
+from tarmac.operators import derive, graph, places, search, spatial
 from tarmac.operators.components import connected
 from tarmac.queries.registry import Registry, table
 from tarmac.queries.scalar import _DISTANCE, place
@@ -38,26 +38,146 @@ _WALK = _TREE.format(name="walk", source=0, head="head", tail="tail", limit="1e3
 
 @query(f"WITH RECURSIVE {_ROADS}, {_WALK} SELECT node, round(cost, 4) AS cost FROM walk")
 def shortest_path_tree(spark, sf_dir):
-    source = spark.createDataFrame([(0, 0.0)], "node bigint, cost double")
-    return graph.relax(_roads(spark, sf_dir), source).select("node", F.round("cost", 4).alias("cost"))
+    return search.tree(search.network(_roads(spark, sf_dir)), 0).select("node", F.round("cost", 4).alias("cost"))
 
 
 @query(f"""WITH RECURSIVE {_ROADS}, {_WALK}, back(node, n) AS (SELECT 101::BIGINT, 0 UNION ALL SELECT e.tail, n + 1 FROM back JOIN roads e ON e.head = back.node JOIN walk a ON a.node = e.tail JOIN walk b ON b.node = e.head WHERE back.node <> 0 AND a.cost + e.cost = b.cost)
     SELECT (max(n) OVER () - n)::BIGINT AS step, node FROM back""")
 def path_reconstruct(spark, sf_dir):
-    source = spark.createDataFrame([(0, 0.0)], "node bigint, cost double")
-    return graph.path(graph.relax(_roads(spark, sf_dir), source), F.lit(101))
+    tree = search.tree(search.network(_roads(spark, sf_dir)), 0)
+    return search.ways(tree, spark.createDataFrame([(101,)], "target bigint")).select("step", "node")
 
 
 @query(f"""WITH RECURSIVE {_ROADS}, {_TREE.format(name="there", source=0, head="head", tail="tail", limit=200000)}, {_TREE.format(name="back", source=101, head="tail", tail="head", limit=200000)}
     SELECT node, round(t.cost, 4) AS to_node, round(b.cost, 4) AS from_node, round(t.cost + b.cost, 4) AS through FROM there t JOIN back b USING (node)""")
 def tree_junction(spark, sf_dir):
-    roads = _roads(spark, sf_dir)
-    there = graph.relax(roads, spark.createDataFrame([(0, 0.0)], "node bigint, cost double"), limit=200_000.0)
-    back = graph.relax(graph.reversed_states(roads), spark.createDataFrame([(101, 0.0)], "node bigint, cost double"), limit=200_000.0)
+    roads = search.network(_roads(spark, sf_dir))
+    there, back = search.tree(roads, 0, limit=200_000.0), search.tree(search.reverse(roads), 101, limit=200_000.0)
     return graph.junction(there, back).select("node", *[F.round(c, 4).alias(c) for c in ("to_node", "from_node", "through")])
 
 
+_DX, _DY = (0, 1, 1, 1, 0, -1, -1, -1), (1, 1, 0, -1, -1, -1, 0, 1)
+
+
+def _streets(spark, sf_dir, tile=1024):
+    """A street grid of all orders, row by row: each line is a street from its order's crossing to one of the eight around.
+
+    ``d`` counts directions of 45 degrees from north.  Every fifth row is a primary road; each third crossing has a signal.
+    """
+    orders = table(spark, sf_dir, "orders").agg(F.count("*").alias("n")).withColumn("w", F.floor(F.sqrt("n")))
+    lines = table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(orders))  # one row
+    step = lambda by: F.element_at(F.array(*[F.lit(v) for v in by]), F.col("d").cast("int") + 1)
+    own = lines.select((F.col("l_orderkey") % F.col("n")).alias("tail"), ((F.col("l_linenumber") + F.col("l_orderkey")) % 8).alias("d"), (1000 + F.col("l_extendedprice") / 100).alias("cost"), "n", "w")
+    own = own.withColumn("x", F.col("tail") % F.col("w") + step(_DX)).withColumn("y", F.floor(F.col("tail") / F.col("w")) + step(_DY))
+    own = own.withColumn("head", F.col("y") * F.col("w") + F.col("x")).where("x >= 0 and x < w and y >= 0 and head < n")
+    row = F.floor(F.col("tail") / F.col("w"))
+    place = lambda v: F.concat_ws("-", F.floor(F.col(v) % F.col("w") / tile), F.floor(F.floor(F.col(v) / F.col("w")) / tile))
+    rank = F.when((row % 5 == 0) & F.col("d").isin(2, 6), 4).otherwise(1)
+    cut = own.groupBy("tail", "head", "d", "w").agg(F.min("cost").alias("cost"))
+    return stored(cut.select((F.col("tail") * 8 + F.col("d")).alias("edge"), "tail", "head", "d", "cost", rank.alias("rank"), place("tail").alias("place"), place("head").alias("to_place"), (F.col("tail") % F.col("w")).alias("x"), row.alias("y"), "w"))
+
+
+_STREETS = f"""size AS (SELECT count(*) AS n, floor(sqrt(count(*)))::BIGINT AS w FROM orders),
+    steps AS (SELECT l_orderkey % n AS tail, (l_linenumber + l_orderkey) % 8 AS d, 1000 + l_extendedprice / 100 AS cost, n, w FROM lineitem, size),
+    moved AS (SELECT *, tail % w + ({list(_DX)})[d + 1] AS x, tail // w + ({list(_DY)})[d + 1] AS y FROM steps),
+    streets AS (SELECT tail * 8 + d AS edge, tail, y * w + x AS head, d, min(cost) AS cost, CASE WHEN tail // w % 5 = 0 AND d IN (2, 6) THEN 4 ELSE 1 END AS rank FROM moved WHERE x >= 0 AND x < w AND y >= 0 AND y * w + x < n GROUP BY tail, d, x, y, w)"""
+
+
+def _ends(streets):
+    """A crossing a quarter in from the corner, and one three quarters in."""
+    width = streets.agg(F.max("w")).first()[0]
+    return width // 4 * width + width // 4, width * 3 // 4 * width + width * 3 // 4
+
+
+def _places(streets):
+    ends = streets.select(F.col("tail").alias("node"), "place").unionByName(streets.select(F.col("head").alias("node"), F.col("to_place").alias("place")))
+    return ends.distinct()
+
+
+def _turning(streets):
+    """Streets with what turns need."""
+    ends = streets.select("rank", F.explode(F.array("tail", "head")).alias("tail")).groupBy("tail").agg(F.max("rank").alias("node_rank"))
+    bearing = (F.col("d") * 45).cast("double")
+    return streets.join(ends, "tail").withColumns({"bearing_in": bearing, "bearing_out": bearing, "signal": F.col("tail") % 3 == 0})
+
+
+_TURNS = """ranks AS (SELECT node, max(rank) AS node_rank FROM (SELECT tail AS node, rank FROM streets UNION ALL SELECT head, rank FROM streets) GROUP BY 1),
+    turns AS (SELECT a.edge, b.edge AS next, b.cost + CASE WHEN b.head = a.tail THEN 60.0 WHEN t <= 30 OR t >= 330 THEN 0.0 WHEN t >= 180 THEN 2.0 ELSE 12.0 END
+        + CASE WHEN b.tail % 3 <> 0 AND node_rank >= 2 AND node_rank > a.rank AND b.head <> a.tail THEN CASE WHEN t <= 30 OR t >= 330 THEN 8.0 ELSE 15.0 END ELSE 0.0 END AS cost
+        FROM streets a JOIN streets b ON b.tail = a.head JOIN ranks ON node = b.tail, LATERAL (SELECT ((b.d - a.d) * 45 + 360) % 360 AS t))"""
+_KEYED = "{name}({key}, cost) USING KEY ({key}) AS (SELECT {start} UNION (SELECT {ids}, min(w.cost + e.cost) FROM {name} w JOIN {edges} e ON {on} LEFT JOIN recurring.{name} k ON {known} WHERE k.cost IS NULL OR w.cost + e.cost < k.cost GROUP BY {ids}))"
+_START, _GOAL = "(SELECT w // 4 * w + w // 4 FROM size)", "(SELECT w * 3 // 4 * w + w * 3 // 4 FROM size)"
+_FROM_START = _KEYED.format(name="walk", key="node", start=f"{_START}, 0.0::DOUBLE", ids="e.head", edges="streets", on="e.tail = w.node", known="k.node = e.head")
+
+
+@query(f"WITH RECURSIVE {_STREETS}, {_TURNS}, " + _KEYED.format(name="ride", key="edge", start=f"edge, cost FROM streets WHERE tail = {_START}", ids="e.next", edges="turns", on="e.edge = w.edge", known="k.edge = e.next") + " SELECT edge, round(cost, 4) AS cost FROM ride")
+def turn_tree(spark, sf_dir):
+    """Cheapest rides from one crossing up to each street, turns and waits included."""
+    streets = _streets(spark, sf_dir, 128)
+    net = search.turn_network(_turning(streets), streets.select(F.col("edge").alias("node"), "place"))
+    seeds = streets.where(F.col("tail") == _ends(streets)[0]).select(F.col("edge").alias("node"), "cost")
+    return search.solve(net, seeds).labels.select(F.col("node").alias("edge"), F.round("cost", 4).alias("cost"))
+
+
+@query()
+def binned_turn_tree(spark, sf_dir):
+    """The same rides where a street's cost changes by the hour with its direction, as in a wind that turns; by three bins."""
+    streets = _streets(spark, sf_dir, 128)
+    by_bin = F.array(*[F.col("cost") * (1 + (F.col("d") + b) % 3 * 0.1) for b in range(3)])
+    hourly = _turning(streets).withColumn("seconds", F.array(*[F.col("cost")] * 3)).withColumn("cost", by_bin)
+    net = search.turn_network(hourly, streets.select(F.col("edge").alias("node"), "place"))
+    seeds = streets.where(F.col("tail") == _ends(streets)[0]).select(F.col("edge").alias("node"), F.element_at(by_bin, 1).alias("cost"), F.col("cost").alias("seconds"))
+    found = search.solve(net, seeds, bin_seconds=3600.0 * 8).labels
+    return found.select(F.col("node").alias("edge"), F.round("cost", 4).alias("cost"), F.round("seconds", 4).alias("seconds"))
+
+
+def _landmarked(streets, wanted=4):
+    net = search.network(streets.select("tail", "head", "cost"), _places(streets))
+    return search.with_landmarks(net, search.outermost(streets.select(F.col("tail").alias("node"), F.col("x").alias("lon"), F.col("y").alias("lat")), wanted))
+
+
+@query(f"""WITH RECURSIVE {_STREETS}, {_FROM_START}, back(node, n) AS (SELECT {_GOAL}, 0 UNION ALL SELECT e.tail, n + 1 FROM back JOIN streets e ON e.head = back.node JOIN walk a ON a.node = e.tail JOIN walk b ON b.node = e.head WHERE back.node <> {_START} AND a.cost + e.cost = b.cost)
+    SELECT (max(n) OVER () - n)::BIGINT AS step, node, round(cost, 4) AS cost FROM back JOIN walk USING (node)""")
+def point_to_point(spark, sf_dir):
+    """The cheapest way between two crossings half the grid apart, by landmark bounds."""
+    streets = _streets(spark, sf_dir)
+    net, away = _landmarked(streets)
+    start, goal = _ends(streets)
+    found = search.to_goal(net, away, start, goal)
+    if found is None:
+        return spark.createDataFrame([], "step bigint, node bigint, cost double")
+    held = stored(found.labels)
+    steps = search.ways(held, spark.createDataFrame([(goal,)], "target bigint"))
+    return steps.join(held.select("node", F.round("cost", 4).alias("cost")), "node").select("step", "node", "cost")
+
+
+_TARGETS = "targets AS (SELECT i AS search, (i + 1) * n // 9 AS node FROM size, range(8) t(i))"
+
+
+@query(f"""WITH RECURSIVE {_STREETS}, {_FROM_START}, {_TARGETS}, way(search, node, was) AS (SELECT search, node, NULL::BIGINT FROM targets UNION ALL SELECT way.search, e.tail, e.head FROM way JOIN streets e ON e.head = way.node JOIN walk a ON a.node = e.tail JOIN walk b ON b.node = e.head WHERE way.node <> {_START} AND a.cost + e.cost = b.cost),
+    gone AS (SELECT DISTINCT search, unnest([node, was]) AS tail, unnest([was, node]) AS head FROM way WHERE was IS NOT NULL), costs AS (SELECT t.search, e.tail, e.head, e.cost * CASE WHEN g.tail IS NULL THEN 1.0 ELSE 8.0 END AS cost FROM targets t, streets e LEFT JOIN gone g ON g.search = t.search AND g.tail = e.tail AND g.head = e.head),
+    back(search, node, cost) USING KEY (search, node) AS (SELECT search, node, 0.0::DOUBLE FROM targets UNION (SELECT w.search, e.head, min(w.cost + e.cost) FROM back w JOIN costs e ON e.tail = w.node AND e.search = w.search LEFT JOIN recurring.back k ON k.node = e.head AND k.search = w.search WHERE k.cost IS NULL OR w.cost + e.cost < k.cost GROUP BY 1, 2)),
+    home(node, cost) USING KEY (node) AS (SELECT {_START}, 0.0::DOUBLE UNION (SELECT e.tail, min(w.cost + e.cost) FROM home w JOIN streets e ON e.head = w.node LEFT JOIN recurring.home k ON k.node = e.tail WHERE k.cost IS NULL OR w.cost + e.cost < k.cost GROUP BY 1))
+    SELECT t.search AS candidate, t.node, round(o.cost, 2) AS out_cost, round(b.cost, 2) AS back_cost, round(h.cost, 2) AS fastest FROM targets t LEFT JOIN walk o ON o.node = t.node LEFT JOIN back b ON b.search = t.search AND b.node = {_START} LEFT JOIN home h ON h.node = t.node""")
+def return_legs(spark, sf_dir):
+    """Eight candidates at once: out to each, back where what was travelled (either way) costs eight times as much, and the fastest way back."""
+    streets = _streets(spark, sf_dir)
+    net, away = _landmarked(streets)
+    n = table(spark, sf_dir, "orders").count()
+    targets = {i: (i + 1) * n // 9 for i in range(8)}
+    start, _ = _ends(streets)
+    out = stored(search.tree(net, start))
+    rows = spark.createDataFrame(list(targets.items()), "candidate bigint, node bigint")
+    steps = search.ways(out, rows.select(F.col("node").alias("target"))).join(out.select("node", "prev"), "node").where("prev is not null")
+    used = steps.join(rows.select("candidate", F.col("node").alias("target")), "target").select(F.col("candidate").alias("search"), F.explode(F.array(F.struct(F.col("prev").alias("tail"), F.col("node").alias("head")), F.struct(F.col("node").alias("tail"), F.col("prev").alias("head")))).alias("e"))
+    changes = used.select("search", "e.tail", "e.head", F.lit(8.0).alias("factor"))
+    pairs = {i: (v, start) for i, v in targets.items()}
+    back = search.to_goals(net, away, pairs, changes, 8.0)
+    fastest = search.to_goals(net, away, pairs)
+    cost = lambda df, name: df.select(F.col("search").alias("candidate"), F.round("cost", 2).alias(name))
+    return rows.join(out.select("node", F.round("cost", 2).alias("out_cost")), "node", "left").join(cost(back, "back_cost"), "candidate").join(cost(fastest, "fastest"), "candidate")
+
+
 @query(f"""WITH RECURSIVE {_EDGES}, reach AS (SELECT tail AS a, head AS b FROM edges UNION SELECT a, head FROM reach JOIN edges ON tail = b), nodes AS (SELECT tail AS n FROM edges UNION SELECT head FROM edges),
     mutual AS (SELECT n, n AS m FROM nodes UNION SELECT r.a, r.b FROM reach r JOIN reach s ON r.a = s.b AND r.b = s.a), named AS (SELECT n, min(m) AS root FROM mutual GROUP BY 1)
     SELECT n AS node FROM named WHERE root = (SELECT root FROM named GROUP BY root ORDER BY count(*) DESC, root LIMIT 1)""")
@@ -87,14 +207,14 @@ def components_eps(spark, sf_dir):
     return spatial.clusters(points, "s_suppkey", 6000, ["kind"])
 
 
-@query(f"""WITH {_EDGES} SELECT a.tail, a.head, b.head AS next, CASE WHEN b.head = a.tail THEN 60.0 WHEN least(t, 360 - t) <= 30 THEN 0.0 WHEN t = 180 THEN 60.0 WHEN t > 180 THEN 2.0 ELSE 12.0 END::DOUBLE AS seconds
+@query(f"""WITH {_EDGES} SELECT a.tail, a.head, b.head AS next, CASE WHEN b.head = a.tail THEN 60.0 WHEN least(t, 360 - t) <= 30 THEN 0.0 WHEN t >= 180 THEN 2.0 ELSE 12.0 END::DOUBLE AS seconds
     FROM edges a JOIN edges b ON b.tail = a.head, LATERAL (SELECT ((b.head * 13 % 360) - (a.head * 13 % 360) + 360) % 360 AS t)""")
 def turn_costs(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     name = F.concat_ws("-", "tail", "head")
     own = edges.select(
         name.alias("edge"), "tail", "head", (F.col("head") * 13 % 360).cast("double").alias("bearing_out"), (F.col("head") * 13 % 360).cast("double").alias("bearing_in"),
-        F.concat_ws("-", F.least("tail", "head"), F.greatest("tail", "head")).alias("segment"), F.lit(0).alias("rank"), F.lit(False).alias("signal"), F.lit(0).alias("node_rank"),
+        F.lit(0).alias("rank"), F.lit(False).alias("signal"), F.lit(0).alias("node_rank"),
     )
     pairs = graph.transitions(own)
     part = lambda c, i: F.split(c, "-")[i].cast("long")

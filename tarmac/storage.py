@@ -22,21 +22,30 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: no lineage, computed once, safe from lost executors.
 
-    Tables stay until their owner clears the folder: a caller may read a result long after it was returned.
+    Tables stay until their owner clears the folder: a caller may read a result long after it was returned.  ``by`` gives
+    each value of a column a folder of its own, so that a filter on it leaves the others unread.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarmac-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """``df`` stored in the shared folder, bucketed and sorted by a column: joins and groups on it read it without a shuffle."""
+    spark = df.sparkSession
+    name = f"tarmac_{uuid.uuid4().hex}"
+    df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name, format="parquet")
+    return spark.table(name)
+
+
+def measured(df: DataFrame, by: str | None = None, **measures: Column) -> tuple[DataFrame, dict]:
     """``df`` stored, and aggregates over it that are taken while it is written, without a job of their own."""
     seen = Observation()
-    out = stored(df.observe(seen, *[column.alias(name) for name, column in measures.items()]))
+    out = stored(df.observe(seen, *[column.alias(name) for name, column in measures.items()]), by)
     return out, seen.get
 
 
@@ -44,7 +53,7 @@ def forget(df: DataFrame) -> None:
     """Deletes the files of a stored table that nothing reads any more."""
     spark = df.sparkSession
     root = shared_dir(spark).rstrip("/")
-    for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
+    for path in {p.rpartition("/")[0].split("/kind=")[0] for p in df.inputFiles()}:
         if path.rpartition("/")[2].startswith("tarmac-") and path.rpartition("/")[0].removeprefix("file:").lstrip("/") == root.removeprefix("file:").lstrip("/"):
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -106,7 +106,7 @@ def test_turns(spark):
     rows = [("in", 1, 2, 0.0, 0.0, "s1", 1), ("straight", 2, 3, 10.0, 10.0, "s2", 1), ("left", 2, 4, 270.0, 270.0, "s3", 1), ("right", 2, 5, 90.0, 90.0, "s4", 3), ("back", 2, 1, 180.0, 180.0, "s1", 1)]
     edges = spark.createDataFrame(rows, "edge string, tail int, head int, bearing_in double, bearing_out double, segment string, rank int").withColumn("signal", F.lit(False)).withColumn("node_rank", F.lit(3))
     got = {r.next: r.seconds for r in graph.transitions(edges).where("edge = 'in'").collect()}
-    assert got == {"straight": 8.0, "left": 2.0, "right": 27.0, "back": 60.0}
+    assert got == {"straight": 8.0, "left": 17.0, "right": 27.0, "back": 60.0}
     free = {r.next: r.seconds for r in graph.transitions(edges.withColumn("signal", F.lit(True))).where("edge = 'in'").collect()}
     assert free == {"straight": 0.0, "left": 2.0, "right": 12.0, "back": 60.0}
 
