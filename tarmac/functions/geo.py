@@ -22,6 +22,27 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
     return F.lit(2 * EARTH_KM * 1000) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
+#: Metres of one degree of latitude on the sphere.
+METRES_PER_DEGREE = math.radians(1.0) * EARTH_KM * 1000
+
+
+def point_piece_m(lon: Column, lat: Column, a: Column, b: Column) -> Column:
+    """Metres from a point to the straight piece between two points (``lon``, ``lat``), on the plane that touches at the point."""
+    wide = F.cos(F.radians(lat)) * METRES_PER_DEGREE
+    ax, ay, bx, by = (a["lon"] - lon) * wide, (a["lat"] - lat) * METRES_PER_DEGREE, (b["lon"] - lon) * wide, (b["lat"] - lat) * METRES_PER_DEGREE
+    dx, dy = bx - ax, by - ay
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(-(ax * dx + ay * dy), dx * dx + dy * dy), F.lit(0.0))))
+    return F.sqrt(F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2))
+
+
+def pieces_m(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Metres between two straight pieces; 0 where they cross."""
+    side = lambda p, q, r: F.signum((q["lon"] - p["lon"]) * (r["lat"] - p["lat"]) - (q["lat"] - p["lat"]) * (r["lon"] - p["lon"]))
+    crossed = (side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)
+    ends = F.least(*[point_piece_m(p["lon"], p["lat"], q, r) for p, q, r in ((a, c, d), (b, c, d), (c, a, b), (d, a, b))])
+    return F.when(crossed, 0.0).otherwise(ends)
+
+
 def bearing_deg(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Initial bearing from the first to the second point, 0 to 360."""
     dlon = F.radians(lon2 - lon1)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tarmac.functions.geo import bearing_deg, haversine_m
 from tarmac.functions.tags import accident_weight, highway_rank, travel_direction
 from tarmac.operators.aggregates import place_share
-from tarmac.operators.spatial import clusters, near_any, nearest
+from tarmac.operators.lines import nearest_line
+from tarmac.operators.spatial import clusters, near_any
 
 
 def line_length(points: Column) -> Column:
@@ -92,14 +93,11 @@ def intersection_counts(edges: DataFrame) -> DataFrame:
     return ends.join(branches, "node").groupBy("way", "segment").agg((F.count_if(F.col("branches") >= 3) * 0.5).alias("n"))
 
 
-def accident_counts(vertices: DataFrame, accidents: DataFrame, radius_m: float = 30.0) -> DataFrame:
-    """``(edge, n)``: accidents with a bicycle, weighted, at the nearest segment within the radius; ties go to the smaller key.
-
-    ``vertices`` (``edge``, ``lon``, ``lat``) are points along segments, dense enough for the radius.
-    """
+def accident_counts(edges: DataFrame, accidents: DataFrame, radius_m: float = 30.0) -> DataFrame:
+    """``(edge, n)``: accidents with a bicycle, weighted, at the nearest segment (``edge``, ``points``) within the radius of its line; ties go to the smaller key."""
     bicycle = F.col("party_a").isin("bicycle", "power_assisted_bicycle") | F.col("party_b").isin("bicycle", "power_assisted_bicycle")
     own = accidents.where(F.coalesce(bicycle, F.lit(False))).select("accident", "lon", "lat", accident_weight(F.col("deaths")).alias("weight"))
-    matched = nearest(own, vertices.select("edge", "lon", "lat"), "accident", "edge", radius_m)
+    matched = nearest_line(own, edges, "accident", "edge", radius_m)
     return matched.join(own, "accident").groupBy("edge").agg(F.sum("weight").alias("n"))
 
 
@@ -114,17 +112,6 @@ def way_directions(ways: DataFrame) -> DataFrame:
     return ways.select("way", travel_direction(tag("oneway:bicycle"), tag("oneway"), tag("junction")).alias("direction"))
 
 
-def divided(edges: DataFrame, max_gap_m: float = 40.0, max_angle: float = 20.0) -> DataFrame:
-    """``(way, segment)`` of one-way segments with an opposite one-way partner alongside: same name, near, about antiparallel."""
-    own = edges.where("direction = 'forward'").select("way", "segment", "name", "lon", "lat", "bearing_deg")
-    other = own.select(F.col("way").alias("_way"), F.col("name").alias("_name"), "lon", "lat", F.col("bearing_deg").alias("_bearing"))
-    from tarmac.functions.geo import folded_angle_deg
-    from tarmac.operators.spatial import within
-
-    pairs = within(own, other, max_gap_m).where((F.col("way") != F.col("_way")) & F.col("name").eqNullSafe(F.col("_name")))
-    return pairs.where(folded_angle_deg(F.col("bearing_deg"), F.col("_bearing")) >= 180 - max_angle).select("way", "segment").distinct()
-
-
 def unchanged(old: DataFrame, new: DataFrame, keys: list[str], shape: str) -> DataFrame:
     """Rows of ``old`` whose key and shape are in ``new`` as they were: their derived values can be used again."""
     same = new.select(*keys, F.xxhash64(shape).alias("_h"))

@@ -7,6 +7,7 @@ Tables of candidates, legs and route rows are ordinary DataFrames with a row eac
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from tarmac.functions.geo import folded_angle_deg, haversine_m
 from tarmac.functions.numbers import round_tenth
 from tarmac.operators.aggregates import weighted_mean
 from tarmac.operators.windows import pareto_layers
+from tarmac.storage import measured, stored
 
 
 def ring(target_km: float, tolerance_km: float, shortest: float, longest: float) -> tuple[float, float]:
@@ -54,6 +56,46 @@ def spread_order(remaining: DataFrame, chosen: DataFrame, key: str, bearing: str
     return remaining.crossJoin(F.broadcast(taken)).withColumn("gap", gap).drop("_taken").orderBy(F.desc_nulls_last("gap"), closeness, key)
 
 
+def pick_diverse(candidates: DataFrame, rows: DataFrame, wanted: int, thresholds: Sequence[float] = (0.6, 0.85), by: Sequence[str] = (), spread: bool = False) -> DataFrame:
+    """``(*by, route, choice)``: of each request the first ``wanted`` ranked candidates none of which overlaps a chosen one too much.
+
+    ``candidates`` (``route``, ``position``) are taken in order of position, ``rows`` (``route``, ``segment``, ``length``) are what they run
+    over; the overlap is the share of a candidate's length that a chosen one covers too, a segment counting once.
+    Where no candidate is left within the first threshold, the next one holds.  With ``spread``, candidates of one position
+    are a tie that goes to the widest angle from all chosen ``bearing``s, then the smallest ``closeness``, then the route.
+    A candidate without rows is no route.
+
+    A round chooses one route of every request and compares the rest with that one alone, by segment, so rounds are as
+    many as are wanted and no pairs of candidates are made.
+    """
+    by = list(by)
+    own = stored(rows.groupBy(*by, "route", "segment").agg(F.max("length").cast("double").alias("length")))
+    total = own.groupBy(*by, "route").agg(F.sum("length").alias("total"))
+    extra = ["bearing", "closeness"] if spread else []
+    state = stored(candidates.join(total, [*by, "route"]).select(*by, "route", "position", "total", *extra, F.lit(0.0).alias("worst"), F.lit(None).cast("double").alias("gap")))
+    chosen = []
+    for choice in range(1, wanted + 1):
+        step = F.coalesce(*[F.when(F.col("worst") <= t, i) for i, t in enumerate(thresholds)])
+        tie = [F.coalesce(-F.col("gap"), F.lit(1.0)).alias("_gap"), F.col("closeness")] if spread else []
+        first = state.withColumn("_step", step).where("_step is not null").groupBy(*by).agg(F.min(F.struct("_step", "position", *tie, "route", *extra[:1])).alias("_f"))
+        picked, seen = measured(first.where("_f is not null").select(*by, F.col("_f.route").alias("route"), *[F.col(f"_f.{c}").alias(f"_{c}") for c in extra[:1]]), n=F.count(F.lit(1)))
+        if not seen["n"]:
+            break
+        chosen.append(picked.select(*by, "route", F.lit(choice).alias("choice")))
+        key = [*by, "segment"]
+        shared = own.join(picked.select(*by, "route").join(own, [*by, "route"]).select(*key), key, "left_semi").groupBy(*by, "route").agg(F.sum("length").alias("_shared"))
+        state = state.join(picked.select(*by, "route"), [*by, "route"], "left_anti").join(shared, [*by, "route"], "left")
+        state = state.withColumn("worst", F.greatest("worst", F.coalesce(F.try_divide(F.col("_shared"), F.col("total")), F.lit(0.0))))
+        if spread:
+            last = picked.select(*by, "_bearing")
+            state = state.join(last, by) if by else state.crossJoin(F.broadcast(last))  # one row without requests
+            state = state.withColumn("gap", F.least("gap", folded_angle_deg(F.col("bearing"), F.col("_bearing"))))
+        state = stored(state.select(*by, "route", "position", "total", *extra, "worst", "gap"))
+    if not chosen:
+        return state.select(*by, "route", F.lit(0).alias("choice")).limit(0)
+    return reduce(DataFrame.unionByName, chosen)
+
+
 def far_apart(candidates: DataFrame, chosen: DataFrame, least_m: float) -> DataFrame:
     """Candidates that lie at least ``least_m`` from every chosen point (``lon``, ``lat``)."""
     points = chosen.agg(F.collect_list(F.struct("lon", "lat")).alias("_points"))

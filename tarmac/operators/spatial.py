@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.functions.geo import haversine_m, pad_degrees, pixel, ring_contains, tile_x, tile_y
+from tarmac.functions.geo import METRES_PER_DEGREE, haversine_m, pad_degrees, pixel, ring_contains, tile_x, tile_y
 from tarmac.operators.components import connected
+from tarmac.storage import measured, stored
 
 
 def _cell(value: Column, size: float) -> Column:
@@ -47,14 +49,53 @@ def near_any(left: DataFrame, right: DataFrame, left_key: str, radius_m: float)
     return left.join(within(left.select(left_key, "lon", "lat"), right.select("lon", "lat"), radius_m).select(left_key).distinct(), left_key, "left_semi")
 
 
-def clusters(points: DataFrame, key: str, radius_m: float, by: Sequence[str] = ()) -> DataFrame:
-    """``(key, cluster)``: points linked by steps of at most the radius, by kind on demand; a cluster is named by its smallest key."""
-    other = points.select(F.col(key).alias("_o"), "lon", "lat", *[F.col(c).alias(f"_{c}") for c in by])
-    pairs = within(points.select(key, "lon", "lat", *by), other, radius_m).where(F.col(key) < F.col("_o"))
-    for c in by:
-        pairs = pairs.where(F.col(c).eqNullSafe(F.col(f"_{c}")))
-    roots = connected(pairs.select(F.col(key).alias("a"), F.col("_o").alias("b")))
-    return points.select(key).join(roots.withColumnRenamed("node", key), key, "left").select(key, F.coalesce("root", key).alias("cluster"))
+def clusters(points: DataFrame, key: str, radius_m: float, by: Sequence[str] = (), pairs: int = 4096) -> DataFrame:
+    """``(key, cluster)``: points linked by steps of at most the radius, by kind on demand; a cluster is named by its smallest key.
+
+    A cell's diagonal is the radius, so all points of a cell are one cluster and only cells are linked.  Two cells with up
+    to ``pairs`` pairs of different places compare these; larger ones compare the boxes they split into, again and again:
+    boxes that are near enough whatever their points link their cells, boxes too far apart go.  Points without a place
+    are clusters of their own.
+    """
+    kind = F.to_json(F.struct(*by)) if by else F.lit("")
+    cell = radius_m / math.sqrt(2) / METRES_PER_DEGREE * (1 - 1e-9)
+    at = lambda c, level=0: F.floor(F.col(c) / cell * (1 << level)).cast("long")
+    own = stored(points.select(F.col(key).alias("k"), kind.alias("g"), "lon", "lat", at("lon").alias("x"), at("lat").alias("y")))
+    placed = own.where("x is not null and y is not null")
+    spots = stored(placed.select("g", "x", "y", "lon", "lat").distinct())
+    cells = stored(placed.groupBy("g", "x", "y").agg(F.min("k").alias("low")).join(spots.groupBy("g", "x", "y").agg(F.count(F.lit(1)).alias("n")), ["g", "x", "y"]))
+    # up to 60 degrees of latitude a cell is at least half as wide as it is high
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in range(3) for i in range(-3, 4) if j or i > 0]))
+    other = cells.select("g", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("low").alias("b"), F.col("n").alias("m"))
+    near = cells.withColumn("_s", around).withColumn("_x", F.col("x") + F.col("_s.i")).withColumn("_y", F.col("y") + F.col("_s.j")).join(other, ["g", "_x", "_y"])
+    waiting = near.select("g", F.col("low").alias("a"), "b", "x", "y", F.col("_x").alias("u"), F.col("_y").alias("v"), "n", "m")
+    links, level, side = [], 0, cell
+    while True:
+        waiting, seen = measured(waiting, n=F.count(F.lit(1)), large=F.count_if(F.col("n") * F.col("m") > pairs))
+        if not seen["n"]:
+            break
+        few = F.col("n") * F.col("m") <= pairs if level < 40 else F.lit(True)
+        box = spots.withColumns({"_x": at("lon", level), "_y": at("lat", level)})
+        left, right = (box.select("g", F.col("_x").alias(x), F.col("_y").alias(y), F.col("lon").alias(f"{x}_lon"), F.col("lat").alias(f"{x}_lat")) for x, y in (("x", "y"), ("u", "v")))
+        met = waiting.where(few).join(left, ["g", "x", "y"]).join(right, ["g", "u", "v"])
+        links.append(stored(met.where(haversine_m(F.col("x_lon"), F.col("x_lat"), F.col("u_lon"), F.col("u_lat")) <= radius_m).select("a", "b").distinct()))
+        if not seen["large"] or level == 40:
+            break
+        level, side = level + 1, side / 2
+        parts = stored(spots.groupBy("g", at("lon", level).alias("_x"), at("lat", level).alias("_y")).agg(F.count(F.lit(1)).alias("n")))
+        of = lambda x, y, n: parts.select("g", F.floor(F.col("_x") / 2).cast("long").alias(x), F.floor(F.col("_y") / 2).cast("long").alias(y), F.col("_x").alias(f"{x}2"), F.col("_y").alias(f"{y}2"), F.col("n").alias(n))
+        open_ = waiting.where(~few).drop("n", "m").join(links[-1], ["a", "b"], "left_anti")
+        split = open_.join(of("x", "y", "n"), ["g", "x", "y"]).join(of("u", "v", "m"), ["g", "u", "v"])
+        middle = lambda c: (F.col(c) + 0.5) * side
+        apart, half = haversine_m(middle("x2"), middle("y2"), middle("u2"), middle("v2")), side * math.sqrt(2) * METRES_PER_DEGREE / 2 + 1e-6
+        split, _ = measured(split.withColumn("d", apart).where(F.col("d") - 2 * half <= radius_m), n=F.count(F.lit(1)))
+        links.append(stored(split.where(F.col("d") + 2 * half <= radius_m).select("a", "b").distinct()))
+        waiting = split.join(links[-1], ["a", "b"], "left_anti").select("g", "a", "b", F.col("x2").alias("x"), F.col("y2").alias("y"), F.col("u2").alias("u"), F.col("v2").alias("v"), "n", "m")
+    roots = connected(reduce(DataFrame.unionByName, links)) if links else None
+    named = cells.select("g", "x", "y", "low")
+    if roots is not None:
+        named = named.join(roots.withColumnRenamed("node", "low"), "low", "left").withColumn("low", F.coalesce("root", "low"))
+    return own.join(named.select("g", "x", "y", "low"), ["g", "x", "y"], "left").select(F.col("k").alias(key), F.coalesce("low", "k").alias("cluster"))
 
 
 def containing(points: DataFrame, areas: DataFrame, point_key: str, area_key: str, ring: str = "ring", cell: float = 0.05) -> DataFrame:

@@ -6,9 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarmac.functions import geo, text
-from tarmac.operators import places, spatial
+from tarmac.operators import derive, lines, places, spatial
 from tarmac.operators.aggregates import percent_shares, preview, weighted_mean
-from tarmac.operators.derive import line_length
 from tarmac.operators.windows import elevation_values
 from tarmac.plans import catalog
 from tarmac.queries.registry import Registry, table
@@ -63,6 +62,68 @@ def derived_landcover(spark, sf_dir):
     return out.select("s_nationkey", F.round("wood", 6).alias("wood"), F.round("water", 6).alias("water"))
 
 
+_PIECE_M = """(SELECT sqrt(pow(ax + t * (bx - ax), 2) + pow(ay + t * (by_ - ay), 2)) FROM (SELECT *, least(1.0, greatest(0.0, coalesce(-(ax * (bx - ax) + ay * (by_ - ay)) / nullif(pow(bx - ax, 2) + pow(by_ - ay, 2), 0), 0.0))) AS t FROM (
+    SELECT ({a}.lon - {p}.lon) * k * cos(radians({p}.lat)) AS ax, ({a}.lat - {p}.lat) * k AS ay, ({b}.lon - {p}.lon) * k * cos(radians({p}.lat)) AS bx, ({b}.lat - {p}.lat) * k AS by_ FROM (SELECT radians(1.0) * 6371000.0 AS k))))"""
+_BENT = "ln AS (SELECT s_suppkey, s_nationkey, lon, lat, {'lon': lon, 'lat': lat} AS p0, {'lon': lon + 0.011, 'lat': lat + 0.003} AS p1, {'lon': lon + 0.013, 'lat': lat + 0.012} AS p2 FROM (SELECT s_suppkey, s_nationkey, 139 + s_suppkey * 37 % 1000 / 1000.0 AS lon, 35 + s_suppkey * 61 % 700 / 1000.0 AS lat FROM supplier))"
+
+
+def _bent(spark, sf_dir):
+    lon, lat = place("s_suppkey")
+    point = lambda x, y: F.struct((lon + x).alias("lon"), (lat + y).alias("lat"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.array(point(0.0, 0.0), point(0.011, 0.003), point(0.013, 0.012)).alias("points"))
+
+
+@query(f"""WITH {_BENT}, tiles AS (SELECT DISTINCT floor((139 + c_custkey * 37 % 1000 / 1000.0) / 0.032)::BIGINT AS tx, floor((35 + c_custkey * 61 % 700 / 1000.0) / 0.032)::BIGINT AS ty FROM customer),
+    px AS (SELECT px, py, {{'lon': (px + 0.5) * 0.002, 'lat': (py + 0.5) * 0.002}} AS c, (px * 3 + py * 5) % 4 AS class FROM (SELECT tx * 16 + i AS px, ty * 16 + j AS py FROM tiles, range(16) a(i), range(16) b(j))),
+    near AS (SELECT s_suppkey, class, least({_PIECE_M.format(p="px.c", a="ln.p0", b="ln.p1")}, {_PIECE_M.format(p="px.c", a="ln.p1", b="ln.p2")}) AS d FROM ln JOIN px ON px.c.lon BETWEEN lon - 0.02 AND lon + 0.04 AND px.c.lat BETWEEN lat - 0.02 AND lat + 0.04),
+    n AS (SELECT s_suppkey, class, count(*) AS n FROM near WHERE d > 250 AND d <= 900 AND class <> 0 GROUP BY 1, 2)
+    SELECT s_suppkey, round(coalesce(sum(n) FILTER (class = 1), 0) * 100.0 / sum(n), 6) AS wood, round(coalesce(sum(n) FILTER (class = 2), 0) * 100.0 / sum(n), 6) AS water FROM n GROUP BY 1 HAVING sum(n) >= 10""")
+def ring_landcover(spark, sf_dir):
+    """Raster pixels by class in a ring of 250 to 900 metres along a bent line for each supplier."""
+    lon, lat = place("c_custkey")
+    tiles = table(spark, sf_dir, "customer").select(F.floor(lon / 0.032).alias("tx"), F.floor(lat / 0.032).alias("ty")).distinct()
+    at = F.sequence(F.lit(0), F.lit(255))
+    tiles = tiles.withColumn("pixels", F.transform(at, lambda i: (((F.col("tx") * 16 + i % 16) * 3 + (F.col("ty") * 16 + F.floor(i / 16)) * 5) % 4).cast("int")))
+    counts = lines.ring_counts(_bent(spark, sf_dir), tiles, "s_suppkey", 250.0, 900.0, 0.002, 16)
+    shares = percent_shares(counts, "s_suppkey", "class", "n", [1, 2], [0], 10)
+    return shares.select("s_suppkey", F.round("1_percent", 6).alias("wood"), F.round("2_percent", 6).alias("water"))
+
+
+@query(f"""WITH {_BENT}, acc AS (SELECT c_custkey, {{'lon': 139.0021 + c_custkey * 37 % 1000 / 1000.0, 'lat': 35.001 + c_custkey * 61 % 700 / 1000.0}} AS c, CASE WHEN c_custkey % 9 = 0 THEN 3.0 ELSE 1.0 END AS w FROM customer WHERE c_custkey % 4 < 3),
+    near AS (SELECT c_custkey, w, s_suppkey, least({_PIECE_M.format(p="acc.c", a="ln.p0", b="ln.p1")}, {_PIECE_M.format(p="acc.c", a="ln.p1", b="ln.p2")}) AS d FROM acc, ln)
+    SELECT s_suppkey, sum(w)::DOUBLE AS n FROM (SELECT c_custkey, any_value(w) AS w, min_by(s_suppkey, (d, s_suppkey)) AS s_suppkey FROM near WHERE d <= 300 GROUP BY 1) GROUP BY 1""")
+def accident_lines(spark, sf_dir):
+    """Customers as accidents, three of four with a bicycle and one of nine deadly, at the nearest line within 300 metres."""
+    lon, lat = place("c_custkey")
+    key = F.col("c_custkey")
+    accidents = table(spark, sf_dir, "customer").select(key.alias("accident"), (lon + 0.0021).alias("lon"), (lat + 0.001).alias("lat"), F.when(key % 4 < 3, "bicycle").otherwise("car").alias("party_a"), F.lit("car").alias("party_b"), F.when(key % 9 == 0, 1).otherwise(0).alias("deaths"))
+    return derive.accident_counts(_bent(spark, sf_dir).withColumnRenamed("s_suppkey", "edge"), accidents, 300.0).withColumnRenamed("edge", "s_suppkey")
+
+
+_BESIDE = """w AS (SELECT p_partkey AS way, 139 + (p_partkey // 2) * 37 % 1000 / 1000.0 AS lon, 35 + (p_partkey // 2) * 61 % 700 / 1000.0 + CASE WHEN p_partkey % 2 = 1 THEN p_partkey % 5 * 0.00009 + 0.00001 ELSE 0 END AS lat,
+        p_partkey % 2 = 1 AS turned, CASE WHEN p_partkey % 7 = 0 THEN 'both' WHEN p_partkey % 11 = 0 THEN 'backward' ELSE 'forward' END AS direction, CASE WHEN p_size % 4 = 0 THEN 'primary' ELSE 'residential' END AS highway,
+        p_partkey % 13 = 0 AS tagged, CASE WHEN p_partkey % 3 > 0 THEN 'n' || (p_partkey // 2) % 3 END AS ident FROM part)"""
+
+
+@query(f"""WITH {_BESIDE}, one AS (SELECT *, ((CASE WHEN turned THEN 270 ELSE 90 END) + CASE WHEN direction = 'backward' THEN 180 ELSE 0 END) % 360 AS deg, {{'lon': lon, 'lat': lat}} AS a, {{'lon': lon + 0.0009, 'lat': lat}} AS b FROM w WHERE direction <> 'both'),
+    pairs AS (SELECT x.way, x.ident AS i, y.ident AS j, x.highway AS g, y.highway AS h, x.a AS xa, x.b AS xb, y.a AS ya, y.b AS yb FROM one x JOIN one y ON x.way <> y.way AND x.deg <> y.deg AND abs(x.lat - y.lat) < 0.001 AND abs(x.lon - y.lon) < 0.003),
+    d AS (SELECT *, least({", ".join(_PIECE_M.format(p=f"pairs.{p}", a=f"pairs.{a}", b=f"pairs.{b}") for p, a, b in (("xa", "ya", "yb"), ("xb", "ya", "yb"), ("ya", "xa", "xb"), ("yb", "xa", "xb")))}) AS m FROM pairs),
+    spots AS (SELECT pairs.*, f, {{'lon': xa.lon + (xb.lon - xa.lon) * f, 'lat': xa.lat}} AS c FROM pairs, (VALUES (0.05), (0.25), (0.5), (0.75), (0.95)) v(f) WHERE g = h AND coalesce(i = j, true)),
+    hits AS (SELECT way, f FROM spots WHERE {_PIECE_M.format(p="spots.c", a="spots.ya", b="spots.yb")} <= 15)
+    SELECT way, coalesce(direction <> 'both' AND (tagged OR way IN (SELECT way FROM d WHERE i = j AND m <= 40) OR way IN (SELECT way FROM hits GROUP BY way HAVING count(DISTINCT f) = 5)), false) AS divided FROM w""")
+def divided_ways(spark, sf_dir):
+    """Parts as short roads, every second one beside another; by tag, by name, and by the road alongside."""
+    key = F.col("p_partkey")
+    half = F.floor(key / 2)
+    lon, lat = 139 + half * 37 % 1000 / 1000.0, 35 + half * 61 % 700 / 1000.0 + F.when(key % 2 == 1, key % 5 * 0.00009 + 0.00001).otherwise(0.0)
+    west, east = F.struct(lon.alias("lon"), lat.alias("lat")), F.struct((lon + 0.0009).alias("lon"), lat.alias("lat"))
+    ways = table(spark, sf_dir, "part").select(
+        key.alias("way"), F.when(key % 2 == 1, F.array(east, west)).otherwise(F.array(west, east)).alias("points"), F.when(key % 7 == 0, "both").when(key % 11 == 0, "backward").otherwise("forward").alias("direction"),
+        F.when(F.col("p_size") % 4 == 0, "primary").otherwise("residential").alias("highway"), F.when(key % 13 == 0, " Dual ").alias("carriageway"), F.lit(" ").alias("ref"), F.when(key % 3 > 0, F.concat(F.lit("n"), (half % 3).cast("string"))).alias("name"),
+    )
+    return lines.divided(ways)
+
+
 @query(f"""WITH RECURSIVE c AS (SELECT 'c' || c_custkey AS area, 'n' || c_nationkey AS parent, {_XY.format(k="c_custkey")} FROM customer), n AS (SELECT 'n' || n_nationkey AS area, 'r' || n_regionkey AS parent, 100.0 AS lon, 0.0 AS lat FROM nation WHERE n_nationkey % 2 = 0),
     made AS (SELECT 'n' || n_nationkey AS area, 'r' || n_regionkey AS parent, avg(lon) AS lon, avg(lat) AS lat FROM c JOIN nation ON parent = 'n' || n_nationkey WHERE n_nationkey % 2 = 1 GROUP BY 1, 2),
     every AS (SELECT * FROM c UNION ALL SELECT * FROM n UNION ALL SELECT * FROM made UNION ALL SELECT 'r' || r_regionkey, NULL, 100.0, 0.0 FROM region),
@@ -183,7 +244,7 @@ def group_geometry(spark, sf_dir):
     lon, lat = place("s_suppkey")
     rows = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", lon.alias("lon"), lat.alias("lat"))
     out = rows.groupBy("s_nationkey").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), geo.span_m().alias("span_m"), geo.line_of("s_suppkey").alias("line"))
-    return out.select("s_nationkey", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("span_m", 3).alias("span_m"), F.round(line_length(F.col("line")), 3).alias("length_m"))
+    return out.select("s_nationkey", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("span_m", 3).alias("span_m"), F.round(derive.line_length(F.col("line")), 3).alias("length_m"))
 
 
 _HALF1, _HALF2 = (_DISTANCE.format(a0=f"lon{i}", b0=f"lat{i}", a1=f"lon{i + 1}", b1=f"lat{i + 1}") for i in (0, 1))

@@ -209,4 +209,42 @@ def fixed_points(spark, sf_dir):
     return graph.legs(_edges(spark, sf_dir), [0, 101, 57, 8])
 
 
+def _greedy(wanted, low, high, tie):
+    """SQL of a greedy choice: candidates (req, route, position, bearing, closeness) and overlaps (i, j, r), one more a round."""
+    return f"""pick(req, chosen, n) AS (SELECT DISTINCT req, []::BIGINT[], 0 FROM cand UNION ALL SELECT req, list_append(chosen, route), n + 1 FROM (
+        SELECT req, chosen, n, route, row_number() OVER (PARTITION BY req ORDER BY CASE WHEN worst <= {low} THEN 0 ELSE 1 END, position, {tie}, route) AS rn FROM (
+            SELECT p.req, p.chosen, p.n, c.route, c.position, c.closeness, (SELECT coalesce(max(r), 0) FROM ov WHERE i = c.route AND list_contains(p.chosen, j)) AS worst,
+                (SELECT min(least((c.bearing - d.bearing + 360) % 360, 360 - (c.bearing - d.bearing + 360) % 360)) FROM cand d WHERE d.req = c.req AND list_contains(p.chosen, d.route)) AS gap
+            FROM pick p JOIN cand c ON c.req = p.req AND NOT list_contains(p.chosen, c.route) WHERE p.n < {wanted}) WHERE worst <= {high}) WHERE rn = 1),
+        picked AS (SELECT req, max_by(chosen, n) AS chosen FROM pick GROUP BY 1)
+    SELECT req, unnest(chosen) AS route, generate_subscripts(chosen, 1)::INT AS choice FROM picked"""
+
+
+_CANDIDATES = """segs AS (SELECT l_orderkey AS route, l_partkey % 40 AS s, max(l_quantity) AS l FROM lineitem GROUP BY 1, 2), total AS (SELECT route, sum(l) AS t FROM segs GROUP BY 1),
+    cand AS (SELECT o_custkey AS req, o_orderkey AS route, {position} AS position, (o_orderkey * 47 % 360)::DOUBLE AS bearing, o_totalprice AS closeness FROM orders JOIN total ON route = o_orderkey),
+    ov AS (SELECT a.route AS i, b.route AS j, sum(x.l) / t AS r FROM cand a JOIN cand b ON a.req = b.req AND a.route <> b.route JOIN segs x ON x.route = a.route JOIN segs y ON y.route = b.route AND y.s = x.s JOIN total ON total.route = a.route GROUP BY a.route, b.route, t)"""
+
+
+def _candidates(spark, sf_dir, position):
+    orders = table(spark, sf_dir, "orders")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("route"), (F.col("l_partkey") % 40).alias("segment"), F.col("l_quantity").alias("length"))
+    rows = rows.join(orders.select(F.col("o_orderkey").alias("route"), F.col("o_custkey").alias("req")), "route")
+    return orders.select(F.col("o_custkey").alias("req"), F.col("o_orderkey").alias("route"), position.alias("position"), (F.col("o_orderkey") * 47 % 360).cast("double").alias("bearing"), F.col("o_totalprice").alias("closeness")), rows
+
+
+@query("WITH RECURSIVE " + _CANDIDATES.format(position="row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)") + ", " + _greedy(4, 0.1, 0.3, "0"))
+def diverse_routes(spark, sf_dir):
+    """Every customer's orders as ranked candidates over segments: four that differ, at first by nine tenths of their length."""
+    ranked = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey"))
+    candidates, rows = _candidates(spark, sf_dir, ranked)
+    return routes.pick_diverse(candidates, rows, 4, (0.1, 0.3), ["req"])
+
+
+@query("WITH RECURSIVE " + _CANDIDATES.format(position="floor(o_totalprice / 100000)") + ", " + _greedy(3, 0.15, 0.4, "coalesce(-gap, 1), closeness"))
+def spread_routes(spark, sf_dir):
+    """The same, of which candidates of one layer go by the widest angle from those already chosen."""
+    candidates, rows = _candidates(spark, sf_dir, F.floor(F.col("o_totalprice") / 100_000))
+    return routes.pick_diverse(candidates, rows, 3, (0.15, 0.4), ["req"], spread=True)
+
+
 QUERIES, ORACLES = query.queries, query.oracles

@@ -132,9 +132,9 @@ def test_counts(spark):
     stops = spark.createDataFrame([(2, "signal", 139.702, 35.68), (3, "signal", 139.703, 35.681), (4, "stop", 139.704, 35.68)], "node int, kind string, lon double, lat double")
     got = {(r.way, r.segment, r.kind): r.n for r in derive.place_counts(derive.segments(ways), stops).collect()}
     assert got == {(1, 0, "signal"): 1.5, (2, 0, "signal"): 0.5, (2, 0, "stop"): 0.5}
-    vertices = spark.createDataFrame([("b", 139.7, 35.6), ("a", 139.7, 35.6), ("c", 139.8, 35.6)], "edge string, lon double, lat double")
+    lines = spark.createDataFrame([(e, [(x, 35.6), (x + 0.0001, 35.6)]) for e, x in (("b", 139.7), ("a", 139.7), ("c", 139.8))], "edge string, points array<struct<lon:double,lat:double>>")
     accidents = spark.createDataFrame([(1, "bicycle", None, 1, 139.70001, 35.6), (2, "car", "bicycle", 0, 139.7, 35.60001), (3, "car", "car", 0, 139.7, 35.6), (4, "bicycle", None, 0, 139.75, 35.6)], "accident int, party_a string, party_b string, deaths int, lon double, lat double")
-    assert {r.edge: r.n for r in derive.accident_counts(vertices, accidents).collect()} == {"a": 4.0}
+    assert {r.edge: r.n for r in derive.accident_counts(lines, accidents).collect()} == {"a": 4.0}
 
 
 def test_elevation(spark):
@@ -190,7 +190,6 @@ def test_routes(spark):
     assert aggregates.overlap_ratio(loop, loop.where("b = 3"), "route", "a", "b", "l").first().overlap == pytest.approx(10 / 15)
     maps = spark.createDataFrame([("r", {"x": 1.0, "y": 4.0}, 1.0), ("r", {"x": 3.0}, 3.0)], "route string, m map<string,double>, w double")
     assert aggregates.merge_maps(maps, ["route"], "m", "w").first().m == {"x": 2.5, "y": 4.0}
-    assert [c["n"] for c in graph.pick_diverse([{"n": i} for i in range(5)], lambda a, b: 0.8 if a["n"] % 2 == b["n"] % 2 else 0.1, wanted=3)] == [0, 1, 2]
 
 
 def test_rasters(spark):
