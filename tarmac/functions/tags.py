@@ -80,14 +80,11 @@ def any_of(values: Iterable[Column], wanted: Iterable[str]) -> Column:
     return F.coalesce(F.exists(F.array(*values), lambda v: v.isin(*wanted)), F.lit(False))
 
 
-def cycleway_class(tags: Iterable[Column], highway: Column) -> Column:
-    """The most separate kind among the cycleway tags."""
+def cycleway_class(tags: Iterable[Column], highway: Column, bicycle: Column) -> Column:
+    """The most separate kind among the cycleway tags; a path for walkers that bicycles may use is shared."""
     tags = list(tags)
-    return (
-        F.when((highway == "cycleway") | any_of(tags, ["track", "separate"]), "separated")
-        .when(any_of(tags, ["lane", "opposite_lane"]), "lane")
-        .when(any_of(tags, ["shared_lane", "share_busway", "shared"]), "shared")
-    )
+    path = highway.isin("footway", "path") & bicycle.isin("yes", "designated")
+    return F.when((highway == "cycleway") | any_of(tags, ["track"]), "separated").when(any_of(tags, ["lane"]), "lane").when(any_of(tags, ["share_busway", "shared_lane"]) | path, "shared")
 
 
 def highway_rank(highway: Column) -> Column:

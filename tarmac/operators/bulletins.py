@@ -93,19 +93,19 @@ def nearest_station(points: DataFrame, stations: DataFrame, key: str, station: s
     """``(key, station, dist_m)``: the nearest station of every point, however far (the smaller id on ties).
 
     Points meet the stations of cells within a radius first; those without one ask again with a radius four times as
-    wide, until a radius spans the globe.  Stations are a table of some thousand rows, at most ``limit``.
+    wide, until a radius spans the globe.  The few points left then meet all
+    stations, in arrays of about ``limit`` a row.
     """
     from tarmac.operators.spatial import nearest
     from tarmac.storage import stored
 
-    if stations.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} stations")
     rest, found, radius = points.select(key, "lon", "lat"), None, radius_m
     while True:
         if radius > 2_000_000:  # few points are this far from everything
-            each = F.broadcast(stations.select(F.collect_list(F.struct(station, "lon", "lat")).alias("_all")))
+            parts = -(-stations.count() // limit) or 1
+            each = stations.groupBy(F.pmod(F.xxhash64(station), F.lit(parts)).alias("_p")).agg(F.collect_list(F.struct(station, "lon", "lat")).alias("_all"))
             far = F.transform("_all", lambda s: F.struct(haversine_m(F.col("lon"), F.col("lat"), s["lon"], s["lat"]).alias("d"), s[station].alias("s")))
-            last = rest.crossJoin(each).select(key, F.array_min(far).alias("_n")).select(key, F.col("_n.s").alias(station), F.col("_n.d").alias("dist_m")).where(F.col(station).isNotNull())
+            last = rest.crossJoin(each).select(key, F.array_min(far).alias("_n")).groupBy(key).agg(F.min("_n").alias("_n")).select(key, F.col("_n.s").alias(station), F.col("_n.d").alias("dist_m")).where(F.col(station).isNotNull())
             return last if found is None else found.unionByName(last)
         near = stored(nearest(rest, stations.select(station, "lon", "lat"), key, station, radius).select(key, station, "dist_m"))
         found = near if found is None else found.unionByName(near)

@@ -35,8 +35,11 @@ def _is(name: str, *values: str) -> Column:
     return T.absent_is_false(F.col("tags").isNotNull(), _tag(name).isin(*values))
 
 
+_CYCLEWAYS = ("cycleway", "cycleway:left", "cycleway:right", "cycleway:both")
+
+
 def _cycleway(*values: str) -> Column:
-    ways = [_tag(t) for t in ("cycleway", "cycleway:left", "cycleway:right", "cycleway:both")]
+    ways = [_tag(t) for t in _CYCLEWAYS]
     return T.absent_is_false(F.col("tags").isNotNull(), T.any_of(ways, values))
 
 
@@ -44,10 +47,6 @@ def _shared_path() -> Column:
     return T.absent_is_false(F.col("tags").isNotNull(), _tag("highway").isin("footway", "path") & _tag("bicycle").isin("yes", "designated"))
 
 
-def _cycleway_class() -> Column:
-    return F.when((_tag("highway") == "cycleway") | _cycleway("track", "separate"), "separated").when(_cycleway("lane", "opposite_lane"), "lane").when(_cycleway("shared_lane", "share_busway", "shared") | _shared_path(), "shared")
-
-
 def _listed() -> list[tuple[Material, str | None, Column]]:
     number = lambda name, unit, table, column, **more: (Material(name, "numeric", unit, **more), table, column)
     flag = lambda name, column, table=None: (Material(name, "boolean"), table, column)
@@ -78,7 +77,7 @@ def _listed() -> list[tuple[Material, str | None, Column]]:
         flag("cycleway_has_lane", _cycleway("lane")),
         flag("cycleway_has_shared", _cycleway("share_busway", "shared_lane")),
         flag("shared_pedestrian_path", _shared_path()),
-        kind("cycleway_class", _cycleway_class()),
+        kind("cycleway_class", T.cycleway_class([_tag(t) for t in _CYCLEWAYS], _tag("highway"), _tag("bicycle"))),
         kind("smoothness", _tag("smoothness")),
         kind("tracktype", _tag("tracktype")),
         *(number(f"{k}_count_per_km", "1/km", "counts", km(f"{k}_count"), additive=True) for k in STOP_KINDS),

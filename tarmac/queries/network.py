@@ -233,13 +233,13 @@ def directed_edges(spark, sf_dir):
 
 
 def _ways(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 400).alias("node")).groupBy("l_orderkey", "l_linenumber").agg(F.min("node").alias("node"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("node")).groupBy("l_orderkey", "l_linenumber").agg(F.min("node").alias("node"))
     x, y = 139 + F.col("node") * 37 % 1000 / 1000.0, 35 + F.col("node") * 61 % 700 / 1000.0
     rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "node", x.alias("lon"), y.alias("lat"))))
     return lines.groupBy(F.col("l_orderkey").alias("way")).agg(rows.alias("r")).select("way", F.col("r.node").alias("node_ids"), F.transform("r", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("points")).where(F.size("node_ids") > 1)
 
 
-_SEGMENTS = """v AS (SELECT l_orderkey AS way, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS pos, node, count(*) OVER (PARTITION BY l_orderkey) AS n FROM (SELECT l_orderkey, l_linenumber, min(l_partkey % 400) AS node FROM lineitem GROUP BY 1, 2)),
+_SEGMENTS = """v AS (SELECT l_orderkey AS way, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS pos, node, count(*) OVER (PARTITION BY l_orderkey) AS n FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS node FROM lineitem GROUP BY 1, 2)),
     w AS (SELECT way, pos, node, n, 139 + node * 37 % 1000 / 1000.0 AS lon, 35 + node * 61 % 700 / 1000.0 AS lat FROM v WHERE n > 1), c AS (SELECT *, count(*) OVER (PARTITION BY node) AS passes FROM w),
     cuts AS (SELECT way, pos AS s, node AS a, lead(pos) OVER o AS e, lead(node) OVER o AS b FROM c WHERE passes > 1 OR pos = 0 OR pos = n - 1 WINDOW o AS (PARTITION BY way ORDER BY pos)),
     spans AS (SELECT way, s, e FROM cuts WHERE e IS NOT NULL AND NOT (a = b AND e - s > 1) UNION ALL SELECT way, s, (s + e) // 2 FROM cuts WHERE a = b AND e - s > 1 UNION ALL SELECT way, (s + e) // 2, e FROM cuts WHERE a = b AND e - s > 1),

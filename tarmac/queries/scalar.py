@@ -178,7 +178,7 @@ def apparent_temperature(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(weather.apparent_temperature(t, h, w), 6).alias("apparent"), weather.heat_level(t).alias("level"))
 
 
-@query("""SELECT s_suppkey, lower(regexp_replace(s_name, '[^A-Za-z0-9]+', '', 'g')) AS key, '0' || (312345678 + s_suppkey)::VARCHAR AS phone, 'shop' || s_suppkey || '.example.com/a' AS site FROM supplier""")
+@query("""SELECT s_suppkey, lower(regexp_replace(s_name, '[ ・-]', '', 'g')) AS key, '0' || (312345678 + s_suppkey)::VARCHAR AS phone, 'shop' || s_suppkey || '.example.com/a/?utm=1#top' AS site FROM supplier""")
 def contact_keys(spark, sf_dir):
     key = F.col("s_suppkey")
     number = F.concat(F.lit("+81 "), (312_345_678 + key).cast("string"))
@@ -186,6 +186,16 @@ def contact_keys(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", text.name_key(F.col("s_name")).alias("key"), text.phone(number).alias("phone"), text.website(site).alias("site"))
 
 
+@query("""SELECT n_nationkey, array_to_string(list_sort(list_distinct([p || c || lower(n_name) || t, c || lower(n_name) || t, lower(n_name) || t] || CASE WHEN c <> '' THEN [p || lower(n_name) || t] ELSE [] END)), '|') AS keys FROM (SELECT *, n_regionkey || '県' AS p, CASE WHEN n_nationkey % 2 = 0 THEN '鶴郡' ELSE '' END AS c, CASE WHEN n_nationkey % 3 = 0 THEN '2-' ELSE '' END AS t FROM nation)""")
+def place_keys(spark, sf_dir):
+    """Nations as towns under a prefecture and, for every second, a county; every third with the tail of a block."""
+    n = F.col("n_nationkey")
+    names = F.array(F.concat(F.col("n_regionkey").cast("string"), F.lit("県")), F.when(n % 2 == 0, "鶴　郡").otherwise(""), F.concat(F.lit("大字 "), F.col("n_name")))
+    levels = F.array(F.lit("prefecture"), F.lit("county"), F.lit("city"))
+    tails = F.array(F.when(n % 3 == 0, "二丁目").otherwise(""))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(F.array_sort(text.place_keys(names, levels, tails)), "|").alias("keys"))
+
+
 @query("""SELECT n_nationkey, unnest(list_distinct([r_name || n_name, n_name])) AS key FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def address_keys(spark, sf_dir):
     both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))

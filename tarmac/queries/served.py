@@ -240,10 +240,10 @@ def nearest_places(spark, sf_dir):
     return places.nearest_places(_points(spark, sf_dir, "supplier", "s_suppkey"), "s_suppkey", 139.5, 35.3, 10).select("s_suppkey")
 
 
-@query("""SELECT 0 AS source, n_nationkey::BIGINT AS id, (row_number() OVER (ORDER BY n_nationkey))::INT AS position FROM nation WHERE n_nationkey < 5 UNION ALL SELECT 1, s_suppkey, (row_number() OVER (ORDER BY s_suppkey))::INT FROM supplier WHERE s_suppkey <= 5""")
+@query("""SELECT 0 AS source, n_nationkey::BIGINT AS id, (row_number() OVER (ORDER BY n_nationkey))::INT AS position FROM nation UNION ALL SELECT 1, s_suppkey, (row_number() OVER (ORDER BY s_suppkey))::INT FROM supplier""")
 def addresses_then_places(spark, sf_dir):
-    first = table(spark, sf_dir, "nation").where("n_nationkey < 5").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_nationkey") + 1).alias("position"))
-    second = table(spark, sf_dir, "supplier").where("s_suppkey <= 5").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") + 1).cast("int").alias("position"))
+    first = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_nationkey") + 1).alias("position"))
+    second = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") + 1).cast("int").alias("position"))
     return places.in_order(first, second)
 
 

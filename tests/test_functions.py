@@ -63,9 +63,16 @@ def test_tags(spark):
 
 def test_text(spark):
     got = values(spark, [("ＡＢＣ Café-1", "+81 (0)3-1234-5678", "https://www.Ex.com/a/?x#y"), (None, "", None)], "n string, p string, w string", text.name_key(F.col("n")), text.phone(F.col("p")), text.website(F.col("w")))
-    assert got == [("abccafé1", "0312345678", "ex.com/a"), (None, None, None)]
+    assert got == [("abccafé1", "0312345678", "ex.com/a/?x#y"), (None, None, None)]
     assert [text.written_number(t) for t in ("二十三", "百", "一二", "千二百", "x", "")] == [23, 100, 12, 1200, None, None]
-    assert text._address("東京都　千代田区一丁目２番３号") == "東京都千代田区1-2-3"
+    assert [text._address(t) for t in ("東京都　千代田区一丁目２番３号", "大字平井１２３番地", "二十三丁6", "霞ヶ関", "霞が関", "虎ノ門", "虎の門", "十", "〇五", "百二十", "ABC ー 1")] == ["東京都千代田区1-2番3号", "平井123番地", "23-6", "霞ケ関", "霞ケ関", "虎ノ門", "虎ノ門", "10", "5", "百20", "abc-1"]
+    assert [r[0] for r in values(spark, [("A & B (x)!",), ("Ａ－ｂ・c d",)], "n string", text.name_key(F.col("n")))] == ["a&b(x)!", "abcd"]
+    rows = [(["東京都", "西多摩郡", "日の出町", None, "大字平井"], ["prefecture", "county", "city", "ward", "oaza"], ["", "一丁目"]), ([None, ""], ["prefecture", "city"], [""])]
+    got = values(spark, rows, "n array<string>, l array<string>, t array<string>", text.place_keys(F.col("n"), F.col("l"), F.col("t")))
+    heads = ["東京都西多摩郡日ノ出町平井", "西多摩郡日ノ出町平井", "日ノ出町平井", "平井", "東京都日ノ出町平井"]
+    assert set(got[0][0]) == {h + t for h in heads for t in ("", "1-")} and got[1][0] == []
+    path = values(spark, [("separate", "x", None), ("track", "x", None), ("opposite_lane", "x", None), ("shared", "x", None), ("share_busway", "x", None), (None, "path", "designated"), (None, "cycleway", None)], "c string, h string, b string", tags.cycleway_class([F.col("c")], F.col("h"), F.col("b")))
+    assert [r[0] for r in path] == [None, "separated", None, None, "shared", "shared", "separated"]
     assert values(spark, [(["a", "b", "c"],)], "p array<string>", text.search_keys(F.col("p"))) == [(["abc", "bc", "c"],)]
 
 
