@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,3 +103,93 @@ def clipped_points(points: DataFrame, quadrant_x: int, quadrant_y: int, extent:
     half, pad = extent // 2, extent // margin
     inside = F.col("px").between(quadrant_x * half - pad, quadrant_x * half + half + pad) & F.col("py").between(quadrant_y * half - pad, quadrant_y * half + half + pad)
     return points.where(inside).withColumn("px", (F.col("px") - quadrant_x * half) * 2).withColumn("py", (F.col("py") - quadrant_y * half) * 2)
+
+
+def quadrant_box(quadrant_x: int, quadrant_y: int, extent: int = EXTENT, margin: int = 64) -> tuple[float, float, float, float]:
+    """West, top, east and bottom of a quadrant in its parent's units, ``margin`` units of the child around it (y grows southward)."""
+    half = extent // 2
+    return quadrant_x * half - margin, quadrant_y * half - margin, quadrant_x * half + half + margin, quadrant_y * half + half + margin
+
+
+def _point(x: Column, y: Column) -> Column:
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def clip_line(points: Column, box: tuple[float, float, float, float]) -> Column:
+    """The parts of a line (an array of ``x``, ``y``) inside a box, as an array of lines.
+
+    Each step keeps the span of it between its entry and its exit; steps that go on where the one before ended are one
+    part.  Where a line only touches the box nothing is left.
+    """
+    west, top, east, bottom = map(float, box)
+    n = F.size(points)
+
+    def span(i: Column) -> Column:
+        a, b = F.get(points, i), F.get(points, i + 1)
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        sides = [(-dx, a["x"] - west), (dx, east - a["x"]), (-dy, a["y"] - top), (dy, bottom - a["y"])]
+        enter = F.greatest(F.lit(0.0), *[F.coalesce(F.when(p < 0, q / p), F.lit(0.0)) for p, q in sides])
+        leave = F.least(F.lit(1.0), *[F.coalesce(F.when(p > 0, q / p), F.lit(1.0)) for p, q in sides])
+        beside = reduce(lambda u, v: u | v, [(p == 0) & (q < 0) for p, q in sides])
+        at = lambda t: F.when(t == 0, _point(a["x"], a["y"])).when(t == 1, _point(b["x"], b["y"])).otherwise(_point(a["x"] + dx * t, a["y"] + dy * t))
+        inside = ~beside & (enter < leave) & ((dx != 0) | (dy != 0))
+        return F.struct(inside.alias("inside"), (enter > 0).alias("entered"), at(enter).alias("a"), at(leave).alias("b"), (leave < 1).alias("left"), ((dx == 0) & (dy == 0)).alias("still"))
+
+    none = F.array().cast("array<struct<x:double,y:double>>")
+    start = F.struct(F.array().cast("array<array<struct<x:double,y:double>>>").alias("parts"), none.alias("open"))
+    closed = lambda s: F.when(F.size(s["open"]) > 1, F.concat(s["parts"], F.array(s["open"]))).otherwise(s["parts"])
+
+    def follow(s: Column, step: Column) -> Column:
+        fresh = step["entered"] | (F.size(s["open"]) == 0)
+        line = F.when(fresh, F.array(step["a"], step["b"])).otherwise(F.concat(s["open"], F.array(step["b"])))
+        before = F.when(fresh, closed(s)).otherwise(s["parts"])
+        going = F.struct(F.when(step["left"], F.concat(before, F.array(line))).otherwise(before).alias("parts"), F.when(step["left"], none).otherwise(line).alias("open"))
+        return F.when(step["still"], s).when(step["inside"], going).otherwise(F.struct(closed(s).alias("parts"), none.alias("open")))
+
+    steps = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), span)).otherwise(F.array().cast("array<struct<inside:boolean,entered:boolean,a:struct<x:double,y:double>,b:struct<x:double,y:double>,left:boolean,still:boolean>>"))
+    return F.aggregate(steps, start, follow, closed)
+
+
+def clip_ring(points: Column, box: tuple[float, float, float, float]) -> Column:
+    """A ring (an array of ``x``, ``y``, not closed) cut to a box, side by side; empty if nothing of it is inside.
+
+    A ring that leaves the box several times stays one ring, whose parts are joined along the box.
+    """
+    west, top, east, bottom = map(float, box)
+    none = F.array().cast("array<struct<x:double,y:double>>")
+    sides = F.array(*[F.struct(F.lit(upright).alias("upright"), F.lit(edge).alias("edge"), F.lit(sign).alias("sign")) for upright, edge, sign in ((True, west, 1.0), (True, east, -1.0), (False, top, 1.0), (False, bottom, -1.0))])
+
+    def cut(ring: Column, side: Column) -> Column:
+        """One fold a side, so that the ring so far is a value and not an expression again."""
+        depth = lambda q: (F.when(side["upright"], q["x"]).otherwise(q["y"]) - side["edge"]) * side["sign"]
+
+        def corner(p: Column, i: Column) -> Column:
+            before = F.get(ring, F.pmod(i - 1, F.size(ring)))
+            share = F.try_divide(depth(before), depth(before) - depth(p))
+            met = F.when(side["upright"], _point(side["edge"], before["y"] + (p["y"] - before["y"]) * share)).otherwise(_point(before["x"] + (p["x"] - before["x"]) * share, side["edge"]))
+            here, there = depth(p) >= 0, depth(before) >= 0
+            return F.when(here & there, F.array(p)).when(here, F.array(met, p)).when(there, F.array(met)).otherwise(none)
+
+        return F.flatten(F.transform(ring, corner))
+
+    ring = F.aggregate(sides, F.transform(points, lambda p: _point(p["x"], p["y"])), cut)
+    return F.when(F.size(ring) > 2, ring).otherwise(none)
+
+
+def to_child(points: Column, quadrant_x: int, quadrant_y: int, extent: int = EXTENT) -> Column:
+    """Points of a parent tile in the units of one of its quadrants."""
+    half = extent // 2
+    return F.transform(points, lambda p: _point((p["x"] - quadrant_x * half) * 2, (p["y"] - quadrant_y * half) * 2))
+
+
+def line_span(points: Column) -> Column:
+    """Length of a line on the plane."""
+    n = F.size(points)
+    step = lambda i: F.hypot(F.get(points, i + 1)["x"] - F.get(points, i)["x"], F.get(points, i + 1)["y"] - F.get(points, i)["y"])
+    return F.aggregate(F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), step)).otherwise(F.array().cast("array<double>")), F.lit(0.0), lambda a, x: a + x)
+
+
+def ring_area(points: Column) -> Column:
+    """Area of a ring on the plane."""
+    after = lambda i: F.get(points, F.pmod(i + 1, F.size(points)))
+    return F.abs(F.aggregate(F.transform(points, lambda p, i: p["x"] * after(i)["y"] - after(i)["x"] * p["y"]), F.lit(0.0), lambda a, x: a + x)) / 2
