@@ -53,6 +53,14 @@ def hourly_history(spark, sf_dir):
     return history.select("event_type", F.unix_timestamp("hour").alias("hour"), F.round("value", 6).alias("value"))
 
 
+@query("""WITH h AS (SELECT DISTINCT event_type, date_trunc('hour', ts) AS hour FROM events), l AS (SELECT max(hour) AS last FROM h), w AS (SELECT DISTINCT event_type, unnest(generate_series(last - INTERVAL 71 HOUR, last, INTERVAL 1 HOUR)) AS hour FROM h, l)
+    SELECT event_type, epoch(hour)::BIGINT AS hour FROM w ANTI JOIN h USING (event_type, hour)""")
+def missing_hours(spark, sf_dir):
+    """Hours of the last 72 that an event type has no value for, to be asked for again."""
+    events = _events(spark, sf_dir).select("event_type", F.date_trunc("hour", "at").alias("hour"), F.lit(1.0).alias("value")).distinct()
+    return feeds.missing_hours(events, ("event_type",)).select("event_type", F.unix_timestamp("hour").alias("hour"))
+
+
 @query("""SELECT a.event_id, (SELECT count(*) FROM events b WHERE b.user_id = a.user_id AND b.ts <= a.ts AND b.ts > a.ts - INTERVAL 3600 SECOND) <= 2 AS allowed FROM events a""")
 def rate_limit(spark, sf_dir):
     return feeds.rate_limited(_events(spark, sf_dir), "user_id", "at", 2, 3600).select("event_id", "allowed")
