@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarmac.operators import derive, graph, places, search, spatial
@@ -322,4 +323,14 @@ def snapped_points(spark, sf_dir):
     return spatial.nearest(points, own, "c_custkey", "node", 5000).select("c_custkey", "node")
 
 
+@query("""WITH e AS (SELECT o_orderkey AS edge, o_custkey % 7 AS tail, o_orderkey % 7 AS head FROM orders), r AS (SELECT l_orderkey AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS step, l_partkey * 3 AS edge FROM lineitem),
+    k AS (SELECT path, step, tail, lag(head) OVER (PARTITION BY path ORDER BY step) AS before FROM r LEFT JOIN e USING (edge)) SELECT path, step::INT AS step FROM k WHERE tail IS NULL OR before <> tail""")
+def path_breaks(spark, sf_dir):
+    """Steps of orders, read as paths over other orders, that are no edge or do not start where the one before ended."""
+    by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.row_number().over(by).alias("step"), (F.col("l_partkey") * 3).alias("edge"))
+    edges = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("edge"), (F.col("o_custkey") % 7).alias("tail"), (F.col("o_orderkey") % 7).alias("head"))
+    return graph.check_path(rows, edges).select("path", "step")
+
+
 QUERIES, ORACLES = query.queries, query.oracles

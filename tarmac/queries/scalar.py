@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarmac.functions import geo, numbers, tags, text, weather
+from tarmac.operators import places, spatial
 from tarmac.queries.registry import Registry, exact_tenth, table
 
 query = Registry()
@@ -178,6 +179,40 @@ def apparent_temperature(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(weather.apparent_temperature(t, h, w), 6).alias("apparent"), weather.heat_level(t).alias("level"))
 
 
+@query("""SELECT o_orderkey, (floor((o_custkey % 500 * 1800 + o_totalprice / 10000 * 1.3 / 20.0 * 3600) / 3600) * 3600)::BIGINT AS hour FROM orders""")
+def passage_hours(spark, sf_dir):
+    """The hour in which a rider who starts at half hours passes a point some kilometres away."""
+    hour = weather.passage_hour(F.timestamp_seconds(F.col("o_custkey") % 500 * 1800), F.col("o_totalprice") / 10_000, 20.0)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.unix_timestamp(hour).alias("hour"))
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END::INT AS rank FROM supplier""")
+def warning_ranks(spark, sf_dir):
+    names = F.array(*map(F.lit, ("大雨特別警報", "洪水警報", "強風注意報", "flood emergency")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", weather.warning_severity(F.get(names, (F.col("s_suppkey") % 4).cast("int"))).alias("rank"))
+
+
+@query("""SELECT p_partkey, c // 65536 % 256 AS red, c // 256 % 256 AS green, c % 256 AS blue FROM (SELECT p_partkey, (round_even((p_partkey * 37 % 4000 + 0.26 - 400 + 10000) * 10, 0))::INT AS c FROM part)""")
+def terrain_colours(spark, sf_dir):
+    """Elevations as the colours of a terrain tile."""
+    red, green, blue = spatial.terrain_rgb(F.col("p_partkey") * 37 % 4000 + 0.26 - 400)
+    return table(spark, sf_dir, "part").select("p_partkey", red.alias("red"), green.alias("green"), blue.alias("blue"))
+
+
+@query("""SELECT p_partkey, CASE WHEN contains(p_type, 'BRUSHED') THEN 'brush' WHEN contains(p_type, 'STEEL') THEN 'smith' WHEN contains(p_type, 'ECONOMY') THEN 'thrift' END AS chain FROM part""")
+def chain_words(spark, sf_dir):
+    """The chain of the first word that a name contains."""
+    return table(spark, sf_dir, "part").select("p_partkey", places.chain_of(F.col("p_type"), {"BRUSHED": "brush", "STEEL": "smith", "ECONOMY": "thrift"}).alias("chain"))
+
+
+@query("""SELECT c_custkey, round(avg(lon) OVER (PARTITION BY c_nationkey), 6) AS lon, round(avg(lat) OVER (PARTITION BY c_nationkey), 6) AS lat FROM (SELECT c_custkey, c_nationkey, 139 + c_custkey * 37 % 1000 / 1000.0 AS lon, 35 + c_custkey * 61 % 700 / 1000.0 AS lat FROM customer)""")
+def mean_points(spark, sf_dir):
+    """Each customer with the middle of its nation's customers."""
+    lon, lat = place("c_custkey")
+    middle = spatial.mean_point(["c_nationkey"])
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", lon.alias("lon"), lat.alias("lat")).select("c_custkey", F.round(middle[0], 6).alias("lon"), F.round(middle[1], 6).alias("lat"))
+
+
 @query("""SELECT s_suppkey, lower(regexp_replace(s_name, '[ ・-]', '', 'g')) AS key, '0' || (312345678 + s_suppkey)::VARCHAR AS phone, 'shop' || s_suppkey || '.example.com/a/?utm=1#top' AS site FROM supplier""")
 def contact_keys(spark, sf_dir):
     key = F.col("s_suppkey")
