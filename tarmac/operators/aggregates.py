@@ -53,11 +53,11 @@ def spread(df: DataFrame, keys: Sequence[str], value: str, weight: str, targets:
     return weighted_quantiles(df, keys, value, weight, targets).join(zero, list(keys))
 
 
-def preview(df: DataFrame, keys: Sequence[str], value: str, weight: str, share: float, limit: int, targets: Sequence[float], seed: int = 7) -> DataFrame:
-    """Quantiles and the share at zero of a seeded sample of at most ``limit`` rows, for a quick look at a material."""
+def preview(df: DataFrame, keys: Sequence[str], value: str, weight: str, share: float, limit: int | None, targets: Sequence[float], seed: int = 7) -> DataFrame:
+    """Quantiles and the share at zero of a seeded sample of at most ``limit`` rows (None: all of the sample), for a quick look at a material."""
     sample = df.select(*keys, value, weight)
-    sample = (sample.sample(share, seed=seed) if share < 1 else sample).limit(limit)
-    return spread(sample, keys, value, weight, targets)
+    sample = sample.sample(share, seed=seed) if share < 1 else sample
+    return spread(sample if limit is None else sample.limit(limit), keys, value, weight, targets)
 
 
 def category_shares(df: DataFrame, keys: Sequence[str], category: str, weight: str, digits: int = 4) -> DataFrame:

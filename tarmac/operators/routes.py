@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tarmac.functions.geo import folded_angle_deg, haversine_m
 from tarmac.functions.numbers import round_tenth
 from tarmac.operators.aggregates import weighted_mean
+from tarmac.operators.prefix import running
 from tarmac.operators.windows import pareto_layers
 from tarmac.storage import measured, stored
 
@@ -45,8 +46,9 @@ def ranked_candidates(df: DataFrame, key: str, distance: str, cost: str, seconds
     """
     df = df.withColumn("difficulty", round_tenth((F.col(cost) / F.col(seconds) - 1) * 100 / penalty)).withColumn("_near", F.floor(F.col(distance) / distance_step))
     layered = pareto_layers(df, "_near", "difficulty", layers)
-    order = Window.partitionBy(F.lit(0)).orderBy(F.coalesce("layer", F.lit(layers)), "difficulty", distance, key)  # candidates of one request
-    return layered.withColumn("position", F.row_number().over(order)).drop("_near")
+    order = F.struct(F.coalesce("layer", F.lit(layers)), "difficulty", distance, key)
+    placed = running(layered.drop("_near").withColumn("_order", order).withColumn("_one", F.lit(1)), [], "_order", "_one")
+    return placed.withColumn("position", F.col("running").cast("int")).drop("_order", "_one", "running")
 
 
 def spread_order(remaining: DataFrame, chosen: DataFrame, key: str, bearing: str, closeness: str) -> DataFrame:

@@ -264,7 +264,7 @@ def points_along(spark, sf_dir):
     SELECT p_brand, min(v) FILTER (upto >= total * 0.25 - total * 1e-12) AS q250, min(v) FILTER (upto >= total * 0.5 - total * 1e-12) AS q500, min(v) FILTER (upto >= total * 0.75 - total * 1e-12) AS q750, round(coalesce(sum(w) FILTER (v = 0), 0) / sum(w), 6) AS zero_share FROM c GROUP BY 1""")
 def value_preview(spark, sf_dir):
     """What a preview shows of a sample, here of everything: quartiles by weight and the share at zero."""
-    out = preview(table(spark, sf_dir, "part"), ["p_brand"], "p_size", "p_retailprice", 1.0, 1_000_000_000, [0.25, 0.5, 0.75])
+    out = preview(table(spark, sf_dir, "part"), ["p_brand"], "p_size", "p_retailprice", 1.0, None, [0.25, 0.5, 0.75])
     return out.select("p_brand", "q250", "q500", "q750", F.round("zero_share", 6).alias("zero_share"))
 
 
