@@ -1,14 +1,19 @@
-"""Line dedup by pairwise alignment: shared runs of lines find overlapping documents, patience diff aligns them.
-
-Runs of adjacent lines are looked up by hash: the shortest ones of ``min_chars`` from each line on and up to it,
-adjacent pairs, the shortest long ones, and whole documents.  A run that occurs in more than one document links each
-later document to the first that has it ("later" by id, null first, then row key), so a run in n documents makes n - 1
-pairs and no pair list is capped.  A linked run goes from the later document if it is rare (in at most ``rare``
-documents or, in large tables, ``rare_share`` of all), if it is long (``long_chars`` characters, or more than a sixth
-as many words), or if it is all of its document, however many have it.  Common boilerplate between texts of a
-document's own stays.  A rare run makes a pair, which is aligned on all lines that the two share, common ones included:
-lines that occur once in both anchor a longest increasing run, gaps between anchors are aligned likewise, and what
-touches an anchor extends it.  An aligned block that holds the run goes whole.
+"""Line dedup by pairwise alignment: shared rare lines find overlapping documents, patience diff aligns them.
+
+A line is looked up by hash as the shortest run of ``min_chars`` from it on, and up to it: most lines are such a run by
+themselves, short ones take their neighbours, so what is looked up is rare by itself.  A document shorter than that is
+looked up whole.  Whatever occurs in more than one document links each later document to the first that has it ("later"
+by id, null first, then row key), so n copies make n - 1 pairs at any n, and no list is capped.
+
+Each pair is aligned by patience diff on all lines that the two share, common ones included: lines that occur once in
+both anchor a longest increasing run, gaps between anchors are aligned likewise, and what touches an anchor extends it.
+Only aligned blocks go, from the later document: those that hold a line that made the pair, and shorter ones at most
+``gap`` lines from such a block in both documents, as between the changes of an edited copy.  A line that made the pair
+but stands in another order is an anchor by itself, and its block what extends it.
+
+Everything goes at any number of copies by default.  With ``rare``, a block goes only if it holds a line, or two adjacent
+ones, that at most ``rare`` documents have (or ``rare_share`` of all, where that is more), is long (``long_chars`` characters, or more than
+a sixth as many words), or is all of its document; other frequent lines, as license notes, then stay everywhere.
 
 Lines are compared as they are.  Blank lines link nothing, end no block and stay.  Null text has no lines and stays
 null.  Rows alike in id and text are one document here, and change alike.  Lines and runs are hashed to 128 bits.
@@ -17,6 +22,7 @@ null.  Rows alike in id and text are one document here, and change alike.  Lines
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -74,18 +80,16 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def blocks(later: dict[int, object], earlier: dict[int, object]) -> list[list[int]]:
-    """Lines of the later document in aligned blocks; both map line numbers to the lines that the pair shares."""
+def blocks(later: dict[int, object], earlier: dict[int, object]) -> list[tuple[int, int, int]]:
+    """Aligned blocks ``(first line of the later document, of the earlier one, lines)``; both map line numbers to shared lines."""
     mine, theirs = sorted(later), sorted(earlier)
-    pairs = patience([later[i] for i in mine], [earlier[i] for i in theirs])
-    out: list[list[int]] = []
-    last = (-2, -2)
-    for i, j in ((mine[x], theirs[y]) for x, y in pairs):
-        if (i, j) == (last[0] + 1, last[1] + 1):
-            out[-1].append(i)
+    out: list[tuple[int, int, int]] = []
+    for x, y in patience([later[i] for i in mine], [earlier[j] for j in theirs]):
+        i, j = mine[x], theirs[y]
+        if out and (i, j) == (out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]):
+            out[-1] = (*out[-1][:2], out[-1][2] + 1)
         else:
-            out.append([i])
-        last = (i, j)
+            out.append((i, j, 1))
     return out
 
 
@@ -116,47 +120,38 @@ def _line_lists(docs: DataFrame) -> DataFrame:
     return emit_rows(docs.dropDuplicates(["_row"]), run, fields)
 
 
-def spans(rows: np.ndarray, chars: np.ndarray, words: np.ndarray, min_chars: int, long_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(start, end, sure)`` of the runs that are looked up, where ``rows[i]:rows[i + 1]`` are the lines of document ``i``.
+def spans(rows: np.ndarray, chars: np.ndarray, min_chars: int, twos: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """``(start, end)`` of the runs that are looked up, where ``rows[i]:rows[i + 1]`` are the lines of document ``i``.
 
-    From each line on and up to each line: the shortest run of at least ``min_chars``, and the shortest long one; two
-    adjacent lines of at least ``min_chars``; and all lines of a document.  Long runs and whole documents are ``sure``.
-    Every line of a block of either size lies in such a run inside the block.
+    The shortest run of at least ``min_chars`` from each line on and up to each line, and all lines of a document that has
+    none.  Every line of a block of that size lies in such a run inside the block.  With ``twos`` also two adjacent lines,
+    which may be rare where neither is.
     """
-    size, count = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (chars, words))
-    line = np.arange(len(chars))
+    size = np.concatenate([[0], np.cumsum(chars, dtype=np.int64)])
+    line, least = np.arange(len(chars)), max(min_chars, 1)
     doc = np.searchsorted(rows, line, "right") - 1
-    low, high = rows[doc], rows[doc + 1]
-    ends_at = lambda total, least: np.searchsorted(total, total[:-1] + least)
-    starts_at = lambda total, least: np.searchsorted(total, total[1:] - least, "right") - 1
-    least, many = max(min_chars, 1), long_chars // LETTERS + 1
-    long_end, long_start = np.minimum(ends_at(size, long_chars), ends_at(count, many)), np.maximum(starts_at(size, long_chars), starts_at(count, many))
-    some = np.flatnonzero(np.diff(rows))
-    found = [(line, ends_at(size, least)), (starts_at(size, least), line + 1), (line, line + 2), (line, long_end), (long_start, line + 1)]
-    start, end, doc = (np.concatenate(x) for x in ([*(f[0] for f in found), rows[some]], [*(f[1] for f in found), rows[some + 1]], [doc] * 5 + [some]))
-    low, high = rows[doc], rows[doc + 1]
-    inside = (start >= low) & (end <= high)
-    start, end, low, high = start[inside], end[inside], low[inside], high[inside]
-    whole = (start == low) & (end == high)
-    enough = whole | (size[end] - size[start] >= least)
-    start, end, whole = start[enough], end[enough], whole[enough]
+    ends, starts = np.searchsorted(size, size[:-1] + least), np.searchsorted(size, size[1:] - least, "right") - 1
+    ahead, behind = ends <= rows[doc + 1], starts >= rows[doc]
+    short = np.flatnonzero((np.diff(rows) > 0) & (size[rows[1:]] - size[rows[:-1]] < least))
+    two = np.flatnonzero((line + 2 <= rows[doc + 1]) & (size[np.minimum(line + 2, len(chars))] - size[:-1] >= least)) if twos else line[:0]
+    start = np.concatenate([line[ahead], starts[behind], rows[short], two])
+    end = np.concatenate([ends[ahead], line[behind] + 1, rows[short + 1], two + 2])
     _, once = np.unique(start * (len(chars) + 1) + end, return_index=True)
-    start, end, whole = start[once], end[once], whole[once]
-    return start, end, whole | (size[end] - size[start] >= long_chars) | (count[end] - count[start] >= many)
+    return start[once], end[once]
 
 
-def _runs(lists: DataFrame, min_chars: int, long_chars: int) -> DataFrame:
-    """``(_id, _row, h1, h2, at, n, sure)`` for each document and different run of lines: where it starts, and its lines."""
+def _runs(lists: DataFrame, min_chars: int, twos: bool) -> DataFrame:
+    """``(_id, _row, h1, h2, at, n)`` for each document and different run of lines: where it starts, and its lines."""
 
     def run(batches):
         for batch in batches:
             flat = lambda c: batch.column(c).flatten().to_numpy()  # noqa: E731, B023
             rows = np.concatenate([[0], np.cumsum(batch.column("chars").value_lengths().to_numpy())]).astype(np.int64)
-            start, end, sure = spans(rows, flat("chars"), flat("words"), min_chars, long_chars)
+            start, end = spans(rows, flat("chars"), min_chars, twos)
             h1, h2 = FIRST.spans(flat("h1").view(np.uint64), start, end), SECOND.spans(flat("h2").view(np.uint64), start, end)
             doc = np.searchsorted(rows, start, "right") - 1
             order = np.lexsort((start, h2, h1, doc))
-            start, end, sure, h1, h2, doc = (x[order] for x in (start, end, sure, h1, h2, doc))
+            start, end, h1, h2, doc = (x[order] for x in (start, end, h1, h2, doc))
             new = np.ones(len(doc), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
             first = np.flatnonzero(new)
@@ -164,69 +159,96 @@ def _runs(lists: DataFrame, min_chars: int, long_chars: int) -> DataFrame:
             at = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array((start - rows[doc]).astype(np.int32)))
             yield {
                 "_id": own.column("_id"), "_row": own.column("_row"), "h1": pa.array(h1[first].view(np.int64)), "h2": pa.array(h2[first].view(np.int64)),
-                "at": at, "n": pa.array((end - start)[first].astype(np.int32)), "sure": pa.array(sure[first]),
+                "at": at, "n": pa.array((end - start)[first].astype(np.int32)),
             }
 
-    fields = {"_id": lists.schema["_id"].dataType, "_row": T.BinaryType(), "h1": T.LongType(), "h2": T.LongType(), "at": T.ArrayType(T.IntegerType()), "n": T.IntegerType(), "sure": T.BooleanType()}
+    fields = {"_id": lists.schema["_id"].dataType, "_row": T.BinaryType(), "h1": T.LongType(), "h2": T.LongType(), "at": T.ArrayType(T.IntegerType()), "n": T.IntegerType()}
     return emit_rows(lists, run, fields)
 
 
-def widened(later: list[int], earlier: list[int], runs: list[tuple[int, int]]) -> set[int]:
-    """Lines of the later document in aligned blocks that hold one of its ``runs`` (first line, number of lines).
+def cut(later: list, earlier: list, linked: dict[tuple[int, int], bool], large: Callable[[int, int], bool], gap: int) -> set[int]:
+    """Lines of the later document in aligned blocks that go.
 
-    All lines that both have are aligned; what is left is aligned again, so blocks in another order are found too.
+    ``linked`` are the runs ``(first line, lines)`` that made the pair, each in both documents, and whether one is rare.
+    ``large(first, end)`` tells of a block whether it goes without a rare run.
     """
+    ends: dict[int, int] = {}
+    for (s, n), rare in linked.items():
+        if rare:
+            ends[s] = min(s + n, ends.get(s, s + n))
+    goes = lambda i, n: large(i, i + n) or any(ends.get(x, i + n + 1) <= i + n for x in range(i, i + n))
     both = set(later) & set(earlier)
-    mine, theirs = {i: x for i, x in enumerate(later) if x in both}, {j: x for j, x in enumerate(earlier) if x in both}
-    gone: set[int] = set()
-    todo = runs
-    while todo:
-        held = [b for b in blocks(mine, theirs) if any(b[0] <= s and s + n - 1 <= b[-1] for s, n in todo)]
-        if not held:
-            break
-        for block in held:
-            gone.update(block)
-            for i in block:
-                del mine[i]
-        todo = [(s, n) for s, n in todo if all(i in mine for i in range(s, s + n))]
+    found = blocks({i: x for i, x in enumerate(later) if x in both}, {j: x for j, x in enumerate(earlier) if x in both})
+    taken = [goes(i, n) for i, _, n in found]
+    near = [i1 - i0 - n <= gap and j1 - j0 - n <= gap for (i0, j0, n), (i1, j1, _) in zip(found, found[1:], strict=False)]
+    for k in range(1, len(found)):
+        taken[k] = taken[k] or (taken[k - 1] and near[k - 1])
+    for k in range(len(found) - 2, -1, -1):
+        taken[k] = taken[k] or (taken[k + 1] and near[k])
+    gone = {x for (i, _, n), t in zip(found, taken, strict=True) if t for x in range(i, i + n)}
+    moved = [(s, n) for s, n in linked if not gone.issuperset(range(s, s + n))]
+    first: dict[tuple, int] = {}
+    for n in {n for _, n in moved}:
+        for j in range(len(earlier) - n + 1):
+            first.setdefault(tuple(earlier[j : j + n]), j)
+    for s, n in sorted(moved):
+        if gone.issuperset(range(s, s + n)):
+            continue
+        j = first[tuple(later[s : s + n])]
+        i, end, last = s, s + n, j + n
+        while i and j and later[i - 1] == earlier[j - 1]:
+            i, j = i - 1, j - 1
+        while end < len(later) and last < len(earlier) and later[end] == earlier[last]:
+            end, last = end + 1, last + 1
+        if goes(i, end - i):
+            gone.update(range(i, end))
     return gone
 
 
 def removals(
-    docs: DataFrame, rare: int = 100, min_chars: int = 40, long_chars: int = 300, doc_id: str = "doc_id", text: str = "text", rare_share: float = 0.01
+    docs: DataFrame, rare: int | None = None, min_chars: int = 40, long_chars: int = 300, doc_id: str = "doc_id", text: str = "text", rare_share: float = 0.01, gap: int = 2
 ) -> DataFrame:
     """``(_row, gone)``: for each row key with removed lines, a mask by line number."""
     # rows alike in id and text are one document
     lists = stored(_line_lists(docs.select(quoted(doc_id).alias("_id"), row_key(doc_id, text).alias("_row"), quoted(text).alias("_text"))))
-    limit = max(rare, int(rare_share * lists.count()))
-    rows = _runs(lists, min_chars, long_chars)
+    few = F.lit(True) if rare is None else F.col("docs") <= max(rare, int(rare_share * lists.count()))
+    rows = _runs(lists, min_chars, rare is not None)
     shared = rows.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.min(F.struct("_id", "_row")).alias("first"))
-    shared = stored(shared.where("docs > 1").select("h1", "h2", (F.col("docs") <= limit).alias("rare"), F.col("first._row").alias("owner")))
-    links = rows.select("_row", "h1", "h2", "at", "n", "sure").join(shared, ["h1", "h2"]).where("_row <> owner and (sure or rare)")
-    links = stored(links.select("_row", F.when(F.col("rare"), F.col("owner")).alias("owner"), "at", "n"))
-    partners = links.where("owner is not null").select("_row", "owner").distinct().join(lists.select(F.col("_row").alias("owner"), F.col("h1").alias("theirs")), "owner")
-    partners = partners.groupBy("_row").agg(F.collect_list(F.struct("owner", "theirs")).alias("partners"))
-    found = links.groupBy("_row").agg(F.collect_list(F.struct("owner", "at", "n")).alias("runs")).join(partners, "_row", "left").join(lists.select("_row", "h1", "number"), "_row")
-
-    def align(batches):
+    shared = shared.where("docs > 1").select("h1", "h2", few.alias("rare"), F.col("first._row").alias("owner"))
+    links = rows.select("_row", "h1", "h2", "at", "n").join(shared, ["h1", "h2"]).where("_row <> owner").select("_row", "owner", F.explode("at").alias("at"), "n", "rare")
+    # a pair's runs are lines of one document, and so a bounded list
+    pairs = stored(links.groupBy("_row", "owner").agg(F.collect_list(F.struct("at", "n", "rare")).alias("runs")))
+    # each document's own lines come first, then its partners one a row, so they pass through a task without being gathered
+    own = lists.join(pairs.select("_row").distinct(), "_row", "left_semi").select("_row", F.lit(None).cast("binary").alias("owner"), "h1", "number", "chars", "words", F.lit(None).cast(pairs.schema["runs"].dataType).alias("runs"))
+    theirs = pairs.join(lists.select(F.col("_row").alias("owner"), "h1"), "owner")
+    theirs = theirs.select("_row", "owner", "h1", *[F.lit(None).cast("array<int>").alias(c) for c in ("number", "chars", "words")], "runs")
+    found = own.unionByName(theirs).repartition("_row").sortWithinPartitions("_row", "owner")
+
+    def fold(batches):
+        key, gone = None, set()
+
+        def mask():
+            lines_gone = {number[x] for x in gone}
+            return {"_row": pa.array([key], pa.binary()), "gone": pa.array([[x in lines_gone for x in range(max(lines_gone) + 1)]], pa.list_(pa.bool_()))}
+
         for batch in batches:
-            keys, masks = [], []
-            for i, key in enumerate(batch.column("_row").to_pylist()):
-                mine, number = batch.column("h1")[i].as_py(), batch.column("number")[i].as_py()
-                gone: set[int] = set()
-                by_owner: dict[bytes, list[tuple[int, int]]] = {}
-                for x in batch.column("runs")[i].as_py():
-                    for s in x["at"]:
-                        gone.update(range(s, s + x["n"]))
-                        by_owner.setdefault(x["owner"], []).append((s, x["n"]))
-                for partner in batch.column("partners")[i] if len(gone) < len(mine) and batch.column("partners")[i].is_valid else ():
-                    gone |= widened(mine, partner["theirs"].as_py(), by_owner[partner["owner"].as_py()])
-                keys.append(key)
-                cut = {number[x] for x in gone}
-                masks.append([x in cut for x in range(max(cut) + 1)])
-            yield {"_row": pa.array(keys, pa.binary()), "gone": pa.array(masks, pa.list_(pa.bool_()))}
-
-    return emit_rows(found, align, {"_row": T.BinaryType(), "gone": T.ArrayType(T.BooleanType())})
+            column = {c: batch.column(c) for c in ("_row", "owner", "h1", "number", "chars", "words", "runs")}
+            for i in range(batch.num_rows):
+                listed = column["h1"][i].values.to_numpy(zero_copy_only=False).tolist()
+                if not column["owner"][i].is_valid:
+                    if gone:
+                        yield mask()
+                    key, gone, mine = column["_row"][i].as_py(), set(), listed
+                    number = column["number"][i].as_py()
+                    size, count = (np.concatenate([[0], np.cumsum(column[c][i].as_py(), dtype=np.int64)]).tolist() for c in ("chars", "words"))
+                elif len(gone) < len(mine):
+                    linked = {(x["at"], x["n"]): x["rare"] for x in column["runs"][i].as_py()}
+                    large = lambda a, b: (b - a == len(mine) or size[b] - size[a] >= long_chars or (count[b] - count[a]) * LETTERS > long_chars)  # noqa: E731, B023
+                    gone |= cut(mine, listed, linked, large, gap)
+        if gone:
+            yield mask()
+
+    return emit_rows(found, fold, {"_row": T.BinaryType(), "gone": T.ArrayType(T.BooleanType())})
 
 
 def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
