@@ -46,9 +46,10 @@ def conditional_lateral(spark, sf_dir):
 
 @query("""SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM customer JOIN orders ON o_custkey = c_custkey) WHERE n = 1""")
 def lateral_lookup(spark, sf_dir):
+    """The dearest order of each customer's key, which counts once however many rows have it."""
     for name in ("customer", "orders"):
         table(spark, sf_dir, name).createOrReplaceTempView(f"_lateral_{name}")
-    return spark.sql("SELECT c_custkey, o_orderkey FROM _lateral_customer, LATERAL (SELECT o_orderkey FROM _lateral_orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1)")
+    return spark.sql("SELECT c_custkey, o_orderkey FROM (SELECT DISTINCT c_custkey FROM _lateral_customer), LATERAL (SELECT o_orderkey FROM _lateral_orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey NULLS LAST LIMIT 1)")
 
 
 @query("""SELECT p_partkey AS k, a, b FROM (SELECT p_partkey, p_size AS a FROM part WHERE p_size < 30) FULL JOIN (SELECT l_partkey AS p_partkey, count(*) AS b FROM lineitem WHERE l_quantity > 45 GROUP BY 1) USING (p_partkey)""")
