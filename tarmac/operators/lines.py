@@ -46,20 +46,30 @@ def _in_cells(df: DataFrame, a: Column, b: Column, radius_m: float, cell_m: floa
 
 
 def near_lines(points: DataFrame, lines: DataFrame, radius_m: float, longest_m: float = 100.0) -> DataFrame:
-    """Pairs of points (``lon``, ``lat``) and lines (``points``) at most ``radius_m`` apart, once each, with ``dist_m``; columns else differ."""
-    cut = pieces(lines, longest_m=longest_m)
-    theirs = _in_cells(cut, F.col("a"), F.col("b"), radius_m, longest_m)
+    """Pairs of points (``lon``, ``lat``) and lines (``points``) at most ``radius_m`` apart, once each, with ``dist_m``; columns else differ.
+
+    Pieces and cells are no shorter than the radius, so a piece lies in a dozen cells or so.  Their copies are never broadcast:
+    what Spark knows of their size is that of the lines.
+    """
+    longest = max(longest_m, radius_m)
+    cut = pieces(lines, longest_m=longest)
+    theirs = _in_cells(cut, F.col("a"), F.col("b"), radius_m, longest)
     spot = F.struct("lon", "lat")
-    met = _in_cells(points, spot, spot, 0.0, longest_m).join(theirs, ["_x", "_y"]).withColumn("dist_m", point_piece_m(F.col("lon"), F.col("lat"), F.col("a"), F.col("b")))
+    met = _in_cells(points, spot, spot, 0.0, longest).join(theirs.hint("merge"), ["_x", "_y"]).withColumn("dist_m", point_piece_m(F.col("lon"), F.col("lat"), F.col("a"), F.col("b")))
     rest = [c for c in met.columns if c not in ("_x", "_y", "a", "b", "dist_m")]
     return met.where(F.col("dist_m") <= radius_m).groupBy(*rest).agg(F.min("dist_m").alias("dist_m"))
 
 
 def nearest_line(points: DataFrame, lines: DataFrame, point_key: str, line_key: str, radius_m: float) -> DataFrame:
-    """``(point_key, line_key, dist_m)``: the nearest line of each point within the radius; the smaller key on ties."""
-    met = near_lines(points.select(point_key, "lon", "lat"), lines.select(line_key, "points"), radius_m)
-    best = met.groupBy(point_key).agg(F.min(F.struct("dist_m", line_key)).alias("_b"))
-    return best.select(point_key, F.col(f"_b.{line_key}").alias(line_key), F.col("_b.dist_m").alias("dist_m"))
+    """``(point_key, line_key, dist_m)``: the nearest line of each point within the radius; the smaller key on ties.
+
+    Points of one place, and lines of one shape, are compared once.
+    """
+    own = points.select(point_key, "lon", "lat")
+    best = lambda met, *keys: met.groupBy(*keys).agg(F.min(F.struct("dist_m", line_key)).alias("_b")).select(*keys, "_b.*")
+    shapes = lines.groupBy("points").agg(F.min(line_key).alias(line_key))
+    spots = best(near_lines(own.select("lon", "lat").distinct(), shapes, radius_m), "lon", "lat")
+    return best(own.join(spots, ["lon", "lat"]), point_key).select(point_key, line_key, "dist_m")
 
 
 def ring_counts(lines: DataFrame, tiles: DataFrame, key: str, inner_m: float, outer_m: float, pixel_deg: float, size: int, nodata: Sequence[int] = (0,)) -> DataFrame:

@@ -1,9 +1,10 @@
 """Shapes that larger tables have and the small ones do not: repeated keys, many rows in one place."""
 
 import duckdb
-import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from tarmac.operators import lines, spatial
 
 SQL = __spark_entry__.oracle_sql()
 QUERIES = __spark_entry__.queries()
@@ -31,3 +32,34 @@ def test_lateral_lookup_of_repeated_customers(spark, tmp_path):
     orders = [(1, 7, 5.0), (2, 7, 9.0), (3, 7, 9.0), (4, 8, 1.0), (None, 8, 1.0)]
     written(spark, tmp_path, customer=([(7,), (7,), (8,), (9,)], "c_custkey bigint"), orders=(orders, "o_orderkey bigint, o_custkey bigint, o_totalprice double"))
     assert same_as_sql(spark, tmp_path, "lateral_lookup") == [(7, 2), (8, 4)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_of_pieces_are_not_broadcast(spark):
+    point = F.struct(F.lit(139.0).alias("lon"), F.lit(35.0).alias("lat"))
+    roads = spark.range(20).select(F.col("id").alias("road"), F.array(point, F.struct((139.01 + F.col("id") * 1e-4).alias("lon"), F.lit(35.003).alias("lat"))).alias("points"))
+    spots = spark.range(400).select(F.col("id").alias("p"), (139.0 + F.col("id") % 2 * 0.01).alias("lon"), F.lit(35.0).alias("lat"))
+    got = lines.nearest_line(spots, roads, "p", "road", 600.0)
+    assert "BroadcastHashJoin" not in plan(lines.near_lines(spots, roads, 600.0))
+    assert {r.p: r.road for r in got.collect()} == {p: p % 2 * 19 for p in range(400)}  # the flattest line passes nearest
+
+
+def test_rows_of_one_place_meet_once(spark):
+    """Two thousand rows a side in one place: four million pairs of rows, one pair of places."""
+    left = spark.range(2000).select(F.col("id").alias("a"), F.lit(139.7).alias("lon"), F.lit(35.6).alias("lat"))
+    right = spark.range(2000).select((F.col("id") + 5).alias("b"), F.lit(139.7).alias("lon"), F.lit(35.6001).alias("lat"))
+    assert spatial._near_spots(left, right, 100.0).count() == 1
+    assert "BroadcastHashJoin" not in plan(spatial._near_spots(left, right, 100.0))
+    assert spatial.within(left, right, 100.0).count() == 4_000_000
+    assert {(r.b, r["count"]) for r in spatial.nearest(left, right, "a", "b", 100.0).groupBy("b").count().collect()} == {(5, 2000)}
+    assert spatial.near_any(left, right, "a", 100.0).count() == 2000
+
+
+def test_cells_of_several_places_count_once(spark):
+    zones = spark.createDataFrame([(1, 139.7, 35.6), (1, 139.7001, 35.6), (2, 139.7, 35.6), (3, 139.9, 35.6)], "z int, lon double, lat double")
+    cells = spark.createDataFrame([(10, 1, 139.7, 35.6001), (11, 1, 139.7, 35.6001), (12, 2, 139.7, 35.6001), (12, 2, 139.7001, 35.6001), (13, None, 139.7, 35.6001)], "cell int, class int, lon double, lat double")
+    got = {(r.z, r["class"], r["count"]) for r in spatial.zonal_counts(zones, cells, "z", 100.0).collect()}
+    assert got == {(z, c, n) for z in (1, 2) for c, n in ((1, 2), (2, 1), (None, 1))}
