@@ -26,27 +26,39 @@ def _around() -> Column:
     return F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
 
 
-def within(left: DataFrame, right: DataFrame, radius_m: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Pairs of rows at most ``radius_m`` apart, with ``dist_m``; both sides have ``lon`` and ``lat`` and else different names."""
+def _near_spots(left: DataFrame, right: DataFrame, radius_m: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Pairs of different places of either side (``lon``, ``lat`` and ``_lon``, ``_lat``) at most ``radius_m`` apart, with ``dist_m``.
+
+    Rows that share a place are compared once.  The side that is copied to nine cells is never broadcast: what Spark knows of
+    its size is that of its input.
+    """
     wide, high = pad_degrees(radius_m)
-    a = left.withColumn("_cx", _cell(F.col(lon), wide)).withColumn("_cy", _cell(F.col(lat), high))
-    b = right.withColumnRenamed(lon, "_lon").withColumnRenamed(lat, "_lat").withColumn("_c", _around())
+    a = left.select(lon, lat).distinct().withColumn("_cx", _cell(F.col(lon), wide)).withColumn("_cy", _cell(F.col(lat), high))
+    b = right.select(F.col(lon).alias("_lon"), F.col(lat).alias("_lat")).distinct().withColumn("_c", _around())
     b = b.withColumn("_cx", _cell(F.col("_lon"), wide) + F.col("_c.i")).withColumn("_cy", _cell(F.col("_lat"), high) + F.col("_c.j")).drop("_c")
-    pairs = a.join(b, ["_cx", "_cy"]).withColumn("dist_m", haversine_m(F.col(lon), F.col(lat), F.col("_lon"), F.col("_lat")))
-    return pairs.where(F.col("dist_m") <= radius_m).drop("_cx", "_cy", "_lon", "_lat")
+    pairs = a.join(b.hint("merge"), ["_cx", "_cy"]).withColumn("dist_m", haversine_m(F.col(lon), F.col(lat), F.col("_lon"), F.col("_lat")))
+    return pairs.where(F.col("dist_m") <= radius_m).drop("_cx", "_cy")
+
+
+def within(left: DataFrame, right: DataFrame, radius_m: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Pairs of rows at most ``radius_m`` apart, with ``dist_m``; both sides have ``lon`` and ``lat`` and else different names."""
+    pairs = left.join(_near_spots(left, right, radius_m, lon, lat), [lon, lat])
+    return pairs.join(right.withColumnsRenamed({lon: "_lon", lat: "_lat"}), ["_lon", "_lat"]).drop("_lon", "_lat")
 
 
 def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius_m: float) -> DataFrame:
     """The nearest right row of each left row within the radius; the smaller key on ties."""
-    pairs = within(left, right, radius_m)
     rest = [c for c in right.columns if c not in ("lon", "lat")]
-    best = pairs.groupBy(left_key).agg(F.min_by(F.struct(*rest, "dist_m"), F.struct("dist_m", right_key)).alias("_b"))
-    return best.select(left_key, "_b.*")
+    first = right.groupBy(F.col("lon").alias("_lon"), F.col("lat").alias("_lat")).agg(F.min_by(F.struct(*rest), right_key).alias("_r"))
+    best = lambda pairs, *keys: pairs.groupBy(*keys).agg(F.min_by(F.struct("_r", "dist_m"), F.struct("dist_m", f"_r.{right_key}")).alias("_b")).select(*keys, "_b.*")
+    spots = best(_near_spots(left, right, radius_m).join(first, ["_lon", "_lat"]), "lon", "lat")
+    return best(left.select(left_key, "lon", "lat").join(spots, ["lon", "lat"]), left_key).select(left_key, "_r.*", "dist_m")
 
 
 def near_any(left: DataFrame, right: DataFrame, left_key: str, radius_m: float) -> DataFrame:
     """Left rows with any right row within the radius."""
-    return left.join(within(left.select(left_key, "lon", "lat"), right.select("lon", "lat"), radius_m).select(left_key).distinct(), left_key, "left_semi")
+    spots = _near_spots(left, right, radius_m).select("lon", "lat").distinct()
+    return left.join(left.select(left_key, "lon", "lat").join(spots, ["lon", "lat"], "left_semi").select(left_key).distinct(), left_key, "left_semi")
 
 
 def clusters(points: DataFrame, key: str, radius_m: float, by: Sequence[str] = (), pairs: int = 4096) -> DataFrame:
@@ -122,9 +134,20 @@ def raster_values(points: DataFrame, tiles: DataFrame, zoom: int, priority: str
 
 
 def zonal_counts(zones: DataFrame, cells: DataFrame, zone_key: str, radius_m: float) -> DataFrame:
-    """Raster cells by class within a distance of a zone's points, each cell once for each zone."""
-    pairs = within(zones.select(zone_key, "lon", "lat"), cells.select("cell", "class", "lon", "lat"), radius_m)
-    return pairs.select(zone_key, "cell", "class").distinct().groupBy(zone_key, "class").count()
+    """Raster cells by class within a distance of a zone's points, each cell once for each zone.
+
+    Cells of one place are counted there first, so a zone meets places and not cells; only cells with several places meet
+    zones one by one.
+    """
+    given = cells.select("cell", "class", F.col("lon").alias("_lon"), F.col("lat").alias("_lat")).distinct()
+    place = F.struct("_lon", "_lat")
+    own = given.groupBy("cell", "class").agg(F.min(place).alias("_p"), F.max(place).alias("_q"))
+    counts = own.where("_p = _q").groupBy("_p._lon", "_p._lat", "class").agg(F.count(F.lit(1)).alias("_n"))
+    spread = given.join(own.where("_p <> _q").select("cell", "class"), ["cell", "class"], "left_semi")
+    met = zones.select(zone_key, "lon", "lat").join(_near_spots(zones, cells, radius_m), ["lon", "lat"]).select(zone_key, "_lon", "_lat").distinct()
+    whole = met.join(counts, ["_lon", "_lat"]).select(zone_key, "class", "_n")
+    single = met.join(spread, ["_lon", "_lat"]).select(zone_key, "cell", "class").distinct().select(zone_key, "class", F.lit(1).alias("_n"))
+    return whole.unionByName(single).groupBy(zone_key, "class").agg(F.sum("_n").alias("count"))
 
 
 def mosaic(cells: DataFrame, keys: Sequence[str] = ("tile", "px", "py")) -> DataFrame:
