@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.functions.geo import METRES_PER_DEGREE, along, bearing_deg, haversine_m, pad_degrees, pieces_m, point_piece_m
+from tarmac.storage import stored
 
 #: What a tag says of a road of divided directions, gaps in metres, tolerance in degrees, places of samples.
 DIVIDED_TAGS = ("dual", "triple", "2")
@@ -115,17 +116,32 @@ def divided(ways: DataFrame) -> DataFrame:
     heading = F.when((first["lon"] != last["lon"]) | (first["lat"] != last["lat"]), bearing_deg(first["lon"], first["lat"], last["lon"], last["lat"]) + F.when(F.col("direction") == "backward", 180.0).otherwise(0.0))
     one_way = ways.where(F.col("direction").isin("forward", "backward") & (F.size("points") > 1)).select("way", "points", "highway", F.coalesce(text("ref"), text("name")).alias("ident"), F.lower(F.trim("carriageway")).isin(*DIVIDED_TAGS).alias("tagged"), heading.alias("deg")).where("deg is not null")
     opposite = F.abs(F.pmod(F.col("deg2") - F.col("deg"), F.lit(360.0)) - 180) < TOLERANCE_DEG
-    other = one_way.select(*[F.col(c).alias(f"{c}2") for c in ("way", "highway", "ident", "deg")], "points")
-    cut = pieces(one_way.where("ident is not null").select("way", "ident", "deg", "points"))
+    # lines meet in cells once each, then kinds of ways (all that tells them apart but the way) on lines that are near
+    shapes = stored(one_way.groupBy("points", "highway", "ident", "deg").agg(F.min("way").alias("low"), F.max("way").alias("high")).withColumn("shape", F.monotonically_increasing_id()))
+    own = shapes.select("shape", "points", "highway", "ident", "deg")
+    geometries = stored(shapes.select("points").distinct().withColumn("line", F.monotonically_increasing_id()))
+    kinds = shapes.join(geometries, "points").select("line", "shape", "highway", "ident", "deg", "low", "high")
+    mine = kinds.select("line", "shape", "highway", "ident", "deg")
+    other = kinds.select(*[F.col(c).alias(f"{c}2") for c in ("line", "highway", "ident", "deg", "low", "high")])
+    ends = [F.min("low2").alias("low"), F.max("high2").alias("high")]
+    cut = pieces(geometries)
+    theirs = cut.withColumnRenamed("line", "line2")
     ours = _in_cells(cut, F.col("a"), F.col("b"), 0.0, 100.0)
-    theirs = _in_cells(pieces(other.where("ident2 is not null").select("way2", F.col("ident2").alias("ident"), "deg2", "points")).withColumnsRenamed({"a": "c", "b": "d"}), F.col("c"), F.col("d"), NAMED_GAP_M, 100.0)
-    beside = ours.join(theirs, ["ident", "_x", "_y"]).where((F.col("way") != F.col("way2")) & opposite & (pieces_m(F.col("a"), F.col("b"), F.col("c"), F.col("d")) <= NAMED_GAP_M))
+    reached = _in_cells(theirs.withColumnsRenamed({"a": "c", "b": "d"}), F.col("c"), F.col("d"), NAMED_GAP_M, 100.0)
+    gaps = ours.join(reached.hint("merge"), ["_x", "_y"]).where(pieces_m(F.col("a"), F.col("b"), F.col("c"), F.col("d")) <= NAMED_GAP_M).select("line", "line2").distinct()
+    beside = gaps.join(mine, "line").withColumn("ident2", F.col("ident")).join(other, ["line2", "ident2"]).where(opposite)
+    beside = beside.groupBy("shape").agg(*ends)
     samples = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), along(F.col("points"), f).alias("p")) for f in SAMPLES]))
-    spots = one_way.select("way", "highway", "ident", "deg", samples.alias("s")).select("way", "highway", "ident", "deg", "s.f", "s.p.lon", "s.p.lat")
+    spots = geometries.select("line", samples.alias("s")).select("line", "s.f", "s.p.lon", "s.p.lat")
     spots = _in_cells(spots, F.struct("lon", "lat"), F.struct("lon", "lat"), 0.0, 100.0)
-    sides = _in_cells(pieces(other), F.col("a"), F.col("b"), SIDE_GAP_M, 100.0).withColumnRenamed("highway2", "highway")
-    met = spots.join(sides, ["highway", "_x", "_y"]).where((F.col("way") != F.col("way2")) & opposite & F.coalesce(F.col("ident") == F.col("ident2"), F.lit(True)))
-    met = met.where(point_piece_m(F.col("lon"), F.col("lat"), F.col("a"), F.col("b")) <= SIDE_GAP_M)
-    every = met.groupBy("way").agg(F.count_distinct("f").alias("n")).where(F.col("n") == len(SAMPLES)).select("way")
-    found = one_way.where("tagged").select("way").unionByName(beside.select("way")).unionByName(every).distinct().withColumn("divided", F.lit(True))
+    sides = _in_cells(theirs, F.col("a"), F.col("b"), SIDE_GAP_M, 100.0)
+    near = spots.join(sides.hint("merge"), ["_x", "_y"]).where(point_piece_m(F.col("lon"), F.col("lat"), F.col("a"), F.col("b")) <= SIDE_GAP_M).groupBy("line", "line2").agg(F.collect_set("f").alias("fs"))
+    met = near.join(mine, "line").withColumn("highway2", F.col("highway")).join(other, ["line2", "highway2"]).where(opposite & F.coalesce(F.col("ident") == F.col("ident2"), F.lit(True)))
+    met = met.withColumn("f", F.explode("fs")).groupBy("shape", "f").agg(*ends)
+    every = met.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("low") == F.col("high"), F.col("low"))).alias("alone")).where(F.col("n") == len(SAMPLES))
+    a, b = one_way.alias("a"), own.alias("b")
+    of = a.join(b, (F.col("a.points") == F.col("b.points")) & F.col("a.highway").eqNullSafe(F.col("b.highway")) & F.col("a.ident").eqNullSafe(F.col("b.ident")) & (F.col("a.deg") == F.col("b.deg"))).select("a.way", "b.shape")
+    named = of.join(beside, "shape").where((F.col("low") != F.col("way")) | (F.col("high") != F.col("way")))
+    sided = of.join(every, "shape").where(~F.array_contains("alone", F.col("way")))  # another way than itself at each sample
+    found = one_way.where("tagged").select("way").unionByName(named.select("way")).unionByName(sided.select("way")).distinct().withColumn("divided", F.lit(True))
     return ways.select("way").join(found, "way", "left").select("way", F.coalesce("divided", F.lit(False)).alias("divided"))
