@@ -4,7 +4,9 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tarmac.operators import lines, spatial
+from tarmac.operators import lines, search, spatial
+from tarmac.queries import network
+from tarmac.storage import stored
 
 SQL = __spark_entry__.oracle_sql()
 QUERIES = __spark_entry__.queries()
@@ -63,3 +65,40 @@ def test_cells_of_several_places_count_once(spark):
     cells = spark.createDataFrame([(10, 1, 139.7, 35.6001), (11, 1, 139.7, 35.6001), (12, 2, 139.7, 35.6001), (12, 2, 139.7001, 35.6001), (13, None, 139.7, 35.6001)], "cell int, class int, lon double, lat double")
     got = {(r.z, r["class"], r["count"]) for r in spatial.zonal_counts(zones, cells, "z", 100.0).collect()}
     assert got == {(z, c, n) for z in (1, 2) for c, n in ((1, 2), (2, 1), (None, 1))}
+
+
+def test_divided_roads_of_one_shape(spark, tmp_path, monkeypatch):
+    """Five hundred roads each way on the same two lines: shapes meet, not roads."""
+    seen = []
+    monkeypatch.setattr(lines, "stored", lambda df: seen.append(stored(df)) or seen[-1])
+    line = lambda lat: F.array(*[F.struct(F.lit(lon).alias("lon"), F.lit(lat).alias("lat")) for lon in (139.0, 139.0009)])
+    key = F.col("id")
+    ways = spark.range(1000).select(key.alias("way"), F.when(key % 2 == 0, line(35.0)).otherwise(line(35.0001)).alias("points"), F.when(key % 2 == 0, "forward").otherwise("backward").alias("direction"),
+        F.lit("primary").alias("highway"), F.lit(None).cast("string").alias("carriageway"), F.lit(None).cast("string").alias("ref"), F.when(key % 4 < 2, "n").alias("name"))
+    ways = ways.unionByName(ways.where("way = 0").withColumns({"way": F.lit(-1).cast("long"), "highway": F.lit("service")}))
+    assert {(r.way, r.divided) for r in lines.divided(ways).collect()} == {(i, True) for i in range(-1, 1000)}
+    assert [df.count() for df in seen] == [5, 2]
+    both = ways.where("way = 0").unionByName(ways.where("way = 1").withColumn("way", F.lit(0).cast("long")))
+    assert not any(r.divided for r in lines.divided(both).collect())  # a road is not beside itself
+
+
+def test_tree_over_blocks_dealt_by_hash(spark, monkeypatch):
+    """The labels of one block, with ties and free edges, without solving blocks again."""
+    i = F.col("id")
+    edges = spark.range(4000).select((i % 500).alias("tail"), ((i * 7 + F.floor(i / 500) * 13) % 500).alias("head"), (i * 31 % 4).cast("double").alias("cost")).where("tail <> head").groupBy("tail", "head").agg(F.min("cost").alias("cost"))
+    costs = lambda df: {(r.node, r.cost, r.seconds) for r in df.collect()}
+    one, many = search.network(edges), search.network(edges, block_edges=500)
+    want = costs(search.tree(one, 0))
+    short = costs(search.tree(one, 0, limit=3.0))
+    paid = edges.withColumn("cost", F.col("cost") + 1)
+    labels = {tuple(r) for r in search.tree(search.network(paid), 0).collect()}
+    monkeypatch.setattr(search, "solve", None)
+    assert many.blocks > 1 and costs(search.tree(many, 0)) == want and costs(search.tree(many, 0, limit=3.0)) == short
+    assert {tuple(r) for r in search.tree(search.network(paid, block_edges=500), 0).collect()} == labels
+
+
+def test_tiles_of_a_street_grid_fit_a_block():
+    import inspect
+
+    tile = inspect.signature(network._streets).parameters["tile"].default
+    assert tile * tile * 8 <= inspect.signature(search.network).parameters["block_edges"].default
