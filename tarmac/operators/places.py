@@ -11,7 +11,7 @@ from tarmac.functions.geo import haversine_m
 from tarmac.functions.text import like_prefix, name_key, phone, website
 from tarmac.operators.components import connected
 from tarmac.operators.spatial import clusters
-from tarmac.storage import stored
+from tarmac.storage import dealt, stored
 
 
 def grouped(places: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -91,12 +91,12 @@ def search(keys: DataFrame, text: str, limit: int = 10) -> DataFrame:
 def link_names(left: DataFrame, right: DataFrame, key: str = "name") -> DataFrame:
     """``(left_id, right_id, rank)``: each left name's right name that equals it (0), else the longest that starts it (1), else that ends it (2)."""
     parts = F.sequence(F.lit(1), F.length(key))
-    candidates = left.select("left_id", F.explode(F.concat(
+    candidates = dealt(left.select("left_id", key), "left_id", rows=1 << 15).select("left_id", F.explode(F.concat(
         F.array(F.struct(F.lit(0).alias("rank"), F.col(key).alias("part"))),
         F.transform(parts, lambda i: F.struct(F.lit(1).alias("rank"), F.substring(F.col(key), F.lit(1), i).alias("part"))),
         F.transform(parts, lambda i: F.struct(F.lit(2).alias("rank"), F.substring(F.col(key), i, F.length(key)).alias("part"))),
     )).alias("c")).select("left_id", "c.rank", "c.part")
-    met = candidates.join(right.select("right_id", F.col(key).alias("part")), "part")
+    met = candidates.join(right.groupBy(F.col(key).alias("part")).agg(F.min(F.struct("right_id")).alias("r")).select("part", "r.right_id"), "part")
     best = met.groupBy("left_id").agg(F.min(F.struct("rank", (-F.length("part")).alias("n"), "right_id")).alias("b"))
     return best.select("left_id", "b.right_id", "b.rank")
 

@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tarmac.operators import lines, search, spatial
+from tarmac.operators import aggregates, lines, places, routes, search, spatial
 from tarmac.queries import network
 from tarmac.storage import stored
 
@@ -102,3 +102,18 @@ def test_tiles_of_a_street_grid_fit_a_block():
 
     tile = inspect.signature(network._streets).parameters["tile"].default
     assert tile * tile * 8 <= inspect.signature(search.network).parameters["block_edges"].default
+
+
+def test_rows_are_dealt_by_their_number(spark):
+    from tarmac.storage import dealt
+
+    assert dealt(spark.range(1000), "id", rows=100).rdd.getNumPartitions() == 10
+
+
+def test_linked_names_are_dealt(spark):
+    """One file of short names: its many candidates are made in several tasks; a name of several ids is met once."""
+    left = spark.range(100, 140).select(F.col("id").alias("left_id"), F.col("id").cast("string").alias("name")).coalesce(1)
+    right = spark.createDataFrame([(9, "1"), (7, "1"), (5, "112"), (6, "39")], "right_id long, name string")
+    got = places.link_names(left, right)
+    assert "REPARTITION_BY_NUM" in plan(got)
+    assert {r.left_id: (r.right_id, r["rank"]) for r in got.collect()} == {i: (5, 0) if i == 112 else (7, 1) for i in range(100, 140)}
