@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.functions.geo import METRES_PER_DEGREE, along, bearing_deg, haversine_m, pad_degrees, pieces_m, point_piece_m
-from tarmac.storage import stored
+from tarmac.storage import dealt, stored
 
 #: What a tag says of a road of divided directions, gaps in metres, tolerance in degrees, places of samples.
 DIVIDED_TAGS = ("dual", "triple", "2")
@@ -79,9 +79,11 @@ def ring_counts(lines: DataFrame, tiles: DataFrame, key: str, inner_m: float, ou
     ``tiles`` (``tx``, ``ty``, ``pixels`` row by row from the south-west) cover ``size`` pixels a side.  A piece spans, in every row
     of pixels that its buffer meets, the pixels between the ends of the part that is near the row, so a slanted line costs
     its buffer and not its box.  A pixel near several pieces has the distance of the nearest.  Pixels of no tile, null
-    ones and ``nodata`` are left out.
+    ones and ``nodata`` are left out.  Keys with the same lines are counted once.
     """
-    cut = pieces(lines.select(key, "points"), longest_m=max(4 * outer_m, 100.0))
+    own = lines.groupBy(key).agg(F.array_sort(F.collect_set("points")).alias("_lines"))
+    shapes = stored(own.select("_lines").distinct().withColumn("_shape", F.monotonically_increasing_id()))
+    cut = pieces(dealt(shapes, "_shape", rows=128).select("_shape", F.explode("_lines").alias("points")), longest_m=max(4 * outer_m, 100.0))
     a, b = F.col("a"), F.col("b")
     high = outer_m / METRES_PER_DEGREE * (1 + 1e-9)
     steepest = F.greatest(F.abs(a["lat"]), F.abs(b["lat"])) + high
@@ -95,11 +97,12 @@ def ring_counts(lines: DataFrame, tiles: DataFrame, key: str, inner_m: float, ou
     first, last = (F.least(*xs) - wide) / pixel_deg - 0.5, (F.greatest(*xs) + wide) / pixel_deg - 0.5
     spots = rows.withColumn("px", F.explode(F.sequence(F.floor(first).cast("long"), F.ceil(last).cast("long"))))
     away = point_piece_m((F.col("px") + 0.5) * pixel_deg, (F.col("py") + 0.5) * pixel_deg, a, b)
-    near = spots.withColumn("d", away).where(F.col("d") <= outer_m).groupBy(key, "px", "py").agg(F.min("d").alias("d")).where(F.col("d") > inner_m)
+    near = spots.withColumn("d", away).where(F.col("d") <= outer_m).groupBy("_shape", "px", "py").agg(F.min("d").alias("d")).where(F.col("d") > inner_m)
     placed = near.withColumn("tx", F.floor(F.col("px") / size).cast("long")).withColumn("ty", F.floor(F.col("py") / size).cast("long"))
     seen = placed.join(tiles.select(F.col("tx").cast("long"), F.col("ty").cast("long"), "pixels"), ["tx", "ty"])
     value = F.get("pixels", (F.pmod("py", F.lit(size)) * size + F.pmod("px", F.lit(size))).cast("int"))
-    return seen.withColumn("class", value).where(F.col("class").isNotNull() & ~F.col("class").isin(*nodata)).groupBy(key, "class").agg(F.count(F.lit(1)).alias("n"))
+    counts = seen.withColumn("class", value).where(F.col("class").isNotNull() & ~F.col("class").isin(*nodata)).groupBy("_shape", "class").agg(F.count(F.lit(1)).alias("n"))
+    return own.join(shapes, "_lines").join(counts, "_shape").select(key, "class", "n")
 
 
 def divided(ways: DataFrame) -> DataFrame:

@@ -117,3 +117,15 @@ def test_linked_names_are_dealt(spark):
     got = places.link_names(left, right)
     assert "REPARTITION_BY_NUM" in plan(got)
     assert {r.left_id: (r.right_id, r["rank"]) for r in got.collect()} == {i: (5, 0) if i == 112 else (7, 1) for i in range(100, 140)}
+
+
+def test_rings_of_one_line_are_counted_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lines, "stored", lambda df: seen.append(stored(df)) or seen[-1])
+    line = lambda lat: F.array(*[F.struct(F.lit(lon).alias("lon"), F.lit(lat).alias("lat")) for lon in (139.001, 139.004)])
+    own = spark.range(50).select(F.col("id").alias("k"), line(35.0).alias("points"))
+    both = spark.createDataFrame([(50,), (51,)], "k long").crossJoin(own.select("points").limit(1).unionByName(spark.range(1).select(line(35.001).alias("points"))))
+    tiles = spark.range(-4, 8).select((F.col("id") + 139 * 250).alias("tx")).crossJoin(spark.range(-4, 8).select((F.col("id") + 35 * 250).alias("ty"))).withColumn("pixels", F.array_repeat(F.lit(1), 16))
+    got = {r.k: r.n for r in lines.ring_counts(own.unionByName(own).unionByName(both), tiles, "k", 10.0, 900.0, 0.001, 4).collect()}
+    assert [df.count() for df in seen] == [2] and len(got) == 52 and len({got[k] for k in range(50)}) == 1
+    assert got[0] < got[50] == got[51] < 2 * got[0]  # a pixel near both lines counts once
