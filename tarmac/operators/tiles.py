@@ -124,16 +124,26 @@ def clip_line(points: Column, box: tuple[float, float, float, float]) -> Column:
     west, top, east, bottom = map(float, box)
     n = F.size(points)
 
-    def span(i: Column) -> Column:
-        a, b = F.get(points, i), F.get(points, i + 1)
-        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    # a fold for each step of the work, so that what the next one uses several times is a value and not an expression
+    def ends(i: Column) -> Column:
+        return F.struct(F.get(points, i).alias("a"), F.get(points, i + 1).alias("b"))
+
+    def way(s: Column) -> Column:
+        return F.struct(s["a"].alias("a"), s["b"].alias("b"), (s["b"]["x"] - s["a"]["x"]).alias("dx"), (s["b"]["y"] - s["a"]["y"]).alias("dy"))
+
+    def met(s: Column) -> Column:
+        a, dx, dy = s["a"], s["dx"], s["dy"]
         sides = [(-dx, a["x"] - west), (dx, east - a["x"]), (-dy, a["y"] - top), (dy, bottom - a["y"])]
         enter = F.greatest(F.lit(0.0), *[F.coalesce(F.when(p < 0, q / p), F.lit(0.0)) for p, q in sides])
         leave = F.least(F.lit(1.0), *[F.coalesce(F.when(p > 0, q / p), F.lit(1.0)) for p, q in sides])
         beside = reduce(lambda u, v: u | v, [(p == 0) & (q < 0) for p, q in sides])
+        return F.struct(a.alias("a"), s["b"].alias("b"), dx.alias("dx"), dy.alias("dy"), enter.alias("enter"), leave.alias("leave"), beside.alias("beside"), ((dx == 0) & (dy == 0)).alias("still"))
+
+    def span(s: Column) -> Column:
+        a, b, dx, dy, enter, leave = (s[c] for c in ("a", "b", "dx", "dy", "enter", "leave"))
         at = lambda t: F.when(t == 0, _point(a["x"], a["y"])).when(t == 1, _point(b["x"], b["y"])).otherwise(_point(a["x"] + dx * t, a["y"] + dy * t))
-        inside = ~beside & (enter < leave) & ((dx != 0) | (dy != 0))
-        return F.struct(inside.alias("inside"), (enter > 0).alias("entered"), at(enter).alias("a"), at(leave).alias("b"), (leave < 1).alias("left"), ((dx == 0) & (dy == 0)).alias("still"))
+        inside = ~s["beside"] & (enter < leave) & ~s["still"]
+        return F.struct(inside.alias("inside"), (enter > 0).alias("entered"), F.when(inside, at(enter)).alias("a"), F.when(inside, at(leave)).alias("b"), (leave < 1).alias("left"), s["still"].alias("still"))
 
     none = F.array().cast("array<struct<x:double,y:double>>")
     start = F.struct(F.array().cast("array<array<struct<x:double,y:double>>>").alias("parts"), none.alias("open"))
@@ -146,7 +156,7 @@ def clip_line(points: Column, box: tuple[float, float, float, float]) -> Column:
         going = F.struct(F.when(step["left"], F.concat(before, F.array(line))).otherwise(before).alias("parts"), F.when(step["left"], none).otherwise(line).alias("open"))
         return F.when(step["still"], s).when(step["inside"], going).otherwise(F.struct(closed(s).alias("parts"), none.alias("open")))
 
-    steps = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), span)).otherwise(F.array().cast("array<struct<inside:boolean,entered:boolean,a:struct<x:double,y:double>,b:struct<x:double,y:double>,left:boolean,still:boolean>>"))
+    steps = F.when(n > 1, reduce(F.transform, (way, met, span), F.transform(F.sequence(F.lit(0), n - 2), ends))).otherwise(F.array().cast("array<struct<inside:boolean,entered:boolean,a:struct<x:double,y:double>,b:struct<x:double,y:double>,left:boolean,still:boolean>>"))
     return F.aggregate(steps, start, follow, closed)
 
 
@@ -162,18 +172,18 @@ def clip_ring(points: Column, box: tuple[float, float, float, float]) -> Column:
     def cut(ring: Column, side: Column) -> Column:
         """One fold a side, so that the ring so far is a value and not an expression again."""
         depth = lambda q: (F.when(side["upright"], q["x"]).otherwise(q["y"]) - side["edge"]) * side["sign"]
+        pair = lambda p, i: F.struct(p.alias("p"), F.get(ring, F.pmod(i - 1, F.size(ring))).alias("q"))
+        deep = lambda s: F.struct(s["p"].alias("p"), s["q"].alias("q"), depth(s["p"]).alias("d"), depth(s["q"]).alias("e"))
 
-        def corner(p: Column, i: Column) -> Column:
-            before = F.get(ring, F.pmod(i - 1, F.size(ring)))
-            share = F.try_divide(depth(before), depth(before) - depth(p))
+        def corner(s: Column) -> Column:
+            p, before, here, there = s["p"], s["q"], s["d"] >= 0, s["e"] >= 0
+            share = F.try_divide(s["e"], s["e"] - s["d"])
             met = F.when(side["upright"], _point(side["edge"], before["y"] + (p["y"] - before["y"]) * share)).otherwise(_point(before["x"] + (p["x"] - before["x"]) * share, side["edge"]))
-            here, there = depth(p) >= 0, depth(before) >= 0
             return F.when(here & there, F.array(p)).when(here, F.array(met, p)).when(there, F.array(met)).otherwise(none)
 
-        return F.flatten(F.transform(ring, corner))
+        return F.flatten(F.transform(F.transform(F.transform(ring, pair), deep), corner))
 
-    ring = F.aggregate(sides, F.transform(points, lambda p: _point(p["x"], p["y"])), cut)
-    return F.when(F.size(ring) > 2, ring).otherwise(none)
+    return F.aggregate(sides, F.transform(points, lambda p: _point(p["x"], p["y"])), cut, lambda ring: F.when(F.size(ring) > 2, ring).otherwise(none))
 
 
 def to_child(points: Column, quadrant_x: int, quadrant_y: int, extent: int = EXTENT) -> Column:

@@ -229,6 +229,11 @@ def _tracks(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("track")).agg(points.alias("points"))
 
 
+def _once(tracks, clip):
+    """Tracks with their ``clip`` if it is not empty; a filter on it would have it computed twice."""
+    return tracks.select("track", F.explode(F.filter(F.array(clip), lambda c: F.size(c) > 0)).alias("clip"))
+
+
 @query("""WITH v AS (SELECT l_orderkey AS track, row_number() OVER w AS i, (l_partkey * 37 % 5000 - 400)::DOUBLE AS x, (l_suppkey * 613 % 5000 - 400)::DOUBLE AS y, lead((l_partkey * 37 % 5000 - 400)::DOUBLE) OVER w AS u, lead((l_suppkey * 613 % 5000 - 400)::DOUBLE) OVER w AS v FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
     s AS (SELECT *, u - x AS dx, v - y AS dy FROM v WHERE u IS NOT NULL AND (u <> x OR v <> y)),
     t AS (SELECT *, greatest(0.0, CASE WHEN dx > 0 THEN (1984 - x) / dx WHEN dx < 0 THEN (4160 - x) / dx ELSE 0.0 END, CASE WHEN dy > 0 THEN (-64 - y) / dy WHEN dy < 0 THEN (2112 - y) / dy ELSE 0.0 END) AS a,
@@ -239,15 +244,15 @@ def _tracks(spark, sf_dir):
 def clipped_lines(spark, sf_dir):
     """Lines of the tile's north-eastern quadrant with their number of parts and their length there."""
     parts = tiles.clip_line(F.col("points"), tiles.quadrant_box(1, 0))
-    own = _tracks(spark, sf_dir).select("track", F.transform(parts, lambda line: tiles.to_child(line, 1, 0)).alias("lines")).where(F.size("lines") > 0)
+    own = _once(_tracks(spark, sf_dir), parts).select("track", F.transform("clip", lambda line: tiles.to_child(line, 1, 0)).alias("lines"))
     return own.select("track", F.size("lines").cast("long").alias("parts"), F.round(F.aggregate("lines", F.lit(0.0), lambda a, line: a + tiles.line_span(line)), 3).alias("length"))
 
 
 @query()
 def clipped_rings(spark, sf_dir):
     """The same tracks as rings, with the area that lies in the quadrant."""
-    own = _tracks(spark, sf_dir).select("track", tiles.clip_ring(F.col("points"), tiles.quadrant_box(1, 0)).alias("ring")).where(F.size("ring") > 0)
-    return own.select("track", F.round(tiles.ring_area(tiles.to_child(F.col("ring"), 1, 0)), 3).alias("area"))
+    own = _once(_tracks(spark, sf_dir), tiles.clip_ring(F.col("points"), tiles.quadrant_box(1, 0))).select("track", tiles.to_child(F.col("clip"), 1, 0).alias("ring"))
+    return own.select("track", F.round(tiles.ring_area(F.col("ring")), 3).alias("area"))
 
 
 _HIT = _DISTANCE.format(a0="lon", b0="lat", a1="139.5", b1="35.3")

@@ -129,3 +129,11 @@ def test_rings_of_one_line_are_counted_once(spark, monkeypatch):
     got = {r.k: r.n for r in lines.ring_counts(own.unionByName(own).unionByName(both), tiles, "k", 10.0, 900.0, 0.001, 4).collect()}
     assert [df.count() for df in seen] == [2] and len(got) == 52 and len({got[k] for k in range(50)}) == 1
     assert got[0] < got[50] == got[51] < 2 * got[0]  # a pixel near both lines counts once
+
+
+def test_clips_are_computed_once(spark, tmp_path):
+    rows = [(i % 40, i * 31, i % 7, i // 40 + 1) for i in range(200)]
+    written(spark, tmp_path, lineitem=(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"))
+    for name, used in (("clipped_lines", 3), ("clipped_rings", 3)):
+        found = plan(QUERIES[name](spark, str(tmp_path)))
+        assert found.count("sequence(0, (size(points") <= 1 and found.count("4160.0") <= used and "Filter" not in found
