@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarmac.functions.numbers import round_significant, round_tenth
 from tarmac.operators.prefix import running
+from tarmac.storage import measured, stored
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -25,9 +26,16 @@ def cumulative(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> D
     total = steps.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max("upto").alias("total"))  # a row a key
     if not keys:
         return steps.crossJoin(F.broadcast(total))
+    steps, total = stored(steps), _few(total)
     return steps.join(total, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])).drop(*[f"_k_{k}" for k in keys])
 
 
+def _few(by_key: DataFrame, most: int = 100_000) -> DataFrame:
+    """A row a key, stored, and broadcast if they are few: rows of a key would meet in one task, and few keys have large ones."""
+    out, seen = measured(by_key, n=F.count(F.lit(1)))
+    return F.broadcast(out) if seen["n"] <= most else out
+
+
 def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: str, weight: str, targets: Sequence[float]) -> DataFrame:
     """The inverted weighted distribution: for each target the first value whose cumulative weight reaches it."""
     steps = cumulative(df, keys, value, weight)
@@ -41,7 +49,8 @@ def weighted_histogram(df: DataFrame, keys: Sequence[str], value: str, weight: s
     low = df.where(F.col(weight) > 0).groupBy(*keys).agg(F.least(F.lit(0.0), F.min(value)).alias("low"))
     edges = edges.join(low, list(keys)).withColumn("width", F.greatest(F.col("q990") * stretch - F.col("low"), F.lit(1e-9)) / bins)
     place = F.least(F.greatest(F.floor((F.col(value) - F.col("low")) / F.col("width")), F.lit(0)), F.lit(bins - 1)).cast("int")
-    filled = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).join(F.broadcast(edges), list(keys)) if not keys else df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).join(edges, list(keys))
+    edges = _few(edges)
+    filled = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).join(edges, list(keys))
     counts = filled.groupBy(*keys, place.alias("bin")).agg(F.sum(weight).alias("w"))
     spine = edges.select(*keys, "low", "width", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return spine.join(counts, [*keys, "bin"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))

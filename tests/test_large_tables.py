@@ -137,3 +137,15 @@ def test_clips_are_computed_once(spark, tmp_path):
     for name, used in (("clipped_lines", 3), ("clipped_rings", 3)):
         found = plan(QUERIES[name](spark, str(tmp_path)))
         assert found.count("sequence(0, (size(points") <= 1 and found.count("4160.0") <= used and "Filter" not in found
+
+
+def test_few_keys_of_a_histogram_are_broadcast(spark):
+    """Three keys would be three tasks of a join, whatever the table's size."""
+    df = spark.range(3000).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v"), F.lit(1.0).alias("w"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = aggregates.weighted_histogram(df, ["k"], "v", "w")
+        assert plan(got).count("BroadcastHashJoin") == 1 and {r.n for r in got.groupBy("k").agg(F.sum("w").alias("n")).collect()} == {1000.0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
