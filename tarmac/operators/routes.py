@@ -58,7 +58,7 @@ def spread_order(remaining: DataFrame, chosen: DataFrame, key: str, bearing: str
     return remaining.crossJoin(F.broadcast(taken)).withColumn("gap", gap).drop("_taken").orderBy(F.desc_nulls_last("gap"), closeness, key)
 
 
-def pick_diverse(candidates: DataFrame, rows: DataFrame, wanted: int, thresholds: Sequence[float] = (0.6, 0.85), by: Sequence[str] = (), spread: bool = False) -> DataFrame:
+def pick_diverse(candidates: DataFrame, rows: DataFrame, wanted: int, thresholds: Sequence[float] = (0.6, 0.85), by: Sequence[str] = (), spread: bool = False, part_rows: int = 1 << 18) -> DataFrame:
     """``(*by, route, choice)``: of each request the first ``wanted`` ranked candidates none of which overlaps a chosen one too much.
 
     ``candidates`` (``route``, ``position``) are taken in order of position, ``rows`` (``route``, ``segment``, ``length``) are what they run
@@ -68,10 +68,11 @@ def pick_diverse(candidates: DataFrame, rows: DataFrame, wanted: int, thresholds
     A candidate without rows is no route.
 
     A round chooses one route of every request and compares the rest with that one alone, by segment, so rounds are as
-    many as are wanted and no pairs of candidates are made.
+    many as are wanted and no pairs of candidates are made.  Tasks get about ``part_rows`` segments each, however many there are.
     """
     by = list(by)
-    own = stored(rows.groupBy(*by, "route", "segment").agg(F.max("length").cast("double").alias("length")))
+    own, size = measured(rows.groupBy(*by, "route", "segment").agg(F.max("length").cast("double").alias("length")), n=F.count(F.lit(1)))
+    parts = max(own.sparkSession.sparkContext.defaultParallelism, -(-(size["n"] or 0) // part_rows))
     total = own.groupBy(*by, "route").agg(F.sum("length").alias("total"))
     extra = ["bearing", "closeness"] if spread else []
     state = stored(candidates.join(total, [*by, "route"]).select(*by, "route", "position", "total", *extra, F.lit(0.0).alias("worst"), F.lit(None).cast("double").alias("gap")))
@@ -85,8 +86,8 @@ def pick_diverse(candidates: DataFrame, rows: DataFrame, wanted: int, thresholds
             break
         chosen.append(picked.select(*by, "route", F.lit(choice).alias("choice")))
         key = [*by, "segment"]
-        shared = own.join(picked.select(*by, "route").join(own, [*by, "route"]).select(*key), key, "left_semi").groupBy(*by, "route").agg(F.sum("length").alias("_shared"))
-        state = state.join(picked.select(*by, "route"), [*by, "route"], "left_anti").join(shared, [*by, "route"], "left")
+        shared = own.repartition(parts, *key).join(picked.select(*by, "route").join(own, [*by, "route"]).select(*key), key, "left_semi").groupBy(*by, "route").agg(F.sum("length").alias("_shared"))
+        state = state.repartition(parts, *by, "route").join(picked.select(*by, "route"), [*by, "route"], "left_anti").join(shared, [*by, "route"], "left")
         state = state.withColumn("worst", F.greatest("worst", F.coalesce(F.try_divide(F.col("_shared"), F.col("total")), F.lit(0.0))))
         if spread:
             last = picked.select(*by, "_bearing")
@@ -120,7 +121,8 @@ def via_nodes(there: DataFrame, back: DataFrame, stretch: float = 1.3) -> DataFr
 
 def without_shared_halves(halves: DataFrame, route: str, leg: str, segment: str) -> DataFrame:
     """Routes of which no segment, in either direction, lies on both legs."""
-    legs = halves.groupBy(route, segment).agg(F.count_distinct(leg).alias("_n"))
+    ends = F.min(leg), F.max(leg)
+    legs = halves.groupBy(route, segment).agg(F.when(ends[0] == ends[1], 1).when(ends[0] < ends[1], 2).otherwise(0).alias("_n"))
     return legs.groupBy(route).agg(F.max("_n").alias("_n")).where("_n = 1").select(route)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarmac.operators import graph, routes
 from tarmac.queries.registry import Registry, table
 from tarmac.queries.scalar import _DISTANCE, place
+from tarmac.storage import dealt
 
 query = Registry()
 
@@ -18,7 +19,7 @@ _ROWS = """rows AS (SELECT l_orderkey AS route, (row_number() OVER (PARTITION BY
 
 def _rows(spark, sf_dir):
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return table(spark, sf_dir, "lineitem").select(
+    return dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.col("l_orderkey").alias("route"), (F.row_number().over(by) - 1).alias("step"), F.col("l_suppkey").alias("tail"), (F.col("l_partkey") % 100).alias("head"), F.col("l_quantity").alias("km"),
         (F.col("l_discount") * 100).alias("score"), (F.col("l_tax") * 100).alias("back"), F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag"),
     )
@@ -227,7 +228,7 @@ _CANDIDATES = """segs AS (SELECT l_orderkey AS route, l_partkey % 40 AS s, max(l
 
 def _candidates(spark, sf_dir, position):
     orders = table(spark, sf_dir, "orders")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("route"), (F.col("l_partkey") % 40).alias("segment"), F.col("l_quantity").alias("length"))
+    rows = dealt(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("route"), (F.col("l_partkey") % 40).alias("segment"), F.col("l_quantity").alias("length")), "route")
     rows = rows.join(orders.select(F.col("o_orderkey").alias("route"), F.col("o_custkey").alias("req")), "route")
     return orders.select(F.col("o_custkey").alias("req"), F.col("o_orderkey").alias("route"), position.alias("position"), (F.col("o_orderkey") * 47 % 360).cast("double").alias("bearing"), F.col("o_totalprice").alias("closeness")), rows
 

@@ -149,3 +149,21 @@ def test_few_keys_of_a_histogram_are_broadcast(spark):
         assert plan(got).count("BroadcastHashJoin") == 1 and {r.n for r in got.groupBy("k").agg(F.sum("w").alias("n")).collect()} == {1000.0}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_unshared_halves_in_one_shuffle(spark, tmp_path):
+    rows = [(i % 40, i, i % 7, i // 40 + 1, float(i % 5 + 1), 1.0, 0.0, 0.0, "ANR"[i % 3]) for i in range(200)]
+    written(spark, tmp_path, lineitem=(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string"))
+    same_as_sql(spark, tmp_path, "unshared_halves")
+    found = plan(QUERIES["unshared_halves"](spark, str(tmp_path)))
+    assert "REPARTITION_BY_NUM" in found and found.count("Exchange ") == 1
+
+
+def test_parts_of_a_choice_follow_the_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(routes, "stored", lambda df: seen.append(plan(df)) or stored(df))
+    candidates = spark.range(60).select((F.col("id") % 20).alias("req"), F.col("id").alias("route"), F.col("id").alias("position"))
+    rows = candidates.select("req", "route", F.explode(F.array(F.lit(0), F.col("route") + 1)).alias("segment"), F.lit(1.0).alias("length"))
+    got = routes.pick_diverse(candidates, rows, 2, (0.1, 0.6), ["req"], part_rows=10)
+    assert {(r.req, r.route, r.choice) for r in got.collect()} == {(i % 20, i, i // 20 + 1) for i in range(40)}
+    assert all("REPARTITION_BY_NUM" in p and ", 12)" in p for p in seen[1:])
