@@ -282,10 +282,10 @@ def node_turns(spark, sf_dir):
     touched AS (SELECT seg.way, segment, kind, cluster, sum((w.node = from_node)::INT + (w.node = to_node)::INT) AS ends FROM seg JOIN w ON w.way = seg.way AND pos BETWEEN s AND e JOIN stops ON stops.node = w.node JOIN placed ON placed.node = w.node GROUP BY 1, 2, 3, 4)
     SELECT way, segment, kind, sum(CASE ends WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END)::DOUBLE AS n FROM touched GROUP BY 1, 2, 3""")
 def stop_counts(spark, sf_dir):
-    ways = _ways(spark, sf_dir)
+    ways = stored(_ways(spark, sf_dir))  # read for segments, twice, and for stops
     nodes = ways.select(F.explode(F.arrays_zip(F.col("node_ids").alias("node"), F.col("points").alias("p"))).alias("z")).select(F.col("z.node").alias("node"), "z.p.lon", "z.p.lat").distinct()
     stops = nodes.where("node % 3 = 0").withColumn("kind", F.when(F.col("node") % 2 == 0, "signal").otherwise("crossing"))
-    return derive.place_counts(derive.segments(ways), stops, 2000.0)
+    return derive.place_counts(derive.segments(ways), stored(stops), 2000.0)
 
 
 @query(f"""WITH {_SEGMENTS}, ends AS (SELECT way, segment, unnest([from_node, to_node]) AS node FROM seg), b AS (SELECT node, count(*) AS n FROM ends GROUP BY 1) SELECT way, segment, count(*) FILTER (n >= 3) * 0.5::DOUBLE AS n FROM ends JOIN b USING (node) GROUP BY 1, 2""")

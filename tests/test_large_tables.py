@@ -167,3 +167,9 @@ def test_parts_of_a_choice_follow_the_rows(spark, monkeypatch):
     got = routes.pick_diverse(candidates, rows, 2, (0.1, 0.6), ["req"], part_rows=10)
     assert {(r.req, r.route, r.choice) for r in got.collect()} == {(i % 20, i, i // 20 + 1) for i in range(40)}
     assert all("REPARTITION_BY_NUM" in p and ", 12)" in p for p in seen[1:])
+
+
+def test_ways_are_made_once_for_stops(spark, tmp_path, monkeypatch):
+    rows = [(i % 40, i * 31 % 60, i // 40 + 1) for i in range(200)]
+    written(spark, tmp_path, lineitem=(rows, "l_orderkey long, l_partkey long, l_linenumber int"))
+    assert "lineitem" not in plan(QUERIES["stop_counts"](spark, str(tmp_path)))
