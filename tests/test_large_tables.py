@@ -136,7 +136,7 @@ def test_clips_are_computed_once(spark, tmp_path):
     written(spark, tmp_path, lineitem=(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"))
     for name, used in (("clipped_lines", 3), ("clipped_rings", 3)):
         found = plan(QUERIES[name](spark, str(tmp_path)))
-        assert found.count("sequence(0, (size(points") <= 1 and found.count("4160.0") <= used and "Filter" not in found
+        assert found.count("sequence(0, (size(points") <= 1 and found.count("4160.0") <= used and "- Filter " not in found
 
 
 def test_few_keys_of_a_histogram_are_broadcast(spark):
