@@ -79,7 +79,8 @@ def ring_counts(lines: DataFrame, tiles: DataFrame, key: str, inner_m: float, ou
     ``tiles`` (``tx``, ``ty``, ``pixels`` row by row from the south-west) cover ``size`` pixels a side.  A piece spans, in every row
     of pixels that its buffer meets, the pixels between the ends of the part that is near the row, so a slanted line costs
     its buffer and not its box.  A pixel near several pieces has the distance of the nearest.  Pixels of no tile, null
-    ones and ``nodata`` are left out.  Keys with the same lines are counted once.
+    ones and ``nodata`` are left out.  Keys with the same lines are counted once, and
+    pixels are never broadcast, as Spark takes their size for that of the lines.
     """
     own = lines.groupBy(key).agg(F.array_sort(F.collect_set("points")).alias("_lines"))
     shapes = stored(own.select("_lines").distinct().withColumn("_shape", F.monotonically_increasing_id()))
@@ -99,7 +100,7 @@ def ring_counts(lines: DataFrame, tiles: DataFrame, key: str, inner_m: float, ou
     away = point_piece_m((F.col("px") + 0.5) * pixel_deg, (F.col("py") + 0.5) * pixel_deg, a, b)
     near = spots.withColumn("d", away).where(F.col("d") <= outer_m).groupBy("_shape", "px", "py").agg(F.min("d").alias("d")).where(F.col("d") > inner_m)
     placed = near.withColumn("tx", F.floor(F.col("px") / size).cast("long")).withColumn("ty", F.floor(F.col("py") / size).cast("long"))
-    seen = placed.join(tiles.select(F.col("tx").cast("long"), F.col("ty").cast("long"), "pixels"), ["tx", "ty"])
+    seen = placed.hint("merge").join(tiles.select(F.col("tx").cast("long"), F.col("ty").cast("long"), "pixels"), ["tx", "ty"])
     value = F.get("pixels", (F.pmod("py", F.lit(size)) * size + F.pmod("px", F.lit(size))).cast("int"))
     counts = seen.withColumn("class", value).where(F.col("class").isNotNull() & ~F.col("class").isin(*nodata)).groupBy("_shape", "class").agg(F.count(F.lit(1)).alias("n"))
     return own.join(shapes, "_lines").join(counts, "_shape").select(key, "class", "n")
