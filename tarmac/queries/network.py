@@ -140,7 +140,7 @@ def _landmarked(streets, wanted=4):
     SELECT (max(n) OVER () - n)::BIGINT AS step, node, round(cost, 4) AS cost FROM back JOIN walk USING (node)""")
 def point_to_point(spark, sf_dir):
     """The cheapest way between two crossings half the grid apart, by landmark bounds."""
-    streets = _streets(spark, sf_dir)
+    streets = _streets(spark, sf_dir, 1024)
     net, away = _landmarked(streets)
     start, goal = _ends(streets)
     found = search.to_goal(net, away, start, goal)

@@ -104,6 +104,16 @@ def test_tiles_of_a_street_grid_fit_a_block():
     assert tile * tile * 8 <= inspect.signature(search.network).parameters["block_edges"].default
 
 
+def test_tiles_of_a_goal_search_are_wide(spark, tmp_path, monkeypatch):
+    """Tiles of 1024 crossings, which a block holds whole: fewer borders, and so fewer rounds."""
+    tiles, sizes = [], []
+    own, net = network._streets, search.network
+    monkeypatch.setattr(network, "_streets", lambda spark, sf_dir, tile=256: tiles.append(tile) or own(spark, sf_dir, tile))
+    monkeypatch.setattr(search, "network", lambda edges, places=None, size=1 << 20: sizes.append(size) or net(edges, places, size))
+    written(spark, tmp_path, orders=([(i,) for i in range(64)], "o_orderkey long"), lineitem=([(i % 64, i // 64, 100.0 * (i * 37 % 91)) for i in range(512)], "l_orderkey long, l_linenumber int, l_extendedprice double"))
+    assert same_as_sql(spark, tmp_path, "point_to_point") and tiles == [1024] and tiles[0] ** 2 * 8 <= sizes[0]
+
+
 def test_rows_are_dealt_by_their_number(spark):
     from tarmac.storage import dealt
 
