@@ -114,6 +114,14 @@ def test_tiles_of_a_goal_search_are_wide(spark, tmp_path, monkeypatch):
     assert same_as_sql(spark, tmp_path, "point_to_point") and tiles == [1024] and tiles[0] ** 2 * 8 <= sizes[0]
 
 
+def test_return_legs_search_all_ways_back_at_once(spark, tmp_path, monkeypatch):
+    seen = []
+    real = search.to_goals
+    monkeypatch.setattr(search, "to_goals", lambda net, away, pairs, *a, **k: seen.append(len(pairs)) or real(net, away, pairs, *a, **k))
+    written(spark, tmp_path, orders=([(i,) for i in range(64)], "o_orderkey long"), lineitem=([(i % 64, i // 64, 100.0 * (i * 37 % 91)) for i in range(512)], "l_orderkey long, l_linenumber int, l_extendedprice double"))
+    assert len(same_as_sql(spark, tmp_path, "return_legs")) == 8 and seen == [16]
+
+
 def test_rows_are_dealt_by_their_number(spark):
     from tarmac.storage import dealt
 
